@@ -1,7 +1,7 @@
 """Expressions for reproducible weighted draws.
 
 A draw hashes what it is for (seed, walk, start vertex, step) to a number in
-[0, 1) and takes the first candidate whose running weight exceeds that share
+(0, 1) and takes the first candidate whose running weight reaches that share
 of the total.  The same inputs give the same draw in any task, so a re-run
 task or another partitioning changes nothing.
 """
@@ -12,45 +12,73 @@ from pyspark.sql import Column, functions as F
 
 
 def uniform(seed: int, walk_no: Column, start: Column, step: Column | int) -> Column:
-    """A number in [0, 1) from the first 32 bits of an md5."""
+    """A number in (0, 1) from the first 32 bits of an md5; never one of the ends."""
     step = F.lit(step) if isinstance(step, int) else step
     key = F.concat_ws("|", F.lit(str(seed)), walk_no.cast("string"),
                       start.cast("string"), step.cast("string"))
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    bits = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
+    return (bits + F.lit(0.5)) / F.lit(4294967296.0)
 
 
 def total(weights: Column) -> Column:
     return F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w)
 
 
-def pick(weights: Column, weight_sum: Column, u: Column) -> Column:
-    """The 1-based position of the first weight whose running sum exceeds ``u * weight_sum``.
+def running(weights: Column) -> Column:
+    """The running sums of an array of weights."""
+    return F.aggregate(
+        weights, F.array().cast("array<double>"),
+        lambda sums, w: F.array_append(sums, F.coalesce(F.get(sums, F.size(sums) - 1), F.lit(0.0)) + w))
 
-    The fold's one number first is the share still to pass; from the chosen
+
+def reach(sums: Column, amount: Column) -> Column:
+    """The 1-based position of the first running sum that is at least ``amount``.
+
+    Where the amount lands when sorted into the sums is the answer.  No lambda
+    is involved, so the draw runs inside the generated code of the join.
+    Rounding can put an amount just past the end: that's the last one.
+    """
+    at = F.array_position(F.sort_array(F.array_append(sums, amount)), amount)
+    return F.least(at, F.size(sums).cast("bigint")).cast("int")
+
+
+def pick(weights: Column, amount: Column) -> Column:
+    """Like ``reach``, for weights without their running sums.
+
+    The fold's one number first is the amount still to pass; from the chosen
     element on it counts down from -1, so at the end it gives the position
-    from the back.  Rounding can leave a rest at the end: that's the last one.
+    from the back.
     """
     rest = F.aggregate(
-        weights, u * weight_sum,
-        lambda acc, w: F.when(acc < 0, acc - 1).when(w > acc, F.lit(-1.0)).otherwise(acc - w))
+        weights, amount,
+        lambda left, w: F.when(left < 0, left - 1).when(w >= left, F.lit(-1.0)).otherwise(left - w))
     return (F.size(weights) + 1 + F.least(rest, F.lit(-1.0))).cast("int")
 
 
-def biased(nbr: Column, weight: Column, prev: Column, common: Column | None,
+def biased(nbr: Column, weight: Column, prev: Column, common: Column,
            p: float, q: float) -> Column:
     """Weights of the candidates ``nbr`` for a walk that came from ``prev``.
 
     Back to ``prev``: w/p; to a neighbour of ``prev`` (one in ``common``): w; else w/q.
-    ``common`` isn't needed when q is 1.
     """
-    plain = F.zip_with(
-        nbr, weight, lambda n, w: F.when(n == prev, w / F.lit(p)).otherwise(w / F.lit(q)))
-    if common is None:
-        return plain
-    full = F.zip_with(
+    return F.zip_with(
         nbr, weight,
         lambda n, w: F.when(n == prev, w / F.lit(p))
                       .when(F.array_contains(common, n), w).otherwise(w / F.lit(q)))
-    # Reading `common` twice also keeps the optimizer from moving the
-    # intersection that makes it into the lambda, to be redone per candidate.
-    return F.when(F.size(common) == 0, plain).otherwise(full)
+
+
+def amount_with_return(sums: Column, back: Column, back_weight: Column, u: Column,
+                       p: float, q: float) -> Column:
+    """What running sum to reach when all weights but one are divided by q.
+
+    The one at position ``back`` (0 if there is none), of ``back_weight``, is
+    divided by p.  All running sums before it scale by 1/q, all from it on
+    are shifted besides, so the amount can be undone instead of the sums redone.
+    """
+    end = F.get(sums, F.size(sums) - 1)
+    before = F.coalesce(F.get(sums, (back - 2).cast("int")), F.lit(0.0)) / F.lit(q)
+    shift = back_weight / F.lit(p) - back_weight / F.lit(q)
+    amount = u * (end / F.lit(q) + shift)
+    return (F.when((back == 0) | (amount <= before), amount * F.lit(q))
+             .when(amount <= before + back_weight / F.lit(p), F.get(sums, (back - 1).cast("int")))
+             .otherwise((amount - shift) * F.lit(q)))

@@ -31,7 +31,7 @@ class Layout:
     """Neighbour lists laid out for the walk: one row per vertex, or per copy of a hub.
 
     ``table`` is partitioned and sorted by (id[, copy]) and has the lists as
-    parallel arrays.  ``hubs`` gives the copies of each hub; None without hubs.
+    parallel arrays, with the running sums of the weights.  ``hubs`` gives the copies of each hub; None without hubs.
     """
 
     table: DataFrame
@@ -84,7 +84,7 @@ def lay_out(adj: DataFrame, hubs: DataFrame | None = None, directed: bool = Fals
         hubs = adj.sparkSession.createDataFrame([], "id bigint, copies int")
     lists = adj.select("id", F.col("nbrs.nbr").alias("nbr"), F.col("nbrs.weight").alias("weight"),
                        F.col("nbrs.feat").alias("feat"),
-                       draw.total(F.col("nbrs.weight")).alias("total"))
+                       draw.running(F.col("nbrs.weight")).alias("sums"))
     keys = ["id"]
     if hubs is not None:
         copies = F.sequence(F.lit(0), F.coalesce(F.col("copies"), F.lit(1)) - 1)
@@ -100,28 +100,28 @@ def weighted_draw(adj: DataFrame, seed: int, draw_no: int = 0) -> DataFrame:
     weights = F.col("nbrs.weight")
     u = draw.uniform(seed, F.lit(draw_no), F.col("id"), 0)
     drawn = expect(adj, "adj").select(
-        "id", F.element_at("nbrs", draw.pick(weights, draw.total(weights), u)).alias("entry"))
+        "id", F.element_at("nbrs", draw.pick(weights, u * draw.total(weights))).alias("entry"))
     return drawn.select("id", "entry.nbr", "entry.weight", "entry.feat")
 
 
 def walk_start(layout: Layout, num_walks: int, seed: int, q: float = 1.0,
                starts: DataFrame | None = None) -> DataFrame:
-    """The first, unbiased hop of ``num_walks`` walks from every vertex, or from ``starts(id)``."""
+    """The first, unbiased hop of ``num_walks`` walks from every vertex, or from ``starts(id)``.
+
+    States have the walk's number and start, its last two vertices, and a
+    column each for the vertex and feature of every hop in this stretch.
+    """
     lists = layout.table
     if layout.hubs is not None:
         lists = lists.where(F.col("copy") == 0)
     if starts is not None:
         lists = lists.join(starts.select("id").distinct(), "id", "left_semi")
-    rows = lists.withColumn("walk_no", F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))))
-    u = draw.uniform(seed, F.col("walk_no"), F.col("id"), 0)
-    hop = rows.select("walk_no", F.col("id").alias("start"), "nbr", "feat",
-                      draw.pick(F.col("weight"), F.col("total"), u).alias("pos"))
-    drawn = hop.select(
-        "walk_no", "start", *_prev_nbrs(q),
-        F.element_at("nbr", F.col("pos")).alias("cur"), F.element_at("feat", F.col("pos")).alias("f"))
-    return drawn.select("walk_no", "start", F.col("start").alias("prev"), "cur",
-                        *_carried(q), F.array("start", "cur").alias("path"),
-                        F.array("f").alias("feats"))
+    rows = lists.select(F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))).alias("walk_no"),
+                        F.col("id").alias("start"), "nbr", "feat", "sums")
+    amount = draw.uniform(seed, F.col("walk_no"), F.col("start"), 0) * _last("sums")
+    drawn = rows.withColumn("amount", amount).withColumn(
+        "pos", draw.reach(F.col("sums"), F.col("amount")))
+    return drawn.select("walk_no", "start", F.col("start").alias("prev"), *_prev_nbrs(q), *_hop(0))
 
 
 def walk_step(state: DataFrame, layout: Layout, step: int, p: float, q: float,
@@ -133,33 +133,49 @@ def walk_step(state: DataFrame, layout: Layout, step: int, p: float, q: float,
     an inner join would make the optimizer repeat the draw to test the next
     key for null.
     """
-    lists = layout.table
+    hops = [c for c in state.columns if c[0] in "vf" and c[1:].isdigit()]
+    state = state.withColumn("u", draw.uniform(seed, F.col("walk_no"), F.col("start"), step))
     on = F.col("cur") == F.col("id")
     if layout.hubs is not None:
         state = _choose_copy(state, layout.hubs, step)
         on = on & (F.col("to_copy") == F.col("copy"))
-    met = state.join(lists, on, "left")
-    kept = ["walk_no", "start", "prev", "cur", "path", "feats", "nbr", "feat"]
-    first_order = p == 1 and q == 1
-    if first_order:
-        weighed = met.select(*kept, F.col("weight").alias("b"), F.col("total").alias("b_total"))
+    met = state.join(layout.table, on, "left")
+    if p == 1 and q == 1:
+        aimed = met.withColumn("amount", F.col("u") * _last("sums"))
+        drawn = aimed.withColumn("pos", draw.reach(F.col("sums"), F.col("amount")))
     else:
-        common = None
-        if q != 1:
-            met = met.select(*kept, "weight", F.array_intersect("nbr", "prev_nbrs").alias("common"))
-            common = F.col("common")
-        weighed = met.select(*kept, draw.biased(
-            F.col("nbr"), F.col("weight"), F.col("prev"), common, p, q).alias("b"))
-        weighed = weighed.select(*kept, "b", draw.total(F.col("b")).alias("b_total"))
-    u = draw.uniform(seed, F.col("walk_no"), F.col("start"), step)
-    hop = weighed.select(*kept, draw.pick(F.col("b"), F.col("b_total"), u).alias("pos"))
-    drawn = hop.select(
-        "walk_no", "start", "path", "feats", F.col("cur").alias("prev"), *_prev_nbrs(q),
-        F.element_at("nbr", F.col("pos")).alias("next"), F.element_at("feat", F.col("pos")).alias("f"))
-    return drawn.select(
-        "walk_no", "start", "prev", F.col("next").alias("cur"), *_carried(q),
-        _append("path", "next", layout.directed).alias("path"),
-        _append("feats", "f", layout.directed, "next").alias("feats"))
+        drawn = _biased_draw(met, p, q)
+    return drawn.select("walk_no", "start", F.col("cur").alias("prev"), *_prev_nbrs(q),
+                        *hops, *_hop(step))
+
+
+def _biased_draw(met: DataFrame, p: float, q: float) -> DataFrame:
+    """Add ``pos``, the position of the next vertex in the list of ``cur``."""
+    back = F.coalesce(F.array_position("nbr", F.col("prev")), F.lit(0))
+    met = met.withColumn("back", back)
+    met = met.withColumn("amount", draw.amount_with_return(
+        F.col("sums"), F.col("back"),
+        F.coalesce(F.get("weight", (F.col("back") - 1).cast("int")), F.lit(0.0)), F.col("u"), p, q))
+    by_sums = draw.reach(F.col("sums"), F.col("amount"))
+    if q == 1:
+        return met.withColumn("pos", by_sums)
+    # Only where vertices share neighbours must every candidate be weighed.
+    met = met.withColumn("common", F.array_intersect("nbr", "prev_nbrs"))
+    met = met.withColumn("b", F.when(F.size("common") > 0, draw.biased(
+        F.col("nbr"), F.col("weight"), F.col("prev"), F.col("common"), p, q)))
+    by_weighing = draw.pick(F.col("b"), F.col("u") * draw.total(F.col("b")))
+    return met.withColumn("pos", F.when(F.col("b").isNull(), by_sums).otherwise(by_weighing))
+
+
+def as_walks(state: DataFrame, with_start: bool = True, ended: bool = False,
+             keep: tuple = ()) -> DataFrame:
+    """Put the hops of states together as paths and features; ``ended`` if some may be missing."""
+    numbers = sorted(int(c[1:]) for c in state.columns if c[0] == "v" and c[1:].isdigit())
+    path = F.array(*(["start"] if with_start else []), *[f"v{n}" for n in numbers])
+    feats = F.array(*[f"f{n}" for n in numbers])
+    if ended:
+        path, feats = F.array_compact(path), F.array_compact(feats)
+    return state.select("walk_no", "start", *keep, path.alias("path"), feats.alias("feats"))
 
 
 def random_walk(adj: DataFrame | Layout, walk_length: int = 80, num_walks: int = 10,
@@ -183,7 +199,7 @@ def random_walk(adj: DataFrame | Layout, walk_length: int = 80, num_walks: int =
     if walk_length <= checkpoint_every:
         state = _advance(walk_start(layout, num_walks, seed, q, starts),
                          layout, 1, walk_length, p, q, seed)
-        return expect(state, "walks")
+        return expect(as_walks(state, ended=layout.directed), "walks")
     scratch = scratch or Scratch(layout.table.sparkSession)
     layout = layout.persist()
     try:
@@ -197,16 +213,20 @@ def random_walk(adj: DataFrame | Layout, walk_length: int = 80, num_walks: int =
 def _stretches(layout: Layout, walk_length: int, num_walks: int, p: float, q: float, seed: int,
                starts: DataFrame | None, every: int, scratch: Scratch) -> list[DataFrame]:
     state = walk_start(layout, num_walks, seed, q, starts)
+    carried = ["prev", "cur"] + _carried(q)
     written = []
     for first in range(1, walk_length + 1, every):
         last = min(first + every - 1, walk_length)
-        state = scratch.cut(_advance(state, layout, first, last, p, q, seed), "stretch")
-        written.append(state.select("walk_no", "start", F.lit(len(written)).alias("stretch"),
-                                    "path", "feats"))
-        if layout.directed:
-            state = state.where(F.col("cur").isNotNull())
-        state = state.withColumns({"path": F.array().cast("array<bigint>"),
-                                   "feats": F.array().cast("array<string>")})
+        state = _advance(state, layout, first, last, p, q, seed)
+        hops = as_walks(state.withColumn("carried", F.struct(*carried)), first == 1, layout.directed,
+                        keep=() if last == walk_length else ("carried",))
+        stretch = scratch.cut(hops, "stretch")
+        written.append(stretch.select("walk_no", "start", F.lit(len(written)).alias("stretch"),
+                                      "path", "feats"))
+        if last < walk_length:
+            state = stretch.select("walk_no", "start", "carried.*")
+            if layout.directed:
+                state = state.where(F.col("cur").isNotNull())
     return written
 
 
@@ -263,11 +283,15 @@ def _carried(q: float) -> list[str]:
     return ["prev_nbrs"] if q != 1 else []
 
 
-def _append(array: str, value: str, directed: bool, present: str | None = None) -> Column:
-    longer = F.array_append(array, F.col(value))
-    if not directed:
-        return longer
-    return F.when(F.col(present or value).isNull(), F.col(array)).otherwise(longer)
+def _last(sums: str) -> Column:
+    return F.get(sums, F.size(sums) - 1)
+
+
+def _hop(number: int) -> list[Column]:
+    """The drawn vertex, as the current one and as a hop of the stretch, and its feature."""
+    vertex = F.element_at("nbr", F.col("pos"))
+    return [vertex.alias("cur"), vertex.alias(f"v{number}"),
+            F.element_at("feat", F.col("pos")).alias(f"f{number}")]
 
 
 def _choose_copy(state: DataFrame, hubs: DataFrame, step: int) -> DataFrame:

@@ -67,8 +67,8 @@ def adj(graph: str, degree: int | None = 50, directed: bool = False, weighted: b
 
 
 def uniform(walk_no: str, start: str, step: str) -> str:
-    return (f"(('0x'||substr(md5('{SEED}|'||{walk_no}||'|'||{start}||'|'||{step}), 1, 8))::BIGINT"
-            " / 4294967296.0::DOUBLE)")
+    return (f"((('0x'||substr(md5('{SEED}|'||{walk_no}||'|'||{start}||'|'||{step}), 1, 8))::BIGINT"
+            " + 0.5::DOUBLE) / 4294967296.0::DOUBLE)")
 
 
 def first_hop(walks: int = WALKS, where: str = "TRUE") -> str:
@@ -77,7 +77,7 @@ def first_hop(walks: int = WALKS, where: str = "TRUE") -> str:
           sum(weight) OVER (PARTITION BY w.i, a.id ORDER BY a.nbr) AS run,
           sum(weight) OVER (PARTITION BY w.i, a.id) AS total,
           {uniform('w.i', 'a.id', '0')} AS u
-        FROM adj a, range({walks}) w(i) WHERE {where}) WHERE run > u * total
+        FROM adj a, range({walks}) w(i) WHERE {where}) WHERE run >= u * total
         QUALIFY row_number() OVER (PARTITION BY walk_no, start ORDER BY nbr) = 1)"""
 
 
@@ -102,7 +102,7 @@ def walk(p: float = 1.0, q: float = 1.0, steps: int = STEPS, walks: int = WALKS,
           FROM steps w JOIN adj a ON a.id = w.cur
           LEFT JOIN adj c ON c.id = w.prev AND c.nbr = a.nbr
           WHERE w.step < {steps})) x
-      WHERE run > u * total
+      WHERE run >= u * total
       QUALIFY row_number() OVER (PARTITION BY walk_no, start ORDER BY cur) = 1)""",
             f"walk AS (SELECT walk_no, start, path_text, feats_text FROM steps WHERE {last})"]
 
@@ -224,7 +224,7 @@ ORACLES: dict[str, str] = {
     "weighted_draw": sql(adj("customer_part"), f"""SELECT id, nbr, weight, feat FROM (
         SELECT *, sum(weight) OVER (PARTITION BY id ORDER BY nbr) AS run,
           sum(weight) OVER (PARTITION BY id) AS total, {uniform("'3'", 'id', '0')} AS u FROM adj)
-        WHERE run > u * total QUALIFY row_number() OVER (PARTITION BY id ORDER BY nbr) = 1"""),
+        WHERE run >= u * total QUALIFY row_number() OVER (PARTITION BY id ORDER BY nbr) = 1"""),
     "walk_start": sql(adj("customer_part") + walk(steps=0), _WALK),
     "walk_step": sql(adj("customer_part") + walk(2.0, 0.5, 1), _WALK),
     "random_walk": sql(_CP_WALK, _WALK),
