@@ -13,7 +13,8 @@ from pyspark.sql import Column, functions as F
 
 def uniform(seed: int, walk_no: Column, start: Column, step: Column | int) -> Column:
     """A number in (0, 1) from the first 32 bits of an md5; never one of the ends."""
-    step = F.lit(step) if isinstance(step, int) else step
+    # As text, a step number is not part of the generated code.
+    step = F.lit(str(step)) if isinstance(step, int) else step
     key = F.concat_ws("|", F.lit(str(seed)), walk_no.cast("string"),
                       start.cast("string"), step.cast("string"))
     bits = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")

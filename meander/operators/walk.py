@@ -108,8 +108,8 @@ def walk_start(layout: Layout, num_walks: int, seed: int, q: float = 1.0,
                starts: DataFrame | None = None) -> DataFrame:
     """The first, unbiased hop of ``num_walks`` walks from every vertex, or from ``starts(id)``.
 
-    States have the walk's number and start, its last two vertices, and a
-    column each for the vertex and feature of every hop in this stretch.
+    States have the walk's number and start, its last two vertices, and the
+    vertices and features met in this stretch.
     """
     lists = layout.table
     if layout.hubs is not None:
@@ -121,7 +121,9 @@ def walk_start(layout: Layout, num_walks: int, seed: int, q: float = 1.0,
     amount = draw.uniform(seed, F.col("walk_no"), F.col("start"), 0) * _last("sums")
     drawn = rows.withColumn("amount", amount).withColumn(
         "pos", draw.reach(F.col("sums"), F.col("amount")))
-    return drawn.select("walk_no", "start", F.col("start").alias("prev"), *_prev_nbrs(q), *_hop(0))
+    hop = drawn.select("walk_no", "start", *_prev_nbrs(q), *_hop())
+    return hop.select("walk_no", "start", F.col("start").alias("prev"), *_carried(q), "cur",
+                      F.array("start", "cur").alias("path"), F.array("feat").alias("feats"))
 
 
 def walk_step(state: DataFrame, layout: Layout, step: int, p: float, q: float,
@@ -131,22 +133,30 @@ def walk_step(state: DataFrame, layout: Layout, step: int, p: float, q: float,
     The join is an outer one: in a directed graph a walk may end at a vertex
     without out-edges.  In an undirected graph every state finds its list, and
     an inner join would make the optimizer repeat the draw to test the next
-    key for null.
+    key for null.  The draw has no lambda, so join and draw are one piece of
+    generated code, and as states keep their columns it is the same code, and
+    compiled once, for all steps.
     """
-    hops = [c for c in state.columns if c[0] in "vf" and c[1:].isdigit()]
     state = state.withColumn("u", draw.uniform(seed, F.col("walk_no"), F.col("start"), step))
     on = F.col("cur") == F.col("id")
     if layout.hubs is not None:
         state = _choose_copy(state, layout.hubs, step)
         on = on & (F.col("to_copy") == F.col("copy"))
-    met = state.join(layout.table, on, "left")
+    # Lists of vertices, broadcast, would make one method of all steps, too long to be compiled.
+    met = state.join(layout.table.hint("merge"), on, "left")
     if p == 1 and q == 1:
         aimed = met.withColumn("amount", F.col("u") * _last("sums"))
         drawn = aimed.withColumn("pos", draw.reach(F.col("sums"), F.col("amount")))
     else:
         drawn = _biased_draw(met, p, q)
-    return drawn.select("walk_no", "start", F.col("cur").alias("prev"), *_prev_nbrs(q),
-                        *hops, *_hop(step))
+    hop = drawn.select("walk_no", "start", F.col("cur").alias("prev"), *_prev_nbrs(q),
+                       "path", "feats", *_hop())
+    longer = {"path": F.array_append("path", F.col("cur")),
+              "feats": F.array_append("feats", F.col("feat"))}
+    if layout.directed:
+        longer = {name: F.when(F.col("cur").isNull(), F.col(name)).otherwise(array)
+                  for name, array in longer.items()}
+    return hop.withColumns(longer).drop("feat")
 
 
 def _biased_draw(met: DataFrame, p: float, q: float) -> DataFrame:
@@ -167,17 +177,6 @@ def _biased_draw(met: DataFrame, p: float, q: float) -> DataFrame:
     return met.withColumn("pos", F.when(F.col("b").isNull(), by_sums).otherwise(by_weighing))
 
 
-def as_walks(state: DataFrame, with_start: bool = True, ended: bool = False,
-             keep: tuple = ()) -> DataFrame:
-    """Put the hops of states together as paths and features; ``ended`` if some may be missing."""
-    numbers = sorted(int(c[1:]) for c in state.columns if c[0] == "v" and c[1:].isdigit())
-    path = F.array(*(["start"] if with_start else []), *[f"v{n}" for n in numbers])
-    feats = F.array(*[f"f{n}" for n in numbers])
-    if ended:
-        path, feats = F.array_compact(path), F.array_compact(feats)
-    return state.select("walk_no", "start", *keep, path.alias("path"), feats.alias("feats"))
-
-
 def random_walk(adj: DataFrame | Layout, walk_length: int = 80, num_walks: int = 10,
                 p: float = 1.0, q: float = 1.0, seed: int = 42, directed: bool = False,
                 starts: DataFrame | None = None, checkpoint_every: int = 8,
@@ -199,7 +198,7 @@ def random_walk(adj: DataFrame | Layout, walk_length: int = 80, num_walks: int =
     if walk_length <= checkpoint_every:
         state = _advance(walk_start(layout, num_walks, seed, q, starts),
                          layout, 1, walk_length, p, q, seed)
-        return expect(as_walks(state, ended=layout.directed), "walks")
+        return expect(state, "walks")
     scratch = scratch or Scratch(layout.table.sparkSession)
     layout = layout.persist()
     try:
@@ -213,18 +212,18 @@ def random_walk(adj: DataFrame | Layout, walk_length: int = 80, num_walks: int =
 def _stretches(layout: Layout, walk_length: int, num_walks: int, p: float, q: float, seed: int,
                starts: DataFrame | None, every: int, scratch: Scratch) -> list[DataFrame]:
     state = walk_start(layout, num_walks, seed, q, starts)
-    carried = ["prev", "cur"] + _carried(q)
     written = []
     for first in range(1, walk_length + 1, every):
         last = min(first + every - 1, walk_length)
         state = _advance(state, layout, first, last, p, q, seed)
-        hops = as_walks(state.withColumn("carried", F.struct(*carried)), first == 1, layout.directed,
-                        keep=() if last == walk_length else ("carried",))
-        stretch = scratch.cut(hops, "stretch")
-        written.append(stretch.select("walk_no", "start", F.lit(len(written)).alias("stretch"),
-                                      "path", "feats"))
+        if last == walk_length:
+            state = state.select("walk_no", "start", "path", "feats")
+        state = scratch.cut(state, "stretch")
+        written.append(state.select("walk_no", "start", F.lit(len(written)).alias("stretch"),
+                                    "path", "feats"))
         if last < walk_length:
-            state = stretch.select("walk_no", "start", "carried.*")
+            state = state.withColumns({"path": F.array().cast("array<bigint>"),
+                                       "feats": F.array().cast("array<string>")})
             if layout.directed:
                 state = state.where(F.col("cur").isNotNull())
     return written
@@ -287,11 +286,10 @@ def _last(sums: str) -> Column:
     return F.get(sums, F.size(sums) - 1)
 
 
-def _hop(number: int) -> list[Column]:
-    """The drawn vertex, as the current one and as a hop of the stretch, and its feature."""
-    vertex = F.element_at("nbr", F.col("pos"))
-    return [vertex.alias("cur"), vertex.alias(f"v{number}"),
-            F.element_at("feat", F.col("pos")).alias(f"f{number}")]
+def _hop() -> list[Column]:
+    """The drawn vertex and its feature."""
+    return [F.element_at("nbr", F.col("pos")).alias("cur"),
+            F.element_at("feat", F.col("pos")).alias("feat")]
 
 
 def _choose_copy(state: DataFrame, hubs: DataFrame, step: int) -> DataFrame:
