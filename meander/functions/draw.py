@@ -62,10 +62,15 @@ def biased(nbr: Column, weight: Column, prev: Column, common: Column,
 
     Back to ``prev``: w/p; to a neighbour of ``prev`` (one in ``common``): w; else w/q.
     """
-    return F.zip_with(
+    plain = F.zip_with(
+        nbr, weight, lambda n, w: F.when(n == prev, w / F.lit(p)).otherwise(w / F.lit(q)))
+    full = F.zip_with(
         nbr, weight,
         lambda n, w: F.when(n == prev, w / F.lit(p))
                       .when(F.array_contains(common, n), w).otherwise(w / F.lit(q)))
+    # Reading `common` twice also keeps the optimizer from moving what makes
+    # it into the lambda, to be redone per candidate.
+    return F.when(F.size(common) == 0, plain).otherwise(full)
 
 
 def amount_with_return(sums: Column, back: Column, back_weight: Column, u: Column,

@@ -105,11 +105,12 @@ def weighted_draw(adj: DataFrame, seed: int, draw_no: int = 0) -> DataFrame:
 
 
 def walk_start(layout: Layout, num_walks: int, seed: int, q: float = 1.0,
-               starts: DataFrame | None = None) -> DataFrame:
+               starts: DataFrame | None = None, room: int = 9) -> DataFrame:
     """The first, unbiased hop of ``num_walks`` walks from every vertex, or from ``starts(id)``.
 
     States have the walk's number and start, its last two vertices, and the
-    vertices and features met in this stretch.
+    last ``room`` vertices (v1, v2, ...) and their features (f1, f2, ...), the
+    newest last.
     """
     lists = layout.table
     if layout.hubs is not None:
@@ -122,8 +123,9 @@ def walk_start(layout: Layout, num_walks: int, seed: int, q: float = 1.0,
     drawn = rows.withColumn("amount", amount).withColumn(
         "pos", draw.reach(F.col("sums"), F.col("amount")))
     hop = drawn.select("walk_no", "start", *_prev_nbrs(q), *_hop())
-    return hop.select("walk_no", "start", F.col("start").alias("prev"), *_carried(q), "cur",
-                      F.array("start", "cur").alias("path"), F.array("feat").alias("feats"))
+    state = hop.select("walk_no", "start", F.col("start").alias("prev"), *_carried(q), "cur", "feat",
+                       *_empty_slots(room))
+    return _shift(state, q)
 
 
 def walk_step(state: DataFrame, layout: Layout, step: int, p: float, q: float,
@@ -133,9 +135,8 @@ def walk_step(state: DataFrame, layout: Layout, step: int, p: float, q: float,
     The join is an outer one: in a directed graph a walk may end at a vertex
     without out-edges.  In an undirected graph every state finds its list, and
     an inner join would make the optimizer repeat the draw to test the next
-    key for null.  The draw has no lambda, so join and draw are one piece of
-    generated code, and as states keep their columns it is the same code, and
-    compiled once, for all steps.
+    key for null.  A first-order draw has no lambda, so join and draw are one
+    piece of generated code.
     """
     state = state.withColumn("u", draw.uniform(seed, F.col("walk_no"), F.col("start"), step))
     on = F.col("cur") == F.col("id")
@@ -149,14 +150,26 @@ def walk_step(state: DataFrame, layout: Layout, step: int, p: float, q: float,
         drawn = aimed.withColumn("pos", draw.reach(F.col("sums"), F.col("amount")))
     else:
         drawn = _biased_draw(met, p, q)
-    hop = drawn.select("walk_no", "start", F.col("cur").alias("prev"), *_prev_nbrs(q),
-                       "path", "feats", *_hop())
-    longer = {"path": F.array_append("path", F.col("cur")),
-              "feats": F.array_append("feats", F.col("feat"))}
-    if layout.directed:
-        longer = {name: F.when(F.col("cur").isNull(), F.col(name)).otherwise(array)
-                  for name, array in longer.items()}
-    return hop.withColumns(longer).drop("feat")
+    hop = drawn.select("walk_no", "start", F.col("cur").alias("prev"), *_prev_nbrs(q), *_hop(),
+                       *[c for c in state.columns if _is_slot(c)])
+    return _shift(hop, q)
+
+
+def _empty_slots(room: int) -> list[Column]:
+    return [F.lit(None).cast(kind).alias(f"{name}{i}")
+            for name, kind in (("v", "bigint"), ("f", "string")) for i in range(1, room + 1)]
+
+
+def _is_slot(column: str) -> bool:
+    return column[0] in "vf" and column[1:].isdigit()
+
+
+def _shift(hop: DataFrame, q: float) -> DataFrame:
+    """Move ``cur`` and ``feat`` into the last slots, and all others one forward."""
+    room = sum(_is_slot(c) for c in hop.columns) // 2
+    slots = [F.col(f"{name}{i + 1}" if i < room else newest).alias(f"{name}{i}")
+             for name, newest in (("v", "cur"), ("f", "feat")) for i in range(1, room + 1)]
+    return hop.select("walk_no", "start", "prev", *_carried(q), "cur", *slots)
 
 
 def _biased_draw(met: DataFrame, p: float, q: float) -> DataFrame:
@@ -177,6 +190,18 @@ def _biased_draw(met: DataFrame, p: float, q: float) -> DataFrame:
     return met.withColumn("pos", F.when(F.col("b").isNull(), by_sums).otherwise(by_weighing))
 
 
+def as_walks(state: DataFrame, hops: int, with_start: bool = True, ended: bool = False,
+             keep: tuple = ()) -> DataFrame:
+    """The last ``hops`` hops of states as paths and features; ``ended`` if some may be missing."""
+    room = sum(_is_slot(c) for c in state.columns) // 2
+    last = range(room - hops + 1, room + 1)
+    path = F.array(*(["start"] if with_start else []), *[f"v{i}" for i in last])
+    feats = F.array(*[f"f{i}" for i in last])
+    if ended:
+        path, feats = F.array_compact(path), F.array_compact(feats)
+    return state.select("walk_no", "start", *keep, path.alias("path"), feats.alias("feats"))
+
+
 def random_walk(adj: DataFrame | Layout, walk_length: int = 80, num_walks: int = 10,
                 p: float = 1.0, q: float = 1.0, seed: int = 42, directed: bool = False,
                 starts: DataFrame | None = None, checkpoint_every: int = 8,
@@ -196,9 +221,9 @@ def random_walk(adj: DataFrame | Layout, walk_length: int = 80, num_walks: int =
         hubs = find_hubs(adj, num_walks, walks_per_task)
         layout = lay_out(adj, hubs, directed, num_partitions)
     if walk_length <= checkpoint_every:
-        state = _advance(walk_start(layout, num_walks, seed, q, starts),
+        state = _advance(walk_start(layout, num_walks, seed, q, starts, walk_length + 1),
                          layout, 1, walk_length, p, q, seed)
-        return expect(state, "walks")
+        return expect(as_walks(state, walk_length + 1, ended=layout.directed), "walks")
     scratch = scratch or Scratch(layout.table.sparkSession)
     layout = layout.persist()
     try:
@@ -211,19 +236,21 @@ def random_walk(adj: DataFrame | Layout, walk_length: int = 80, num_walks: int =
 
 def _stretches(layout: Layout, walk_length: int, num_walks: int, p: float, q: float, seed: int,
                starts: DataFrame | None, every: int, scratch: Scratch) -> list[DataFrame]:
-    state = walk_start(layout, num_walks, seed, q, starts)
+    room = every + 1
+    state = walk_start(layout, num_walks, seed, q, starts, room)
     written = []
     for first in range(1, walk_length + 1, every):
         last = min(first + every - 1, walk_length)
         state = _advance(state, layout, first, last, p, q, seed)
-        if last == walk_length:
-            state = state.select("walk_no", "start", "path", "feats")
-        state = scratch.cut(state, "stretch")
-        written.append(state.select("walk_no", "start", F.lit(len(written)).alias("stretch"),
-                                    "path", "feats"))
+        opening = first == 1
+        hops = last - first + (2 if opening else 1)
+        keep = () if last == walk_length else ("prev", "cur", *_carried(q))
+        stretch = scratch.cut(as_walks(state, hops, opening, layout.directed, keep), "stretch")
+        written.append(stretch.select("walk_no", "start", F.lit(len(written)).alias("stretch"),
+                                      "path", "feats"))
         if last < walk_length:
-            state = state.withColumns({"path": F.array().cast("array<bigint>"),
-                                       "feats": F.array().cast("array<string>")})
+            state = stretch.select("walk_no", "start", "prev", *_carried(q), "cur",
+                                   *_empty_slots(room))
             if layout.directed:
                 state = state.where(F.col("cur").isNotNull())
     return written

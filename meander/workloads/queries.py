@@ -277,7 +277,7 @@ def weighted_draw(spark, sf_dir):
 def walk_start(spark, sf_dir):
     """O-31"""
     layout = W.lay_out(_adj(spark, sf_dir, "customer_part"))
-    return as_text(W.walk_start(layout, WALKS, SEED))
+    return as_text(W.as_walks(W.walk_start(layout, WALKS, SEED), 1))
 
 
 @query
@@ -285,7 +285,7 @@ def walk_step(spark, sf_dir):
     """O-26"""
     layout = W.lay_out(_adj(spark, sf_dir, "customer_part"))
     state = W.walk_start(layout, WALKS, SEED, 0.5)
-    return as_text(W.walk_step(state, layout, 1, 2.0, 0.5, SEED))
+    return as_text(W.as_walks(W.walk_step(state, layout, 1, 2.0, 0.5, SEED), 2))
 
 
 @query
