@@ -31,17 +31,14 @@ class Layout:
     """Neighbour lists laid out for the walk: one row per vertex, or per copy of a hub.
 
     ``table`` is partitioned and sorted by (id[, copy]) and has the lists as
-    parallel arrays, with the running sums of the weights.  ``hubs`` gives the copies of each hub; None without hubs.
+    parallel arrays, with the running sums of the weights.  ``hubs`` gives the
+    copies of each hub; None without hubs.
     """
 
     table: DataFrame
     hubs: DataFrame | None
     directed: bool
 
-    @property
-    def keys(self) -> list[str]:
-        return ["id"] if self.hubs is None else ["id", "copy"]
-
     def persist(self) -> "Layout":
         return Layout(self.table.persist(StorageLevel.MEMORY_AND_DISK), self.hubs, self.directed)
 

@@ -40,8 +40,9 @@ def random_walks(spark: SparkSession, params: Params) -> None:
 def embedding(spark: SparkSession, params: Params) -> None:
     """Fit vectors on written walks; write ``<output>.bin`` and ``<output>.emb``.
 
-    Feature walks, if ``feat_walk_path`` or separators show them as such, need
-    ``node_path``, the node2feat table, to name the vertices of each feature.
+    With ``node_path``, a written node2feat table, the input is taken as feature
+    walks and the vectors go beside the vertices that carry each feature;
+    without it as id walks, and the vectors go beside the ids.
     """
     params.require("input", "output")
     with Scratch(spark) as scratch:

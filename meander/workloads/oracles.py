@@ -203,7 +203,10 @@ ORACLES: dict[str, str] = {
     "index_edges": sql(indexed("supplier_part"), "SELECT * FROM indexed"),
     "half_indexed_text": sql(indexed("supplier_part"), f"""SELECT dst||' '||{SEP}||' '||id||' '||
         src_feat||' '||dst_feat AS value FROM padded JOIN node2id ON node = src"""),
-    "adjacency": sql(adj("customer_part", None), "SELECT id, nbr, weight, feat FROM adj"),
+    "neighbour_edges": sql(adj("customer_part", None), "SELECT id, nbr, weight, feat FROM adj"),
+    "adjacency": sql(adj("customer_part"), """SELECT id, count(*)::INTEGER AS n,
+        string_agg(nbr::VARCHAR, ' ' ORDER BY nbr) AS nbrs, string_agg(feat, ' ' ORDER BY nbr) AS feats
+        FROM adj GROUP BY id"""),
     "adjacency_directed": sql(adj("tripartite", 50, True, False),
                               "SELECT id, nbr, weight, feat FROM adj"),
     "degree_cap": sql(adj("supplier_part"), "SELECT id, nbr, weight, feat FROM adj"),

@@ -43,6 +43,12 @@ def _adj(spark: SparkSession, sf_dir: str, graph: str, degree: int = DEGREE,
     return G.indexed(spark, sf_dir, graph, scratch or Scratch(spark)).adjacency(degree)
 
 
+def _written_adj(spark: SparkSession, sf_dir: str, graph: str, degree: int) -> DataFrame:
+    """Lists for operators that read them more than once."""
+    scratch = Scratch(spark)
+    return scratch.cut(_adj(spark, sf_dir, graph, degree, scratch), "adj")
+
+
 def _walks(spark: SparkSession, sf_dir: str, graph: str, p: float = 1.0, q: float = 1.0,
            steps: int = STEPS, walks: int = WALKS, every: int = 8, degree: int = DEGREE) -> DataFrame:
     scratch = Scratch(spark)
@@ -215,11 +221,18 @@ def half_indexed_text(spark, sf_dir):
     return Wr.half_indexed_lines(I.half_indexed(graph.padded, graph.node2id))
 
 
+@query
+def neighbour_edges(spark, sf_dir):
+    """O-23 as rows, which need no cap."""
+    return A.neighbour_edges(G.indexed(spark, sf_dir, "customer_part", Scratch(spark)).edges)
+
+
 @query
 def adjacency(spark, sf_dir):
-    """O-23 without a cap."""
-    graph = G.indexed(spark, sf_dir, "customer_part", Scratch(spark))
-    return A.adj_edges(A.gather(A.neighbour_edges(graph.edges)))
+    """O-23 as lists, capped."""
+    rows = _adj(spark, sf_dir, "customer_part")
+    return rows.select("id", F.size("nbrs").alias("n"), X.joined(F.col("nbrs.nbr"), " ").alias("nbrs"),
+                       X.joined(F.col("nbrs.feat"), " ").alias("feats"))
 
 
 @query
@@ -245,7 +258,7 @@ def adj_edges(spark, sf_dir):
 @query
 def triplets(spark, sf_dir):
     """O-19"""
-    rows = A.triplets(_adj(spark, sf_dir, "user_key", TABLE_DEGREE))
+    rows = A.triplets(_written_adj(spark, sf_dir, "user_key", TABLE_DEGREE))
     return rows.select("src_id", "dst_id", "weight", "dst_feat",
                        X.joined(F.col("src_nbrs.nbr"), " ").alias("src_nbrs"),
                        X.joined(F.col("dst_nbrs.nbr"), " ").alias("dst_nbrs"))
@@ -262,7 +275,7 @@ def transition1(spark, sf_dir):
 @query
 def transition2(spark, sf_dir):
     """O-29"""
-    return T.transition2(_adj(spark, sf_dir, "tripartite", TABLE_DEGREE), 0.25, 4.0)
+    return T.transition2(_written_adj(spark, sf_dir, "tripartite", TABLE_DEGREE), 0.25, 4.0)
 
 
 @query
