@@ -10,13 +10,14 @@ The stretches are put together once, at the end.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meander.functions import draw
-from meander.operators.joins import HOT_SHARE
+from meander.operators.joins import HOT_SHARE, frequent_keys
 from meander.schemas import expect
 from meander.scratch import Scratch
 
@@ -38,9 +39,11 @@ class Layout:
     table: DataFrame
     hubs: DataFrame | None
     directed: bool
+    adj: DataFrame
+    num_partitions: int
 
     def persist(self) -> "Layout":
-        return Layout(self.table.persist(StorageLevel.MEMORY_AND_DISK), self.hubs, self.directed)
+        return replace(self, table=self.table.persist(StorageLevel.MEMORY_AND_DISK))
 
     def release(self) -> None:
         self.table.unpersist()
@@ -70,6 +73,33 @@ def find_hubs(adj: DataFrame, num_walks: int, walks_per_task: int = WALKS_PER_TA
     return spark.createDataFrame(hubs.where("copies > 1").collect(), "id bigint, copies int")
 
 
+def crowded(stretch: DataFrame, hops: int, walks_per_task: int = WALKS_PER_TASK) -> dict[int, int]:
+    """Vertices met too often in a written stretch of ``hops`` hops, with the copies they need.
+
+    A sketch over the paths names the candidates, few by its nature; these are counted.
+    """
+    walks = stretch.count()
+    limit = max(float(walks_per_task), walks * HOT_SHARE)
+    if walks <= limit:
+        return {}
+    met = stretch.select(F.explode("path").alias("id"))
+    # The sketch takes shares from 1e-4.
+    found = frequent_keys(met, ["id"], max(1e-4, HOT_SHARE / (hops + 1)))["id"]
+    counts = met.where(F.col("id").isin(found)).groupBy("id").count().where(F.col("count") > limit)
+    return {r["id"]: math.ceil(r["count"] / limit) for r in counts.collect()}
+
+
+def with_crowded(layout: Layout, copies: dict[int, int]) -> Layout:
+    """The layout itself if its hubs have these copies; else a new one, kept in place of it."""
+    known = {} if layout.hubs is None else {r["id"]: r["copies"] for r in layout.hubs.collect()}
+    if all(known.get(v, 1) >= n for v, n in copies.items()):
+        return layout
+    merged = known | {v: max(n, known.get(v, 1)) for v, n in copies.items()}
+    hubs = layout.adj.sparkSession.createDataFrame(sorted(merged.items()), "id bigint, copies int")
+    layout.release()
+    return lay_out(layout.adj, hubs, layout.directed, layout.num_partitions).persist()
+
+
 def lay_out(adj: DataFrame, hubs: DataFrame | None = None, directed: bool = False,
             num_partitions: int | None = None) -> Layout:
     """Partition the neighbour lists by vertex, hubs repeated, for the joins of the walk."""
@@ -89,7 +119,8 @@ def lay_out(adj: DataFrame, hubs: DataFrame | None = None, directed: bool = Fals
                  .withColumn("copy", F.explode(copies)).drop("copies"))
         keys = ["id", "copy"]
     count = num_partitions or int(adj.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return Layout(lists.repartition(count, *keys).sortWithinPartitions(*keys), hubs, directed)
+    table = lists.repartition(count, *keys).sortWithinPartitions(*keys)
+    return Layout(table, hubs, directed, adj, count)
 
 
 def weighted_draw(adj: DataFrame, seed: int, draw_no: int = 0) -> DataFrame:
@@ -222,34 +253,36 @@ def random_walk(adj: DataFrame | Layout, walk_length: int = 80, num_walks: int =
                          layout, 1, walk_length, p, q, seed)
         return expect(as_walks(state, walk_length + 1, ended=layout.directed), "walks")
     scratch = scratch or Scratch(layout.table.sparkSession)
-    layout = layout.persist()
-    try:
-        stretches = _stretches(layout, walk_length, num_walks, p, q, seed, starts,
-                               checkpoint_every, scratch)
-    finally:
-        layout.release()
-    return _put_together(stretches)
+    return _put_together(_stretches(layout.persist(), walk_length, num_walks, p, q, seed, starts,
+                                    checkpoint_every, scratch, walks_per_task))
 
 
 def _stretches(layout: Layout, walk_length: int, num_walks: int, p: float, q: float, seed: int,
-               starts: DataFrame | None, every: int, scratch: Scratch) -> list[DataFrame]:
+               starts: DataFrame | None, every: int, scratch: Scratch,
+               walks_per_task: int) -> list[DataFrame]:
+    """Walk and write stretch by stretch; between two, spread the vertices that have become crowded."""
     room = every + 1
     state = walk_start(layout, num_walks, seed, q, starts, room)
     written = []
-    for first in range(1, walk_length + 1, every):
-        last = min(first + every - 1, walk_length)
-        state = _advance(state, layout, first, last, p, q, seed)
-        opening = first == 1
-        hops = last - first + (2 if opening else 1)
-        keep = () if last == walk_length else ("prev", "cur", *_carried(q))
-        stretch = scratch.cut(as_walks(state, hops, opening, layout.directed, keep), "stretch")
-        written.append(stretch.select("walk_no", "start", F.lit(len(written)).alias("stretch"),
-                                      "path", "feats"))
-        if last < walk_length:
+    try:
+        for first in range(1, walk_length + 1, every):
+            last = min(first + every - 1, walk_length)
+            state = _advance(state, layout, first, last, p, q, seed)
+            opening = first == 1
+            hops = last - first + (2 if opening else 1)
+            keep = () if last == walk_length else ("prev", "cur", *_carried(q))
+            stretch = scratch.cut(as_walks(state, hops, opening, layout.directed, keep), "stretch")
+            written.append(stretch.select("walk_no", "start", F.lit(len(written)).alias("stretch"),
+                                          "path", "feats"))
+            if last == walk_length:
+                break
             state = stretch.select("walk_no", "start", "prev", *_carried(q), "cur",
                                    *_empty_slots(room))
             if layout.directed:
                 state = state.where(F.col("cur").isNotNull())
+            layout = with_crowded(layout, crowded(stretch, hops, walks_per_task))
+    finally:
+        layout.release()
     return written
 
 

@@ -52,6 +52,25 @@ def test_hubs_are_spread(spark, graph, scratch):
     assert W.find_hubs(star, 10).isEmpty()
 
 
+def test_walks_that_gather_late_are_spread(spark, graph, scratch):
+    """Few edges lead to a heavy pair, but what gets there stays there."""
+    adj = scratch.cut(graph([(i, (i + 1) % 60) for i in range(60)] + [(0, 100, 5), (100, 101, 1e6)]))
+    def run(**how):
+        return W.random_walk(adj, 12, 20, seed=2, scratch=scratch, checkpoint_every=3, **how)
+    want = rows(run())
+    assert rows(run(walks_per_task=100)) == want
+    met = run().select(F.lit(0).alias("walk_no"), "start", "path")
+    copies = W.crowded(met, 13, walks_per_task=500)
+    assert copies[100] > 1 and copies[101] > 1 and len(copies) < 10
+    assert W.crowded(met, 13) == {}
+    layout = W.lay_out(adj).persist()
+    again = W.with_crowded(layout, copies)
+    assert again.table.where("id = 100").count() == copies[100] and again.hubs is not None
+    assert W.with_crowded(again, {100: copies[100]}) is again
+    assert W.with_crowded(layout, {}) is layout
+    again.release()
+
+
 def test_forced_paths(graph, scratch):
     walks = W.random_walk(graph([(0, k) for k in range(1, 6)]), 5, 2, scratch=scratch).collect()
     for w in walks:
