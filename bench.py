@@ -22,9 +22,8 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 
-HEADLINE = ["pad_edges", "node2id", "index_edges", "adjacency", "degree_cap", "triplets",
-            "transition1", "transition2", "random_walk", "random_walk_pq", "random_walk_tri",
-            "walk_text", "hop_tag"]
+HEADLINE = ["pad_edges", "node2id", "index_edges", "adjacency", "triplets", "transition1",
+            "transition2", "random_walk", "random_walk_tri", "hop_tag"]
 LONG_STEPS, LONG_WALKS = 16, 10
 
 
