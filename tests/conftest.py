@@ -1,6 +1,6 @@
 import pytest
 
-from meander.operators import adjacency as A, index as I
+from meander.operators import adjacency as A
 from meander.scratch import Scratch
 from tests.session import session
 
