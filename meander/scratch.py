@@ -8,32 +8,58 @@ they use.
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_ROOTS: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only a local master, where every task runs on this machine, may go without
-    the setting; it then gets a temporary folder.
+    A session without that setting uses its warehouse folder, which every
+    session names and which executors must share anyway to write tables.
+    Several machines can't share a ``file:`` folder by themselves; a warehouse
+    that is one is refused unless the master is local.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="meander-")
-    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and folder.startswith(("file:", "/")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _at_end(application: str) -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None and spark.sparkContext.applicationId == application:
+        _delete(spark, _ROOTS[application])
+
+
+def application_root(spark: SparkSession) -> str:
+    """One folder per application, deleted when the program ends."""
+    application = spark.sparkContext.applicationId
+    if application not in _ROOTS:
+        _ROOTS[application] = f"{shared_folder(spark)}/meander-{application}-{uuid.uuid4().hex[:8]}"
+        atexit.register(_at_end, application)
+    return _ROOTS[application]
 
 
 class Scratch:
-    """A folder of intermediate tables, made once per run and dropped by ``close``."""
+    """A folder of intermediate tables, dropped by ``close`` or else with the application."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
-        self.root = f"{(folder or shared_folder(spark)).rstrip('/')}/meander-{uuid.uuid4().hex}"
+        self.root = f"{(folder or application_root(spark)).rstrip('/')}/{uuid.uuid4().hex}"
         self._count = 0
 
     def path(self, name: str) -> str:
@@ -41,10 +67,10 @@ class Scratch:
         self._count += 1
         return f"{self.root}/{self._count:04d}-{name}"
 
-    def cut(self, df: DataFrame, name: str = "table") -> DataFrame:
+    def cut(self, df: DataFrame, name: str = "table", compression: str = "snappy") -> DataFrame:
         """Write ``df`` and return a table that reads the files."""
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def text(self, lines: DataFrame, name: str = "lines") -> str:
@@ -55,10 +81,7 @@ class Scratch:
 
     def close(self) -> None:
         """Delete the folder; tables returned by ``cut`` can't be read after that."""
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.root)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        target.getFileSystem(conf).delete(target, True)
+        _delete(self.spark, self.root)
 
     def __enter__(self) -> "Scratch":
         return self
