@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meander.llm.common import binaries, components, long_arrays, signed, slices
+from meander.llm.postings import SCHEMA, SHARED, common_hashes, deal, shared_hashes, shared_owners
 from meander.llm.words import Words, mix, position_mask, shingle_hashes, text_of
 from meander.operators.joins import attach
 from meander.scratch import Scratch
@@ -95,59 +96,6 @@ def _read(n: int, percent: int):
     return run
 
 
-def _buckets(values: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(values, 31) % np.uint64(buckets)).astype(np.int64)
-
-
-def _deal(column: str, buckets: int):
-    """(set_id, hashes) to (bucket, hashes, sets): what a slice has for each bucket."""
-    def run(batches):
-        for batch in slices(batches, column, 8 << 20):
-            blobs = batch.column(1)
-            values = np.concatenate([np.frombuffer(b, np.uint64) for b in blobs.to_pylist()] or [np.zeros(0, np.uint64)])
-            counts = np.asarray(pa.compute.binary_length(blobs), np.int64) // 8
-            owner = np.repeat(np.asarray(batch.column(0), np.int64), counts)
-            to = _buckets(values, buckets)
-            order = np.lexsort((owner, values, to))
-            values, owner, to = values[order], owner[order], to[order]
-            new = np.r_[True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])] if len(values) else np.zeros(0, bool)
-            values, owner, to = values[new], owner[new], to[new]
-            at = np.searchsorted(to, np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(at))
-            cut = np.r_[at[full], len(to)]
-            yield pa.record_batch([pa.array(full), binaries(values, cut), binaries(owner, cut)], ["bucket", "hashes", "sets"])
-    return run
-
-
-def _gather(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A bucket's distinct (hash, set) in order, and for each how many sets have the hash."""
-    values = np.concatenate([np.frombuffer(b, np.uint64) for b in pdf["hashes"]])
-    owner = np.concatenate([np.frombuffer(b, np.int64) for b in pdf["sets"]])
-    order = np.lexsort((owner, values))
-    values, owner = values[order], owner[order]
-    new = np.r_[True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])]
-    values, owner = values[new], owner[new]
-    start = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-    df = np.diff(np.r_[start, len(values)])
-    return values, owner, np.repeat(df, df)
-
-
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    _, owner, df = _gather(pdf)
-    return pd.DataFrame({"set_id": np.unique(owner[df > 1])})
-
-
-def _frequencies(pdf: pd.DataFrame) -> pd.DataFrame:
-    values, owner, df = _gather(pdf)
-    values, owner, df = values[df > 1], owner[df > 1], df[df > 1]
-    order = np.argsort(owner, kind="stable")
-    values, owner, df = values[order], owner[order], df[order].astype(np.int64)
-    start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, int)
-    stop = [*start[1:], len(owner)]
-    return pd.DataFrame({"set_id": owner[start], "hashes": [values[a:b].tobytes() for a, b in zip(start, stop)],
-                         "df": [df[a:b].tobytes() for a, b in zip(start, stop)]}, columns=["set_id", "hashes", "df"])
-
-
 def _read_sets(n: int):
     def run(batches):
         for batch in slices(batches, "text"):
@@ -237,8 +185,8 @@ def set_links(docs: DataFrame, scratch: Scratch, words: int, percent: int) -> tu
     buckets = max(parts, total // 4 // GROUP_SHINGLES)
 
     known = rows.where("set_id is not null and doc_id is not null")
-    dealt = known.select("set_id", "prefix").mapInArrow(_deal("prefix", buckets), "bucket long, hashes binary, sets binary")
-    active = dealt.groupBy("bucket").applyInPandas(_shared, "set_id long").distinct()
+    dealt = known.select("set_id", "prefix").mapInArrow(deal("prefix", buckets), SCHEMA)
+    active = dealt.groupBy("bucket").applyInPandas(shared_owners, "owner long").distinct().withColumnRenamed("owner", "set_id")
     wanted = scratch.cut(known.join(active, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.max("n").alias("n")), "active")
     stats = wanted.agg(F.count("*"), F.sum("n")).first()
     ids = wanted.select(F.col("id").alias("doc_id"), "set_id")
@@ -247,10 +195,11 @@ def set_links(docs: DataFrame, scratch: Scratch, words: int, percent: int) -> tu
                        .mapInArrow(_read_sets(words), "set_id long, n long, hashes binary"), "active-sets", "zstd")
 
     buckets = max(parts, (stats[1] or 0) // GROUP_SHINGLES)
-    dealt = sets.select("set_id", "hashes").mapInArrow(_deal("hashes", buckets), "bucket long, hashes binary, sets binary")
-    counted = dealt.groupBy("bucket").applyInPandas(_frequencies, "set_id long, hashes binary, df binary")
-    counted = counted.groupBy("set_id").agg(F.collect_list(F.struct("hashes", "df")).alias("l"))
-    info = (counted.join(wanted.select("set_id", "n"), "set_id").select("set_id", "n", F.col("l.hashes").alias("hs"), F.col("l.df").alias("ds"))
+    owned = sets.select("set_id", "hashes")
+    dealt = owned.mapInArrow(deal("hashes", buckets, common_hashes(owned, "hashes", stats[0])), SCHEMA)
+    counted = dealt.groupBy("bucket").applyInPandas(shared_hashes, SHARED).withColumnRenamed("owner", "set_id")
+    counted = counted.groupBy("set_id").agg(F.collect_list(F.struct("hashes", "counts")).alias("l"))
+    info = (counted.join(wanted.select("set_id", "n"), "set_id").select("set_id", "n", F.col("l.hashes").alias("hs"), F.col("l.counts").alias("ds"))
             .mapInArrow(_prefixes(percent), "set_id long, n long, prefix2 array<long>, prefix3 array<long>, typical double")
             .where("size(prefix2) > 0"))
     info = scratch.cut(info, "prefixes")
