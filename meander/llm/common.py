@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meander.scratch import Scratch
@@ -20,7 +21,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
     """Batches cut so that each has about ``limit`` bytes of text, whatever the lengths of the texts are."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
         block = np.cumsum(size) // limit
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else []
         for lo, hi in zip(starts, [*starts[1:], len(size)]):

@@ -23,6 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meander.llm.common import components, long_arrays
@@ -80,7 +81,7 @@ def _hash(tables: int, seed: int):
     def run(batches):
         for batch in batches:
             lists = batch.column(1)
-            flat, size = lists.flatten(), np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64)
+            flat, size = lists.flatten(), np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
             start = np.r_[0, np.cumsum(size)][:-1]
             values = flat.to_numpy(zero_copy_only=False).astype(np.float64)  # a null part becomes NaN
             for width in np.unique(size[size > 0]):

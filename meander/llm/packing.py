@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -99,7 +100,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def _text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    column = pa.compute.fill_null(column.cast(pa.large_binary()), b"")
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     column = pa.concat_arrays([column])
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
     buffer = column.buffers()[2]

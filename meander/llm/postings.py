@@ -18,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -51,7 +52,7 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     blobs = batch.column(1)
     values = np.frombuffer(b"".join(blobs.to_pylist()), np.uint64)
-    counts = np.asarray(pa.compute.binary_length(blobs), np.int64) // 8
+    counts = np.asarray(pc.binary_length(blobs), np.int64) // 8
     return values, np.repeat(np.asarray(batch.column(0), np.int64), counts)
 
 
