@@ -31,8 +31,8 @@ from meander.llm.words import Words, text_of
 
 FEATURES, PER_LABEL, GRADES = 1 << 20, 4000, 4
 LEAST_DOCS, TYPICAL = 5, 2.0
-PENALTY, STEPS = 2e-3, 400
-REJECT = 0.5
+PENALTY, STEPS = 5e-4, 400
+REJECT = 0.3
 
 
 @dataclass(frozen=True)
