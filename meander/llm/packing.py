@@ -17,6 +17,9 @@ text or one text, whichever is more.
 
 from __future__ import annotations
 
+import os
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,8 +32,8 @@ from meander.scratch import Scratch
 
 CAPACITY, LEAST_HALF, END = 2048, 64, 1
 TOKENIZER = "byte_bpe_50k.json"
-# Pretokens whose ids a worker keeps; beyond that it starts anew.
-MEMORY = 1_000_000
+# Pieces of text whose ids a worker keeps (beyond that it starts anew), and that it gathers before it sorts them in.
+MEMORY, FRESH = 3_000_000, 100_000
 _TASK = 1 << 32
 
 
@@ -47,55 +50,100 @@ class Encoder:
 
     A byte-level BPE splits a text before it merges, and never across the space
     or line break that stands alone between two other characters.  Pieces
-    between such places are encoded once and remembered.
+    between such places are encoded once and remembered.  A piece in plain
+    letters is encoded from the tokenizer's own merges by a faster library with
+    the same result; pieces with a special token go through the tokenizer.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = _same_by_ranks(path)
         self._forget()
 
     def _forget(self):
-        self.hashes, self.first, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.hashes, self.first, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.fresh: list[tuple] = []
+        self.n_fresh = 0
+
+    def _remember(self, hashes, count, ids):
+        self.fresh.append((hashes, count, ids))
+        self.n_fresh += len(hashes)
+        if self.n_fresh < FRESH:
+            return
+        if len(self.hashes) + self.n_fresh > MEMORY:
+            held, size = self.fresh, self.n_fresh
+            self._forget()
+            self.fresh, self.n_fresh = held, size
+        names, count, ids = (np.concatenate(x) for x in zip(*self.fresh))
+        first = len(self.ids) + np.cumsum(count, dtype=np.int64) - count
+        names, where = np.unique(np.r_[self.hashes, names], return_index=True)
+        self.first, self.count = np.r_[self.first, first][where], np.r_[self.count, count][where].astype(np.int32)
+        self.hashes, self.ids = names, np.concatenate([self.ids, ids])
+        self.fresh, self.n_fresh = [], 0
+
+    def _encode(self, pieces: list[bytes]) -> list[list[int]]:
+        if self.fast is None:
+            return [e.ids for k in range(0, len(pieces), 4096) for e in self.tokenizer.encode_batch_fast(
+                [p.decode("utf-8") for p in pieces[k:k + 4096]], add_special_tokens=False)]
+        whole = b"\0".join(pieces)
+        odd = any(t in whole for t in self.special)
+        encode, slow = self.fast, self.tokenizer
+        return [slow.encode(t, add_special_tokens=False).ids if odd and any(x.decode() in t for x in self.special) else encode(t)
+                for t in (p.decode("utf-8") for p in pieces)]
 
     def encode(self, data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and where each text's begin."""
-        space = (data == 32) | (data == 10)
-        white = space | ((data >= 9) & (data <= 13)) | (data >= 0x80) | ((data >= 28) & (data <= 31))
+        # Only plain ASCII on both sides: some longer characters count as white space.
         alone = np.zeros(len(data), bool)
         if len(data) > 2:
-            # Only plain ASCII on both sides: some longer characters count as white space.
-            alone[1:-1] = space[1:-1] & ~white[:-2] & ~white[2:]
-        alone[begin[(stop > begin)]] = True
+            plain = _PLAIN[data]
+            alone[1:-1] = _BREAK[data[1:-1]] & plain[:-2] & plain[2:]
+        alone[begin[stop > begin]] = True
         at = np.flatnonzero(alone)
         end = np.r_[at[1:], len(data)]
-        keys = range_hashes(data, at, end)
-        names, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        known = np.searchsorted(self.hashes, names)
-        new = np.ones(len(names), bool)
-        inside = known < len(self.hashes)
-        new[inside] = self.hashes[known[inside]] != names[inside]
+        names, where, back = np.unique(range_hashes(data, at, end), return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.hashes, names), max(0, len(self.hashes) - 1))
+        new = self.hashes[place] != names if len(self.hashes) else np.ones(len(names), bool)
+        first, count = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        first[~new], count[~new] = self.first[place[~new]], self.count[place[~new]]
+        pool = self.ids
         if new.any():
-            if len(self.hashes) + new.sum() > MEMORY:
-                self._forget()
-                new[:] = True
             raw = data.tobytes()
-            texts = [raw[at[i]:end[i]].decode("utf-8") for i in where[new]]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
-            first = len(self.ids) + np.cumsum(count) - count
-            self.ids = np.concatenate([self.ids, np.fromiter((t for e in ids for t in e), np.uint32, count.sum())])
-            hashes = np.r_[self.hashes, names[new]]
-            order = np.argsort(hashes)
-            self.hashes, self.first, self.count = hashes[order], np.r_[self.first, first][order], np.r_[self.count, count][order]
-            known = np.searchsorted(self.hashes, names)
-        entry = known[back]
-        count = self.count[entry]
+            some = where[new]
+            lists = self._encode([raw[a:b] for a, b in zip(at[some].tolist(), end[some].tolist())])
+            sizes = np.fromiter(map(len, lists), np.int32, len(lists))
+            ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
+            first[new], count[new] = len(pool) + np.cumsum(sizes, dtype=np.int64) - sizes, sizes
+            pool = np.concatenate([pool, ids])
+            self._remember(names[new], sizes, ids)
+        count, first = count[back], first[back]
         past = np.r_[0, np.cumsum(count)]
-        ids = self.ids[np.repeat(self.first[entry] - past[:-1], count) + np.arange(past[-1])]
+        ids = pool[np.repeat(first - past[:-1], count) + np.arange(past[-1])]
         return ids, past[np.searchsorted(at, np.r_[begin, len(data)])]
 
 
+def _same_by_ranks(path: str):
+    """The encoder by ranks of the same vocabulary, if its file lies beside the tokenizer's."""
+    ranks = os.path.splitext(path)[0] + ".tiktoken"
+    if not os.path.exists(ranks):
+        return None
+    import base64
+    import tiktoken
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+
+
+# Fixed value: how a byte-level BPE of this kind splits a text.
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_CODES = np.arange(256)
+_BREAK = (_CODES == 32) | (_CODES == 10)
+_PLAIN = (_CODES > 32) & (_CODES < 128)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
