@@ -1,12 +1,12 @@
 """Documents linked by the Jaccard similarity of their word shingles, exactly.
 
-Prefix filtering: two sets of similarity t share a shingle among the first
-n - ceil(t n) + 1 of each, whatever order all shingles are put in.  Several
+Prefix filtering: two sets of similarity t share k shingles among the first
+n - ceil(t n) + k of each, whatever order all shingles are put in.  Several
 orders are used, each a filter of its own, and a pair is compared only if it
 passes all of them:
 
-1. By hash.  Documents whose prefix shares no shingle with another document's
-   are linked with nothing; for most this ends the search.
+1. By hash, k a tenth of n.  Documents whose prefix shares fewer than k
+   shingles with others are linked with nothing; for most this ends the search.
 2. Rarest first, ties by a second hash, over the documents left.  Documents of
    a common prefix shingle form a list.
 3. Rarest first, ties by a third hash: a pair from a list must also share a
@@ -34,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meander.llm.common import binaries, components, long_arrays, signed, slices
-from meander.llm.postings import SCHEMA, SHARED, common_hashes, deal, shared_hashes, shared_owners
+from meander.llm.postings import SCHEMA, SHARED, common_hashes, deal, shared_counts, shared_hashes
 from meander.llm.words import Words, mix, position_mask, shingle_hashes, text_of
 from meander.operators.joins import attach
 from meander.scratch import Scratch
 
 WORDS, PERCENT = 5, 75
+# The first prefix holds this part of a document's shingles more than one, and as many must be shared.
+SLACK = 10
 # Shingles that one reducing task holds at a time, members of a block, and documents fetched by broadcast at most.
 GROUP_SHINGLES, BLOCK, BROADCAST_IDS = 500_000, 512, 500_000
 
@@ -89,7 +91,7 @@ def _read(n: int, percent: int):
             counts = np.diff(first)
             owner = np.repeat(np.arange(len(counts)), counts)
             order = np.lexsort((mix(values, 21), owner))
-            prefix, at = _first_of_each(values, first, prefix_length(counts, percent), order)
+            prefix, at = _first_of_each(values, first, prefix_length(counts, percent) + np.maximum(0, counts // SLACK - 1), order)
             yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()),
                                    pa.array(signed(_class_of(values, first, counts)), mask=counts == 0), binaries(prefix, at)],
                                   ["doc_id", "n", "set_id", "prefix"])
@@ -186,8 +188,10 @@ def set_links(docs: DataFrame, scratch: Scratch, words: int, percent: int) -> tu
 
     known = rows.where("set_id is not null and doc_id is not null")
     dealt = known.select("set_id", "prefix").mapInArrow(deal("prefix", buckets), SCHEMA)
-    active = dealt.groupBy("bucket").applyInPandas(shared_owners, "owner long").distinct().withColumnRenamed("owner", "set_id")
-    wanted = scratch.cut(known.join(active, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.max("n").alias("n")), "active")
+    shared = dealt.groupBy("bucket").applyInPandas(shared_counts, "owner long, shared long").groupBy("owner").agg(F.sum("shared").alias("shared"))
+    wanted = (known.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"))
+              .join(shared, F.col("set_id") == F.col("owner")).where(f"shared >= greatest(1, n div {SLACK})").select("set_id", "id", "n"))
+    wanted = scratch.cut(wanted, "active")
     stats = wanted.agg(F.count("*"), F.sum("n")).first()
     ids = wanted.select(F.col("id").alias("doc_id"), "set_id")
     ids = F.broadcast(ids) if stats[0] <= BROADCAST_IDS else ids

@@ -106,10 +106,11 @@ def _gather(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, owner, runs(values)[1] if pdf["bucket"].iloc[0] >= 0 else np.full(len(values), MANY)
 
 
-def shared_owners(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Owners that share a hash."""
+def shared_counts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Per owner how many of its hashes others hold too."""
     _, owner, count = _gather(pdf)
-    return pd.DataFrame({"owner": np.unique(owner[count > 1])})
+    names, n = np.unique(owner[count > 1], return_counts=True)
+    return pd.DataFrame({"owner": names, "shared": n})
 
 
 def shared_hashes(pdf: pd.DataFrame) -> pd.DataFrame:
