@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meander.llm.common import binaries, components, long_arrays, signed, slices
-from meander.llm.postings import SCHEMA, SHARED, common_hashes, deal, shared_counts, shared_hashes
+from meander.llm.postings import SCHEMA, common_hashes, deal, shared_counts, shared_hashes
 from meander.llm.words import Words, mix, position_mask, shingle_hashes, text_of
 from meander.operators.joins import attach
 from meander.scratch import Scratch
@@ -118,7 +118,7 @@ def _prefixes(percent: int):
             out = ([], [])
             typical = np.zeros(len(ns))
             for i, (hs, ds) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                values, df = np.frombuffer(b"".join(hs), np.uint64), np.frombuffer(b"".join(ds), np.int64)
+                values, df = np.frombuffer(hs, np.uint64), np.frombuffer(ds, np.int64)
                 left = max(0, int(prefix_length(ns[i], percent)) - (int(ns[i]) - len(values)))
                 for k in (0, 1):
                     out[k].append(values[np.lexsort((mix(values, 22 + k), df))[:left]])
@@ -201,9 +201,8 @@ def set_links(docs: DataFrame, scratch: Scratch, words: int, percent: int) -> tu
     buckets = max(parts, (stats[1] or 0) // GROUP_SHINGLES)
     owned = sets.select("set_id", "hashes")
     dealt = owned.mapInArrow(deal("hashes", buckets, common_hashes(owned, "hashes", stats[0])), SCHEMA)
-    counted = dealt.groupBy("bucket").applyInPandas(shared_hashes, SHARED).withColumnRenamed("owner", "set_id")
-    counted = counted.groupBy("set_id").agg(F.collect_list(F.struct("hashes", "counts")).alias("l"))
-    info = (counted.join(wanted.select("set_id", "n"), "set_id").select("set_id", "n", F.col("l.hashes").alias("hs"), F.col("l.counts").alias("ds"))
+    counted = shared_hashes(dealt, buckets).withColumnRenamed("owner", "set_id")
+    info = (counted.join(wanted.select("set_id", "n"), "set_id").select("set_id", "n", "hashes", "counts")
             .mapInArrow(_prefixes(percent), "set_id long, n long, prefix2 array<long>, prefix3 array<long>, typical double")
             .where("size(prefix2) > 0"))
     info = scratch.cut(info, "prefixes")

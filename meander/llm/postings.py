@@ -113,17 +113,34 @@ def shared_counts(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"owner": names, "shared": n})
 
 
-def shared_hashes(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per owner its shared hashes, and how many owners each has."""
+def _by_owner(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """A bucket's shared hashes, one row for each part of the owners."""
     values, owner, count = _gather(pdf)
     keep = count > 1
     values, owner, count = values[keep], owner[keep], count[keep].astype(np.int64)
+    to = bucket_of(owner.view(np.uint64), parts)
+    order = np.argsort(to, kind="stable")
+    values, owner, count, to = values[order], owner[order], count[order], to[order]
+    start = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
+    spans = list(zip(start, [*start[1:], len(to)]))
+    return pd.DataFrame({"part": to[start], **{n: [x[a:b].tobytes() for a, b in spans] for n, x in (("owners", owner), ("hashes", values), ("counts", count))}},
+                        columns=["part", "owners", "hashes", "counts"])
+
+
+def _one_row_each(pdf: pd.DataFrame) -> pd.DataFrame:
+    owner, values, count = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("owners", np.int64), ("hashes", np.uint64), ("counts", np.int64)))
     order = np.argsort(owner, kind="stable")
     values, owner, count = values[order], owner[order], count[order]
     start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
-    stop = [*start[1:], len(owner)]
-    return pd.DataFrame({"owner": owner[start], "hashes": [values[a:b].tobytes() for a, b in zip(start, stop)],
-                         "counts": [count[a:b].tobytes() for a, b in zip(start, stop)]}, columns=["owner", "hashes", "counts"])
+    spans = list(zip(start, [*start[1:], len(owner)]))
+    return pd.DataFrame({"owner": owner[start], "hashes": [values[a:b].tobytes() for a, b in spans],
+                         "counts": [count[a:b].tobytes() for a, b in spans]}, columns=["owner", "hashes", "counts"])
 
 
-SHARED = "owner long, hashes binary, counts binary"
+def shared_hashes(dealt: DataFrame, parts: int) -> DataFrame:
+    """owner, hashes, counts: one row per owner that shares a hash, with these and how many owners each has.
+
+    Between buckets and owners rows are packed by part, so their number doesn't follow that of the owners.
+    """
+    return (dealt.groupBy("bucket").applyInPandas(lambda pdf: _by_owner(pdf, parts), "part long, owners binary, hashes binary, counts binary")
+            .groupBy("part").applyInPandas(_one_row_each, "owner long, hashes binary, counts binary"))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meander.llm.common import WORD, binaries, slices
-from meander.llm.postings import SCHEMA, SHARED, bucket_of, deal, packed, runs, shared_hashes
+from meander.llm.postings import SCHEMA, bucket_of, deal, packed, runs, shared_hashes
 from meander.llm.words import Words, mix, position_mask, text_of, window_hashes
 from meander.scratch import Scratch
 
@@ -246,8 +246,8 @@ def repeated_words(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anch
     total = rows.agg(F.sum("n_words")).first()[0] or 0
     owned = rows.where("doc_id is not null and length(anchors) > 0").select("doc_id", "anchors")
     buckets = max(parts, total * 2 // (window - anchor + 2) // GROUP_HASHES)
-    shared = owned.mapInArrow(deal("anchors", buckets), SCHEMA).groupBy("bucket").applyInPandas(shared_hashes, SHARED)
-    shared = scratch.cut(shared.groupBy("owner").agg(F.collect_list("hashes").alias("anchors")).withColumnRenamed("owner", "doc_id"), "shared", "zstd")
+    shared = shared_hashes(owned.mapInArrow(deal("anchors", buckets), SCHEMA), buckets)
+    shared = scratch.cut(shared.select(F.col("owner").alias("doc_id"), F.array("hashes").alias("anchors")), "shared", "zstd")
 
     ids = shared.select("doc_id")
     n_ids = ids.count()
