@@ -49,7 +49,8 @@ class _Ends:
         wanted = sorted({p for p in positions if p < self.total and p not in self.known})
         if wanted:
             lanes = [(self.bucket[i], p, self.start[i]) for p in wanted for i in [bisect_right(self.start, p) - 1]]
-            table = F.broadcast(self.groups.sparkSession.createDataFrame(lanes, "bucket int, position long, start long"))
+            values = ", ".join(f"({b}, {p}L)" for b, p, _ in lanes)
+            table = F.broadcast(self.groups.sparkSession.sql(f"SELECT * FROM VALUES {values} AS lanes(bucket, position)"))
             found = (self.groups.where(F.col("bucket").isin(sorted({x[0] for x in lanes})))
                      .join(table, "bucket").where("before + size <= position")
                      .groupBy("position").agg(F.max(F.expr("before + size")).alias("at")).collect())
