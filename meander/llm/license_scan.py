@@ -49,7 +49,9 @@ def _template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame
     rows = [(name, template_words(text)) for name, text in templates.items()]
     if any(len(w) < SHINGLE for _, w in rows):
         raise ValueError(f"a template has fewer than {SHINGLE} words")
-    table = spark.createDataFrame(rows, "license string, words array<string>")
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    values = ", ".join(f"({quoted(name)}, array({', '.join(map(quoted, words))}))" for name, words in rows)
+    table = spark.sql(f"SELECT * FROM VALUES {values} AS templates(license, words)")
     table = table.selectExpr("license", f"array_distinct(transform(sequence(1, size(words) - {SHINGLE - 1}), i -> xxhash64(slice(words, i, {SHINGLE})))) AS shingles")
     best = f"transform(sequence(0, {BANDS - 1}), k -> array_min(transform(shingles, x -> struct(xxhash64(x, k) AS h, x))))"
     return table.selectExpr("license", "size(shingles) AS s", "shingles", f"{best} AS best").selectExpr(
