@@ -32,7 +32,7 @@ from meander.llm.words import Words, text_of
 FEATURES, PER_LABEL, GRADES = 1 << 20, 4000, 4
 LEAST_DOCS, TYPICAL = 5, 2.0
 PENALTY, STEPS = 5e-4, 400
-REJECT = 0.3
+REJECT = 0.5
 
 
 @dataclass(frozen=True)
