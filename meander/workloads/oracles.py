@@ -210,20 +210,21 @@ ORACLES: dict[str, str] = {
     "adjacency_directed": sql(adj("tripartite", 50, True, False),
                               "SELECT id, nbr, weight, feat FROM adj"),
     "degree_cap": sql(adj("supplier_part"), "SELECT id, nbr, weight, feat FROM adj"),
-    "adj_edges": sql(adj("user_key", 10), "SELECT id, nbr, weight, feat FROM adj"),
-    "triplets": sql(adj("user_key", 10) + [
+    "adj_edges": sql(adj("user_key", 50), "SELECT id, nbr, weight, feat FROM adj"),
+    "triplets": sql(adj("user_key", 50) + [
         "lists AS (SELECT id, string_agg(nbr::VARCHAR, ' ' ORDER BY nbr) AS nbrs FROM adj GROUP BY id)"],
         """SELECT a.id AS src_id, a.nbr AS dst_id, a.weight, a.feat AS dst_feat,
         s.nbrs AS src_nbrs, d.nbrs AS dst_nbrs
         FROM adj a JOIN lists s ON s.id = a.id JOIN lists d ON d.id = a.nbr"""),
     "transition1": sql(adj("customer_part"), """SELECT id, nbr,
         weight / sum(weight) OVER (PARTITION BY id) AS prob FROM adj"""),
-    "transition2": sql(adj("tripartite", 10), """SELECT prev, cur, nbr,
+    "transition2": sql(adj("tripartite", 50), """SELECT prev, cur, count(*) AS n, sum(prob) AS total, max(prob) AS most,
+        sum(prob * nbr) AS mean_nbr FROM (SELECT prev, cur, nbr,
         b / sum(b) OVER (PARTITION BY prev, cur) AS prob FROM (
         SELECT e.id AS prev, e.nbr AS cur, a.nbr,
           CASE WHEN a.nbr = e.id THEN a.weight / 0.25::DOUBLE WHEN c.nbr IS NOT NULL THEN a.weight
                ELSE a.weight / 4.0::DOUBLE END AS b
-        FROM adj e JOIN adj a ON a.id = e.nbr LEFT JOIN adj c ON c.id = e.id AND c.nbr = a.nbr)"""),
+        FROM adj e JOIN adj a ON a.id = e.nbr LEFT JOIN adj c ON c.id = e.id AND c.nbr = a.nbr)) GROUP BY prev, cur"""),
     "weighted_draw": sql(adj("customer_part"), f"""SELECT id, nbr, weight, feat FROM (
         SELECT *, sum(weight) OVER (PARTITION BY id ORDER BY nbr) AS run,
           sum(weight) OVER (PARTITION BY id) AS total, {uniform("'3'", 'id', '0')} AS u FROM adj)
