@@ -12,7 +12,8 @@ documents (by log odds), a third each.  Weights are fitted on at most
 doc_id, by accelerated proximal gradient steps with an L1 penalty, which
 leaves weights only on words that matter.
 
-Cases: a text that is null or without words has x = 0.  Without labelled
+Cases: a text that holds no word that speaks for toxicity, so also one that is
+null or without words, has severity 0.  Without labelled
 documents of both kinds the severity of every text is 0.  Labels that are null
 are not used; of several labels of a document the larger one counts, and of
 several texts each is an example.  An empty table gives an empty one.
@@ -141,7 +142,8 @@ def severity(model: OrdinalModel | None, words: Words) -> tuple[np.ndarray, np.n
     some = np.flatnonzero(table[classes])
     both = np.unique(owner[some] * FEATURES + classes[some])
     score = np.bincount(both // FEATURES, table[both % FEATURES], n)
-    above = _sigmoid(score[:, None] - model.thresholds)
+    held = np.bincount(both // FEATURES, table[both % FEATURES] > 0, n) > 0
+    above = _sigmoid(score[:, None] - model.thresholds) * held[:, None]
     return above.sum(1), above[:, 0]
 
 
