@@ -118,14 +118,14 @@ def _prefixes(percent: int):
             out = ([], [])
             typical = np.zeros(len(ns))
             for i, (hs, ds) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                values, df = np.frombuffer(hs, np.uint64), np.frombuffer(ds, np.int64)
+                values, df = np.frombuffer(hs, np.uint64), np.frombuffer(ds, np.int32)
                 left = max(0, int(prefix_length(ns[i], percent)) - (int(ns[i]) - len(values)))
                 for k in (0, 1):
                     out[k].append(values[np.lexsort((mix(values, 22 + k), df))[:left]])
                 typical[i] = np.log2(df).sum() / ns[i]
             lists = [long_arrays(np.concatenate(o or [np.zeros(0, np.uint64)]), np.r_[0, np.cumsum([len(x) for x in o])]) for o in out]
-            yield pa.record_batch([batch.column(0), batch.column(1), *lists, pa.array(typical)],
-                                  ["set_id", "n", "prefix2", "prefix3", "typical"])
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), *lists, pa.array(typical)],
+                                  ["set_id", "n", "hashes", "prefix2", "prefix3", "typical"])
     return run
 
 
@@ -137,8 +137,8 @@ def _verify(percent: int):
     def run(batches):
         for batch in batches:
             keep = [_similar(len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)),
-                             len(x) // 8, len(y) // 8, percent)
-                    for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+                             n, m, percent)
+                    for n, m, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))]
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
@@ -148,7 +148,7 @@ def _compare_blocks(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["label", "set_id"]).drop_duplicates("set_id")
         sets = [np.frombuffer(b, np.uint64) for b in pdf["hashes"]]
-        n, label, ids = np.array([len(s) for s in sets]), pdf["label"].to_numpy(), pdf["set_id"].to_numpy()
+        n, label, ids = pdf["n"].to_numpy(), pdf["label"].to_numpy(), pdf["set_id"].to_numpy()
         block = pdf["block"].to_numpy()
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         names, tokens = np.unique(np.concatenate(sets), return_inverse=True)
@@ -187,8 +187,8 @@ def set_links(docs: DataFrame, scratch: Scratch, words: int, percent: int) -> tu
     buckets = max(parts, total // 4 // GROUP_SHINGLES)
 
     known = rows.where("set_id is not null and doc_id is not null")
-    dealt = known.select("set_id", "prefix").mapInArrow(deal("prefix", buckets), SCHEMA)
-    shared = dealt.groupBy("bucket").applyInPandas(shared_counts, "owner long, shared long").groupBy("owner").agg(F.sum("shared").alias("shared"))
+    dealt = known.select("set_id", "prefix").mapInArrow(deal("prefix", buckets, short=True), SCHEMA)
+    shared = shared_counts(dealt, buckets)
     wanted = (known.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"))
               .join(shared, F.col("set_id") == F.col("owner")).where(f"shared >= greatest(1, n div {SLACK})").select("set_id", "id", "n"))
     wanted = scratch.cut(wanted, "active")
@@ -203,9 +203,10 @@ def set_links(docs: DataFrame, scratch: Scratch, words: int, percent: int) -> tu
     dealt = owned.mapInArrow(deal("hashes", buckets, common_hashes(owned, "hashes", stats[0])), SCHEMA)
     counted = shared_hashes(dealt, buckets).withColumnRenamed("owner", "set_id")
     info = (counted.join(wanted.select("set_id", "n"), "set_id").select("set_id", "n", "hashes", "counts")
-            .mapInArrow(_prefixes(percent), "set_id long, n long, prefix2 array<long>, prefix3 array<long>, typical double")
+            .mapInArrow(_prefixes(percent), "set_id long, n long, hashes binary, prefix2 array<long>, prefix3 array<long>, typical double")
             .where("size(prefix2) > 0"))
-    info = scratch.cut(info, "prefixes")
+    # From here on the shingles that only one set has are left out: none of them is in an intersection.
+    info = scratch.cut(info, "prefixes", "zstd")
 
     postings = info.select(F.explode("prefix2").alias("shingle"), "set_id", "typical")
     pivots = (postings.groupBy("shingle").agg(F.max(F.struct("typical", "set_id")).alias("p"), F.count("*").alias("c"))
@@ -213,8 +214,8 @@ def set_links(docs: DataFrame, scratch: Scratch, words: int, percent: int) -> tu
     near = scratch.cut(postings.join(pivots, "shingle").where("pivot <> set_id").select("pivot", "set_id").distinct(), "near")
 
     def with_sets(pairs: DataFrame, a: str, b: str) -> DataFrame:
-        own = lambda c, name: sets.select(F.col("set_id").alias(c), F.col("hashes").alias(name))
-        return pairs.join(own(b, "y"), b).join(own(a, "x"), a).select(a, b, "x", "y")
+        own = lambda c, n, name: info.select(F.col("set_id").alias(c), F.col("n").alias(n), F.col("hashes").alias(name))
+        return pairs.join(own(b, "m", "y"), b).join(own(a, "n", "x"), a).select(a, b, "n", "m", "x", "y")
 
     side = lambda c, s: info.select(F.col("set_id").alias(c), F.col("n").alias(f"n{s}"), F.col("prefix3").alias(f"p{s}"))
     pairs = (near.join(side("set_id", 1), "set_id").join(side("pivot", 2), "pivot")
@@ -233,7 +234,7 @@ def set_links(docs: DataFrame, scratch: Scratch, words: int, percent: int) -> tu
             .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
             .select("pivot", "set_id", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
     # Two members of one block meet in that block with itself, members of two blocks in the pair of them.
-    rest = rest.join(sets.select("set_id", "hashes"), "set_id")
+    rest = rest.join(info.select("set_id", "n", "hashes"), "set_id")
     more = rest.groupBy("pivot", "i", "j").applyInPandas(_compare_blocks(percent), "a long, b long")
     return rows.select("doc_id", "n", "set_id"), scratch.cut(links.unionByName(more), "links")
 

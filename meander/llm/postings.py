@@ -27,7 +27,7 @@ from meander.llm.words import mix
 
 SCHEMA = "bucket long, hashes binary, owners binary"
 PACK_BYTES = 16 << 20
-MANY = 1 << 40
+MANY = 1 << 30
 # A hash is common if at least this share of the owners, and this many, hold it.
 COMMON_SHARE, COMMON_LEAST = 1e-3, 64
 
@@ -56,7 +56,7 @@ def _unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return values, np.repeat(np.asarray(batch.column(0), np.int64), counts)
 
 
-def packed(values: np.ndarray, owner: np.ndarray, to: np.ndarray, buckets: int) -> pa.RecordBatch:
+def packed(values: np.ndarray, owner: np.ndarray, to: np.ndarray) -> pa.RecordBatch:
     """One row per bucket that has entries; inside it by owner, which packs well."""
     order = np.lexsort((values, owner, to))
     values, owner, to = values[order], owner[order], to[order]
@@ -69,8 +69,12 @@ def bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(values, 31) % np.uint64(buckets)).astype(np.int64)
 
 
-def deal(column: str, buckets: int, common: np.ndarray | None = None):
-    """(owner, hashes) to packed rows."""
+def deal(column: str, buckets: int, common: np.ndarray | None = None, short: bool = False):
+    """(owner, hashes) to packed rows.
+
+    ``short`` sends half of each hash, enough to tell that one isn't shared.  What
+    two hashes of an owner have in common then counts as known, so that none is lost.
+    """
     def run(batches):
         at = TaskContext.get().partitionId() << 20
         for number, batch in enumerate(slices(batches, column, PACK_BYTES)):
@@ -78,7 +82,12 @@ def deal(column: str, buckets: int, common: np.ndarray | None = None):
             place, _ = runs(values)
             known = place >= 2 if common is None else np.isin(values, common)
             to = np.where(known, -1 - at - number, bucket_of(values, buckets))
-            yield packed(values, owner, to, buckets)
+            if short:
+                values = (values >> np.uint64(32)).astype(np.uint32)
+                order = np.lexsort((values, owner, to))
+                again = np.r_[False, np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (values, owner, to)])][:len(order)]
+                to[order[again]] = -1 - at - number
+            yield packed(values, owner, to)
     return run
 
 
@@ -106,29 +115,47 @@ def _gather(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, owner, runs(values)[1] if pdf["bucket"].iloc[0] >= 0 else np.full(len(values), MANY)
 
 
-def shared_counts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per owner how many of its hashes others hold too."""
-    _, owner, count = _gather(pdf)
-    names, n = np.unique(owner[count > 1], return_counts=True)
-    return pd.DataFrame({"owner": names, "shared": n})
+def _by_part(owner: np.ndarray, parts: int, **columns: np.ndarray) -> pd.DataFrame:
+    """One row for each part of the owners; inside it by owner, which packs well."""
+    to = bucket_of(owner.view(np.uint64), parts)
+    order = np.lexsort((owner, to))
+    to, columns = to[order], {n: x[order] for n, x in {"owners": owner, **columns}.items()}
+    start = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
+    spans = list(zip(start, [*start[1:], len(to)]))
+    return pd.DataFrame({"part": to[start], **{n: [x[a:b].tobytes() for a, b in spans] for n, x in columns.items()}}, columns=["part", *columns])
+
+
+def _count_shared(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """Of a bucket of short hashes, how many of each owner's others hold too."""
+    owner = np.concatenate([np.frombuffer(b, np.int64) for b in pdf["owners"]])
+    if pdf["bucket"].iloc[0] >= 0:
+        values, owner = distinct(np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["hashes"]]), owner)
+        owner = owner[runs(values)[1] > 1]
+    names, n = np.unique(owner, return_counts=True)
+    return _by_part(names, parts, counts=n.astype(np.int32))
+
+
+def _sum_shared(pdf: pd.DataFrame) -> pd.DataFrame:
+    owner, count = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("owners", np.int64), ("counts", np.int32)))
+    names, back = np.unique(owner, return_inverse=True)
+    return pd.DataFrame({"owner": names, "shared": np.bincount(back, count, len(names)).astype(np.int64)})
+
+
+def shared_counts(dealt: DataFrame, parts: int) -> DataFrame:
+    """owner, shared: at least how many of its hashes, dealt short, others hold too; owners with none are left out."""
+    return (dealt.groupBy("bucket").applyInPandas(lambda pdf: _count_shared(pdf, parts), "part long, owners binary, counts binary")
+            .groupBy("part").applyInPandas(_sum_shared, "owner long, shared long"))
 
 
 def _by_owner(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
     """A bucket's shared hashes, one row for each part of the owners."""
     values, owner, count = _gather(pdf)
     keep = count > 1
-    values, owner, count = values[keep], owner[keep], count[keep].astype(np.int64)
-    to = bucket_of(owner.view(np.uint64), parts)
-    order = np.argsort(to, kind="stable")
-    values, owner, count, to = values[order], owner[order], count[order], to[order]
-    start = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
-    spans = list(zip(start, [*start[1:], len(to)]))
-    return pd.DataFrame({"part": to[start], **{n: [x[a:b].tobytes() for a, b in spans] for n, x in (("owners", owner), ("hashes", values), ("counts", count))}},
-                        columns=["part", "owners", "hashes", "counts"])
+    return _by_part(owner[keep], parts, hashes=values[keep], counts=np.minimum(count[keep], MANY).astype(np.int32))
 
 
 def _one_row_each(pdf: pd.DataFrame) -> pd.DataFrame:
-    owner, values, count = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("owners", np.int64), ("hashes", np.uint64), ("counts", np.int64)))
+    owner, values, count = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("owners", np.int64), ("hashes", np.uint64), ("counts", np.int32)))
     order = np.argsort(owner, kind="stable")
     values, owner, count = values[order], owner[order], count[order]
     start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)

@@ -109,7 +109,7 @@ def _windows(window: int, anchor: int, buckets: int):
             new = np.r_[True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])] if len(values) else np.zeros(0, bool)
             values, owner, anchors = values[new], owner[new], anchors[new]
             early = runs(values)[0] < 2
-            yield packed(values[early], owner[early], bucket_of(anchors[early], buckets), buckets)
+            yield packed(values[early], owner[early], bucket_of(anchors[early], buckets))
     return run
 
 
