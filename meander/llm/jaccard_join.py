@@ -152,7 +152,7 @@ def _compare_blocks(percent: int):
         block = pdf["block"].to_numpy()
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         names, tokens = np.unique(np.concatenate(sets), return_inverse=True)
-        at = np.r_[0, np.cumsum(n)]
+        at = np.r_[0, np.cumsum([len(s) for s in sets])]
         mark, links = np.zeros(len(names), np.int32), []
         most = pd.Series(label).value_counts().index[0]
         component = dict(zip(label.tolist(), label.tolist()))

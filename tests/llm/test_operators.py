@@ -6,9 +6,11 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
-from meander.llm import embedding_dedup, exact_dedup, jaccard_join, license_scan, lm_scoring, mixing, packing, sharding, substring_dedup, toxicity
+from meander.llm import embedding_dedup, exact_dedup, jaccard_join, license_scan, lm_scoring, mixing, packing, postings, sharding, substring_dedup, toxicity
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, source string, n long, row string"
@@ -78,6 +80,40 @@ def test_jaccard_components(docs, rows, scratch):
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
+def test_blocks_know_sets_by_their_shared_shingles():
+    rnd = random.Random(6)
+    sets = {}
+    for i in range(40):  # families of ten near copies, every set with shingles of its own
+        own = set(range(1000 * (i % 4), 1000 * (i % 4) + 60)) - set(rnd.sample(range(1000 * (i % 4), 1000 * (i % 4) + 60), rnd.randint(0, 12)))
+        sets[i] = (own, len(own) + rnd.randint(0, 9))
+    pdf = pd.DataFrame([(i, i, n, np.array(sorted(own), np.uint64).tobytes(), 0, 0, 0) for i, (own, n) in sets.items()],
+                       columns=["set_id", "label", "n", "hashes", "block", "i", "j"])
+    got = jaccard_join._compare_blocks(75)(pdf)
+    near = lambda a, b: 100 * len(sets[a][0] & sets[b][0]) >= 75 * (sets[a][1] + sets[b][1] - len(sets[a][0] & sets[b][0]))
+    assert all(near(a, b) for a, b in got.itertuples(index=False))
+    links = set(got.itertuples(index=False, name=None))
+    assert roots(range(40), lambda a, b: (a, b) in links or (b, a) in links) == roots(range(40), near)
+
+
+def test_short_hashes_lose_none():
+    # Two hashes of one owner that agree in the half that is sent, both shared.
+    twins = [(7 << 32) | 1, (7 << 32) | 2]
+    blob = lambda hs: np.array(hs, np.uint64).tobytes()
+    table = pa.record_batch([pa.array([1, 2], pa.int64()), pa.array([blob(twins), blob([*twins, 9 << 40])], pa.binary())], ["set_id", "prefix"])
+
+    class Task:
+        partitionId = staticmethod(lambda: 0)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(postings.TaskContext, "get", staticmethod(Task))
+        rows = pa.Table.from_batches(list(postings.deal("prefix", 1, short=True)([table]))).to_pandas()
+    counts = defaultdict(int)
+    for _, pdf in rows.groupby("bucket"):
+        for r in postings._count_shared(pdf, 1).itertuples():
+            for o, n in zip(np.frombuffer(r.owners, np.int64), np.frombuffer(r.counts, np.int32)):
+                counts[int(o)] += int(n)
+    assert counts == {1: 2, 2: 2}
+
+
 def test_exact_groups(docs, rows, scratch):
     groups = defaultdict(list)
     for r in rows:
