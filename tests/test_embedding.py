@@ -126,14 +126,15 @@ def test_settings_are_checked(spark):
 def test_scratch_uses_the_folder_of_the_session(spark, tmp_path):
     def session(setting, context_dir, master):
         return SimpleNamespace(
-            conf=SimpleNamespace(get=lambda key, default: {"spark.checkpoint.dir": setting}.get(key)),
+            conf=SimpleNamespace(get=lambda key, default=None: {
+                "spark.checkpoint.dir": setting, "spark.sql.warehouse.dir": "file:/w"}.get(key)),
             sparkContext=SimpleNamespace(getCheckpointDir=lambda: context_dir, master=master))
     assert shared_folder(session("hdfs:/x/", None, "yarn")) == "hdfs:/x"
     assert shared_folder(session(None, "hdfs:/y", "yarn")) == "hdfs:/y"
-    assert "meander" in shared_folder(session(None, None, "local[8]"))
+    assert shared_folder(session(None, None, "local[8]")) == "file:/w"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(session(None, None, "yarn"))
     with Scratch(spark, str(tmp_path)) as scratch:
         assert scratch.cut(spark.range(3)).count() == 3
-        assert list(tmp_path.glob("meander-*"))
-    assert not list(tmp_path.glob("meander-*"))
+        assert list(tmp_path.iterdir())
+    assert not list(tmp_path.iterdir())
