@@ -17,6 +17,7 @@ class Params:
     feat_path2: str | None = None
     feat_walk_path: str | None = None
     node_path: str | None = None
+    node2id_path: str | None = None
 
     walk_length: int = 80
     num_walks: int = 10

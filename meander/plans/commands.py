@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from meander.functions import text as X
 from meander.operators import adjacency as A, embedding as E, index as I, naming as N
 from meander.operators import padding as P, walk as W
 from meander.params import Params
@@ -42,7 +43,8 @@ def embedding(spark: SparkSession, params: Params) -> None:
 
     With ``node_path``, a written node2feat table, the input is taken as feature
     walks and the vectors go beside the vertices that carry each feature;
-    without it as id walks, and the vectors go beside the ids.
+    without it as id walks, and the vectors go beside the ids, or beside the
+    names that ``node2id_path``, a written node index, has for them.
     """
     params.require("input", "output")
     with Scratch(spark) as scratch:
@@ -53,7 +55,8 @@ def embedding(spark: SparkSession, params: Params) -> None:
             nodes = R.read_node2feat(spark, params.node_path, params.sep)
             lines = Wr.feat_vector_lines(N.feat_vectors(E.vectors(model), nodes))
         else:
-            lines = Wr.node_vector_lines(N.node_vectors(E.vectors(model)))
+            names = (R.read_node2id(spark, params.node2id_path) if params.node2id_path else None)
+            lines = Wr.node_vector_lines(N.node_vectors(E.vectors(model), names))
         Wr.write_text(lines, params.output + ".emb", params.num_partitions)
 
 
@@ -82,36 +85,46 @@ def _load_graph(spark: SparkSession, params: Params, scratch: Scratch):
     if params.indexed:
         edges = scratch.cut(R.read_indexed(spark, params.input, params.sep), "edges")
         ids = edges.select(F.explode(F.array("src_id", "dst_id")).alias("id")).distinct()
-        node2id = (R.read_node2id(spark, params.node_path) if params.node_path
-                   else ids.select(F.col("id").cast("string").alias("node"), "id"))
+        number = F.col("id").cast("string")
+        if params.node_path:  # a vertex that the index doesn't name goes by its id
+            ids = ids.join(R.read_node2id(spark, params.node_path), "id", "full")
+            number = F.coalesce("node", number)
+        node2id = scratch.cut(ids.select(number.alias("node"), "id"), "node2id")
         names = node2id.withColumnRenamed("id", "src_id")
         sources = edges.select("src_id", F.col("src_feat").alias("feat")).distinct()
-        return edges, node2id, sources.join(names, "src_id").select("node", "feat")
+        node2feat = sources.join(names, "src_id").select("node", "feat")
+        return edges, node2id, scratch.cut(node2feat, "node2feat")
     # Repeated lines collapse here, before any of them is joined.
     padded = scratch.cut(
         R.read_padded(spark, params.input, params.sep)
          .groupBy("src", "src_feat", "dst", "dst_feat").agg(F.max("weight").alias("weight")),
         "padded")
     node2id = scratch.cut(I.node_index(padded, scratch), "node2id")
-    return I.index_edges(padded, node2id), node2id, P.node2feat(padded)
+    edges = scratch.cut(I.index_edges(padded, node2id), "edges")
+    return edges, node2id, scratch.cut(P.node2feat(padded), "node2feat")
 
 
 def _walk_and_write(spark: SparkSession, params: Params,
                     scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Walk, name the walks before they are written once, and fill the sinks without moving them again."""
     edges, node2id, node2feat = _load_graph(spark, params, scratch)
     Wr.write_node2id(node2id, params.feat_walk_path + ".node2id")
     Wr.write_text(Wr.node2feat_lines(node2feat, params.sep), params.feat_walk_path + ".node2feat",
                   params.num_partitions)
     adj = A.adjacency(edges, params.degree, params.directed, params.weighted)
-    walks = scratch.cut(
-        W.random_walk(adj, params.walk_length, params.num_walks, params.p, params.q, params.seed,
-                      params.directed, checkpoint_every=params.checkpoint_every, scratch=scratch),
-        "walks")
-    named = N.walks_named(walks, node2id)
+    walks = W.random_walk(adj, params.walk_length, params.num_walks, params.p, params.q,
+                          params.seed, params.directed, checkpoint_every=params.checkpoint_every,
+                          num_partitions=params.num_partitions, scratch=scratch)
+    # Both joins are by the start, as the walks are partitioned.
+    feats = node2feat.groupBy("node").agg(F.collect_set("feat").alias("start_feats"))
+    names = scratch.cut(node2id.join(feats, "node", "left")
+                        .select(F.col("id").alias("start"), "node", "start_feats"), "names")
+    walks = scratch.cut(walks.join(names, "start", "left"), "walks")
+    named = walks.where(F.col("node").isNotNull() & ~X.is_blank(F.col("node")))
+    with_feat = named.withColumn("feat", F.explode("start_feats"))
     for lines, path in (
             (Wr.walk_lines(named, params.sep), params.output),
             (Wr.feat_walk_lines(named, params.sep), params.feat_walk_path),
-            (Wr.feat_walk2_lines(N.walks_with_feat(named, node2feat), params.sep),
-             params.feat_walk_path + "2")):
+            (Wr.feat_walk2_lines(with_feat, params.sep), params.feat_walk_path + "2")):
         Wr.write_text(lines, path, params.num_partitions)
     return walks, node2id
