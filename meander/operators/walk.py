@@ -10,21 +10,18 @@ The stretches are put together once, at the end.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meander.functions import draw
-from meander.operators.joins import HOT_SHARE, frequent_keys
+from meander.operators.joins import attach
 from meander.schemas import expect
 from meander.scratch import Scratch
 
 # Walks that may meet at one vertex in one task.
 WALKS_PER_TASK = 1_000_000
-# Ended walks have no vertex to be joined on; they are spread over this many keys.
-_SPREAD_ENDED = 4096
 
 
 @dataclass(frozen=True)
@@ -32,8 +29,9 @@ class Layout:
     """Neighbour lists laid out for the walk: one row per vertex, or per copy of a hub.
 
     ``table`` is partitioned and sorted by (id[, copy]) and has the lists as
-    parallel arrays, with the running sums of the weights.  ``hubs`` gives the
-    copies of each hub; None without hubs.
+    parallel arrays, with the running sums of the weights.  With ``spread`` it
+    also tells the copies of every neighbour, so that a walk knows at the draw
+    among how many it may choose.  ``hubs`` are the vertices with copies.
     """
 
     table: DataFrame
@@ -42,6 +40,10 @@ class Layout:
     adj: DataFrame
     num_partitions: int
 
+    @property
+    def spread(self) -> bool:
+        return self.directed or self.hubs is not None
+
     def persist(self) -> "Layout":
         return replace(self, table=self.table.persist(StorageLevel.MEMORY_AND_DISK))
 
@@ -49,80 +51,90 @@ class Layout:
         self.table.unpersist()
 
 
-def find_hubs(adj: DataFrame, num_walks: int, walks_per_task: int = WALKS_PER_TASK) -> DataFrame:
-    """Vertices where too many walks would meet, with the number of copies to spread them over.
+def find_hubs(adj: DataFrame, num_walks: int, walks_per_task: int = WALKS_PER_TASK,
+              starts: DataFrame | None = None) -> DataFrame:
+    """Vertices where more than ``walks_per_task`` walks would meet, with the copies to spread them over.
 
-    The walks expected at a vertex follow from how many lists it is in (walks
-    that have just started) and from its share of all weights (walks that have
-    settled).  The threshold is never under ``HOT_SHARE`` of all walks, so
-    there are at most (degree + 1) / HOT_SHARE hubs at any size of the graph.
+    The walks expected at a vertex follow from its shares of the lists of the
+    starts (walks that have just started), from its share of all weights (walks
+    that have settled), and, where only some vertices are starts, from the walks
+    that may be back at one.
     """
     adj = expect(adj, "adj")
-    spark = adj.sparkSession
-    size = adj.agg(F.count(F.lit(1)).alias("vertices"),
-                   F.sum(draw.total(F.col("nbrs.weight"))).alias("weight")).first()
-    walks = size["vertices"] * num_walks
-    limit = max(float(walks_per_task), walks * HOT_SHARE)
-    if walks <= limit:
-        return spark.createDataFrame([], "id bigint, copies int")
-    into = (adj.select(F.inline("nbrs")).groupBy(F.col("nbr").alias("id"))
-            .agg(F.count(F.lit(1)).alias("lists"), F.sum("weight").alias("weight")))
-    met = F.greatest(F.col("lists") * F.lit(float(num_walks)),
-                     F.col("weight") * F.lit(walks / size["weight"]))
-    hubs = into.select("id", F.ceil(met / F.lit(limit)).cast("int").alias("copies"))
-    return spark.createDataFrame(hubs.where("copies > 1").collect(), "id bigint, copies int")
-
-
-def crowded(stretch: DataFrame, hops: int, walks_per_task: int = WALKS_PER_TASK) -> dict[int, int]:
-    """Vertices met too often in a written stretch of ``hops`` hops, with the copies they need.
-
-    A sketch over the paths names the candidates, few by its nature; these are counted.
-    """
-    walks = stretch.count()
-    limit = max(float(walks_per_task), walks * HOT_SHARE)
-    if walks <= limit:
-        return {}
-    met = stretch.select(F.explode("path").alias("id"))
-    # The sketch takes shares from 1e-4.
-    found = frequent_keys(met, ["id"], max(1e-4, HOT_SHARE / (hops + 1)))["id"]
-    counts = met.where(F.col("id").isin(found)).groupBy("id").count().where(F.col("count") > limit)
-    return {r["id"]: math.ceil(r["count"] / limit) for r in counts.collect()}
-
-
-def with_crowded(layout: Layout, copies: dict[int, int]) -> Layout:
-    """The layout itself if its hubs have these copies; else a new one, kept in place of it."""
-    known = {} if layout.hubs is None else {r["id"]: r["copies"] for r in layout.hubs.collect()}
-    if all(known.get(v, 1) >= n for v, n in copies.items()):
-        return layout
-    merged = known | {v: max(n, known.get(v, 1)) for v, n in copies.items()}
-    hubs = layout.adj.sparkSession.createDataFrame(sorted(merged.items()), "id bigint, copies int")
+    lists = adj.select("id", "nbrs", draw.total(F.col("nbrs.weight")).alias("total"))
+    lists = lists.withColumn("from", F.lit(num_walks))
+    if starts is not None:
+        lists = lists.drop("from").join(
+            starts.select("id", F.lit(num_walks).alias("from")).distinct(), "id", "left")
+    size = lists.agg(F.coalesce(F.sum("from"), F.lit(0)).alias("walks"), F.sum("total").alias("weight")).first()
+    if size["walks"] <= walks_per_task:
+        return adj.select("id", F.lit(1).alias("copies")).where(F.lit(False))
+    into = lists.select(F.inline("nbrs"), (F.coalesce("from", F.lit(0)) / F.col("total")).alias("per"))
+    met = (into.groupBy(F.col("nbr").alias("id"))
+           .agg(F.greatest(F.sum(F.col("weight") * F.col("per")),
+                           F.sum("weight") * F.lit(size["walks"] / size["weight"])).alias("met")))
+    if starts is not None and num_walks > walks_per_task:
+        back = lists.where("from IS NOT NULL").select("id", F.lit(float(num_walks)).alias("met"))
+        met = met.unionByName(back).groupBy("id").agg(F.max("met").alias("met"))
+    hubs = met.select("id", F.ceil(F.col("met") / F.lit(float(walks_per_task))).cast("int").alias("copies"))
+    return hubs.where("copies > 1")
+
+
+def crowded(state: DataFrame, hubs: DataFrame | None, walks_per_task: int = WALKS_PER_TASK) -> DataFrame:
+    """Vertices where over twice as many walks stand as their copies are for, with the copies they need."""
+    met = state.groupBy(F.col("cur").alias("id")).agg(F.count(F.lit(1)).alias("met"))
+    met = met.where((F.col("met") > 2 * walks_per_task) & F.col("id").isNotNull())
+    known = F.lit(1)
+    if hubs is not None:
+        met, known = met.join(hubs, "id", "left"), F.coalesce("copies", F.lit(1))
+    met = met.where(F.col("met") > F.lit(2 * walks_per_task) * known)
+    return met.select("id", F.ceil(F.col("met") / F.lit(float(walks_per_task))).cast("int").alias("copies"))
+
+
+def more_copies(layout: Layout, over: DataFrame, scratch: Scratch) -> Layout:
+    """The layout with copies for these vertices too, kept in place of it."""
+    hubs = over if layout.hubs is None else layout.hubs.unionByName(over)
+    hubs = scratch.cut(hubs.groupBy("id").agg(F.max("copies").alias("copies")), "hubs")
     layout.release()
-    return lay_out(layout.adj, hubs, layout.directed, layout.num_partitions).persist()
+    return lay_out(layout.adj, hubs, layout.directed, layout.num_partitions, scratch).persist()
 
 
 def lay_out(adj: DataFrame, hubs: DataFrame | None = None, directed: bool = False,
-            num_partitions: int | None = None) -> Layout:
+            num_partitions: int | None = None, scratch: Scratch | None = None) -> Layout:
     """Partition the neighbour lists by vertex, hubs repeated, for the joins of the walk."""
     adj = expect(adj, "adj")
     if hubs is not None and hubs.isEmpty():
         hubs = None
-    if directed and hubs is None:
-        # Ended walks need a second key to be spread over.
-        hubs = adj.sparkSession.createDataFrame([], "id bigint, copies int")
-    lists = adj.select("id", F.col("nbrs.nbr").alias("nbr"), F.col("nbrs.weight").alias("weight"),
-                       F.col("nbrs.feat").alias("feat"),
-                       draw.running(F.col("nbrs.weight")).alias("sums"))
+    columns = ["id", F.col("nbrs.nbr").alias("nbr"), F.col("nbrs.weight").alias("weight"),
+               F.col("nbrs.feat").alias("feat"), draw.running(F.col("nbrs.weight")).alias("sums")]
     keys = ["id"]
     if hubs is not None:
-        copies = F.sequence(F.lit(0), F.coalesce(F.col("copies"), F.lit(1)) - 1)
-        lists = (lists.join(F.broadcast(hubs), "id", "left")
-                 .withColumn("copy", F.explode(copies)).drop("copies"))
+        told = (scratch or Scratch(adj.sparkSession)).cut(_tell_copies(adj, hubs), "lists")
+        lists = told.select(*columns, F.col("nbrs.copies").alias("copies"),
+                            F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("copy"))
+    elif directed:  # walks that have ended need a second key to be spread over
+        lists = adj.select(*columns, F.array_repeat(F.lit(1), F.size("nbrs")).alias("copies"),
+                           F.lit(0).alias("copy"))
+    else:
+        lists = adj.select(*columns)
+    if hubs is not None or directed:
         keys = ["id", "copy"]
     count = num_partitions or int(adj.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table = lists.repartition(count, *keys).sortWithinPartitions(*keys)
     return Layout(table, hubs, directed, adj, count)
 
 
+def _tell_copies(adj: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Lists whose entries have the ``copies`` of the neighbour; ``own`` are those of the vertex."""
+    entries = adj.select("id", F.posexplode("nbrs").alias("pos", "e")).select("id", "pos", "e.*")
+    to = hubs.select(F.col("id").alias("nbr"), "copies")
+    entries = attach(entries, to, "nbr", "left")
+    entry = F.struct("pos", "nbr", "weight", "feat", F.coalesce("copies", F.lit(1)).alias("copies"))
+    lists = entries.groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("nbrs"))
+    own = hubs.select("id", F.col("copies").alias("own"))
+    return lists.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(1)))
+
+
 def weighted_draw(adj: DataFrame, seed: int, draw_no: int = 0) -> DataFrame:
     """One neighbour per vertex, in proportion to weight."""
     weights = F.col("nbrs.weight")
@@ -141,19 +153,20 @@ def walk_start(layout: Layout, num_walks: int, seed: int, q: float = 1.0,
     newest last.
     """
     lists = layout.table
-    if layout.hubs is not None:
+    if layout.spread:
         lists = lists.where(F.col("copy") == 0)
     if starts is not None:
         lists = lists.join(starts.select("id").distinct(), "id", "left_semi")
     rows = lists.select(F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))).alias("walk_no"),
-                        F.col("id").alias("start"), "nbr", "feat", "sums")
+                        F.col("id").alias("start"), "nbr", "feat", "sums",
+                        *(["copies"] if layout.spread else []))
     amount = draw.uniform(seed, F.col("walk_no"), F.col("start"), 0) * _last("sums")
     drawn = rows.withColumn("amount", amount).withColumn(
         "pos", draw.reach(F.col("sums"), F.col("amount")))
-    hop = drawn.select("walk_no", "start", *_prev_nbrs(q), *_hop())
-    state = hop.select("walk_no", "start", F.col("start").alias("prev"), *_carried(q), "cur", "feat",
+    hop = drawn.select("walk_no", "start", *_prev_nbrs(q), *_hop(layout))
+    state = hop.select("walk_no", "start", F.col("start").alias("prev"), *_carried(hop), "cur", "feat",
                        *_empty_slots(room))
-    return _shift(state, q)
+    return _shift(state)
 
 
 def walk_step(state: DataFrame, layout: Layout, step: int, p: float, q: float,
@@ -168,8 +181,8 @@ def walk_step(state: DataFrame, layout: Layout, step: int, p: float, q: float,
     """
     state = state.withColumn("u", draw.uniform(seed, F.col("walk_no"), F.col("start"), step))
     on = F.col("cur") == F.col("id")
-    if layout.hubs is not None:
-        state = _choose_copy(state, layout.hubs, step)
+    if layout.spread:
+        state = _choose_copy(state, step)
         on = on & (F.col("to_copy") == F.col("copy"))
     # Lists of vertices, broadcast, would make one method of all steps, too long to be compiled.
     met = state.join(layout.table.hint("merge"), on, "left")
@@ -178,9 +191,9 @@ def walk_step(state: DataFrame, layout: Layout, step: int, p: float, q: float,
         drawn = aimed.withColumn("pos", draw.reach(F.col("sums"), F.col("amount")))
     else:
         drawn = _biased_draw(met, p, q)
-    hop = drawn.select("walk_no", "start", F.col("cur").alias("prev"), *_prev_nbrs(q), *_hop(),
+    hop = drawn.select("walk_no", "start", F.col("cur").alias("prev"), *_prev_nbrs(q), *_hop(layout),
                        *[c for c in state.columns if _is_slot(c)])
-    return _shift(hop, q)
+    return _shift(hop)
 
 
 def _empty_slots(room: int) -> list[Column]:
@@ -192,12 +205,12 @@ def _is_slot(column: str) -> bool:
     return column[0] in "vf" and column[1:].isdigit()
 
 
-def _shift(hop: DataFrame, q: float) -> DataFrame:
+def _shift(hop: DataFrame) -> DataFrame:
     """Move ``cur`` and ``feat`` into the last slots, and all others one forward."""
     room = sum(_is_slot(c) for c in hop.columns) // 2
     slots = [F.col(f"{name}{i + 1}" if i < room else newest).alias(f"{name}{i}")
              for name, newest in (("v", "cur"), ("f", "feat")) for i in range(1, room + 1)]
-    return hop.select("walk_no", "start", "prev", *_carried(q), "cur", *slots)
+    return hop.select("walk_no", "start", "prev", *_carried(hop), "cur", *slots)
 
 
 def _biased_draw(met: DataFrame, p: float, q: float) -> DataFrame:
@@ -246,15 +259,17 @@ def random_walk(adj: DataFrame | Layout, walk_length: int = 80, num_walks: int =
     if not isinstance(adj, Layout):
         scratch = scratch or Scratch(adj.sparkSession)
         adj = scratch.cut(expect(adj, "adj"), "adj")
-        hubs = find_hubs(adj, num_walks, walks_per_task)
-        layout = lay_out(adj, hubs, directed, num_partitions)
+        hubs = scratch.cut(find_hubs(adj, num_walks, walks_per_task, starts), "hubs")
+        layout = lay_out(adj, hubs, directed, num_partitions, scratch)
     if walk_length <= checkpoint_every:
         state = _advance(walk_start(layout, num_walks, seed, q, starts, walk_length + 1),
                          layout, 1, walk_length, p, q, seed)
         return expect(as_walks(state, walk_length + 1, ended=layout.directed), "walks")
     scratch = scratch or Scratch(layout.table.sparkSession)
+    # Every start has as many walks; where there are few starts, the walks' numbers spread them.
+    keys = ["start"] if starts is None else ["walk_no", "start"]
     return _put_together(_stretches(layout.persist(), walk_length, num_walks, p, q, seed, starts,
-                                    checkpoint_every, scratch, walks_per_task))
+                                    checkpoint_every, scratch, walks_per_task), keys)
 
 
 def _stretches(layout: Layout, walk_length: int, num_walks: int, p: float, q: float, seed: int,
@@ -263,24 +278,32 @@ def _stretches(layout: Layout, walk_length: int, num_walks: int, p: float, q: fl
     """Walk and write stretch by stretch; between two, spread the vertices that have become crowded."""
     room = every + 1
     state = walk_start(layout, num_walks, seed, q, starts, room)
-    written = []
+    written, many = [], None
     try:
         for first in range(1, walk_length + 1, every):
             last = min(first + every - 1, walk_length)
             state = _advance(state, layout, first, last, p, q, seed)
             opening = first == 1
             hops = last - first + (2 if opening else 1)
-            keep = () if last == walk_length else ("prev", "cur", *_carried(q))
+            keep = () if last == walk_length else ("prev", "cur", *_carried(state))
             stretch = scratch.cut(as_walks(state, hops, opening, layout.directed, keep), "stretch")
             written.append(stretch.select("walk_no", "start", F.lit(len(written)).alias("stretch"),
                                           "path", "feats"))
             if last == walk_length:
                 break
-            state = stretch.select("walk_no", "start", "prev", *_carried(q), "cur",
+            state = stretch.select("walk_no", "start", "prev", *_carried(stretch), "cur",
                                    *_empty_slots(room))
             if layout.directed:
                 state = state.where(F.col("cur").isNotNull())
-            layout = with_crowded(layout, crowded(stretch, hops, walks_per_task))
+            many = stretch.count() > walks_per_task if many is None else many
+            if not many:
+                continue
+            over = scratch.cut(crowded(state, layout.hubs, walks_per_task), "crowded")
+            if not over.isEmpty():
+                layout = more_copies(layout, over, scratch)
+                to = layout.hubs.select(F.col("id").alias("cur"), F.col("copies").alias("to"))
+                state = attach(state.drop("to"), to, "cur", "left").withColumn(
+                    "to", F.coalesce("to", F.lit(1)))
     finally:
         layout.release()
     return written
@@ -293,12 +316,12 @@ def _advance(state: DataFrame, layout: Layout, first: int, last: int, p: float,
     return state
 
 
-def _put_together(stretches: list[DataFrame]) -> DataFrame:
-    """One row per walk from its stretches; partitioned by start, which later joins can use."""
+def _put_together(stretches: list[DataFrame], keys: list[str]) -> DataFrame:
+    """One row per walk from its stretches; partitioned by ``keys``, which later joins can use."""
     rows = stretches[0]
     for more in stretches[1:]:
         rows = rows.unionByName(more)
-    walks = (rows.repartition("start").groupBy("walk_no", "start")
+    walks = (rows.repartition(*keys).groupBy("walk_no", "start")
              .agg(F.sort_array(F.collect_list(F.struct("stretch", "path", "feats"))).alias("s")))
     return expect(walks.select("walk_no", "start", F.flatten("s.path").alias("path"),
                                F.flatten("s.feats").alias("feats")), "walks")
@@ -335,25 +358,23 @@ def _prev_nbrs(q: float) -> list[Column]:
     return [F.col("nbr").alias("prev_nbrs")] if q != 1 else []
 
 
-def _carried(q: float) -> list[str]:
-    return ["prev_nbrs"] if q != 1 else []
+def _carried(state: DataFrame) -> list[str]:
+    return [c for c in ("prev_nbrs", "to") if c in state.columns]
 
 
 def _last(sums: str) -> Column:
     return F.get(sums, F.size(sums) - 1)
 
 
-def _hop() -> list[Column]:
-    """The drawn vertex and its feature."""
+def _hop(layout: Layout) -> list[Column]:
+    """The drawn vertex, its feature, and its copies where there are any."""
+    told = [F.element_at("copies", F.col("pos")).alias("to")] if layout.spread else []
     return [F.element_at("nbr", F.col("pos")).alias("cur"),
-            F.element_at("feat", F.col("pos")).alias("feat")]
+            F.element_at("feat", F.col("pos")).alias("feat"), *told]
 
 
-def _choose_copy(state: DataFrame, hubs: DataFrame, step: int) -> DataFrame:
+def _choose_copy(state: DataFrame, step: int) -> DataFrame:
     """Give each walk the copy of its vertex that it will read; spread walks that have ended."""
-    to = hubs.select(F.col("id").alias("hub"), "copies")
-    copies = F.when(F.col("cur").isNull(), F.lit(_SPREAD_ENDED)).otherwise(
-        F.coalesce("copies", F.lit(1)))
-    copy = F.pmod(F.xxhash64("walk_no", "start", F.lit(step)), copies).cast("int")
-    return (state.join(F.broadcast(to), F.col("cur") == F.col("hub"), "left")
-            .withColumn("to_copy", copy).drop("hub", "copies"))
+    mixed = F.hash("walk_no", "start", F.lit(step))
+    copy = F.when(F.col("cur").isNull(), mixed).otherwise(F.pmod(mixed, F.col("to")))
+    return state.withColumn("to_copy", copy)

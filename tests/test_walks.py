@@ -47,9 +47,22 @@ def test_hubs_are_spread(spark, graph, scratch):
     layout = W.lay_out(star, hubs)
     assert layout.table.where("id = 0").count() == 8
     state = W.walk_start(layout, 10, 3).where("start <> 0")
-    chosen = W._choose_copy(state, layout.hubs, 1).groupBy("to_copy").count().collect()
+    chosen = W._choose_copy(state, 1).groupBy("to_copy").count().collect()
     assert len(chosen) == 8 and max(r["count"] for r in chosen) < 700
     assert W.find_hubs(star, 10).isEmpty()
+    plan = W._advance(state, layout, 1, 2, 1.0, 1.0, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
+def test_many_walks_from_one_start_are_spread(spark, graph, scratch):
+    """All walks stand on the start's neighbours or on the start itself."""
+    adj = scratch.cut(graph([(0, 1), (0, 2), (0, 3, 2), (3, 4)] + [(k, k + 1) for k in range(10, 50)]))
+    starts = spark.createDataFrame([(0,)], "id bigint")
+    assert dict(rows(W.find_hubs(adj, 1000, 200, starts))) == {0: 5, 1: 2, 2: 2, 3: 3}
+    def run(**how):
+        return rows(W.random_walk(adj, 6, 1000, seed=4, starts=starts, scratch=scratch, checkpoint_every=2, **how))
+    want = run()
+    assert len(want) == 1000 and run(walks_per_task=100) == want
 
 
 def test_walks_that_gather_late_are_spread(spark, graph, scratch):
@@ -59,15 +72,14 @@ def test_walks_that_gather_late_are_spread(spark, graph, scratch):
         return W.random_walk(adj, 12, 20, seed=2, scratch=scratch, checkpoint_every=3, **how)
     want = rows(run())
     assert rows(run(walks_per_task=100)) == want
-    met = run().select(F.lit(0).alias("walk_no"), "start", "path")
-    copies = W.crowded(met, 13, walks_per_task=500)
-    assert copies[100] > 1 and copies[101] > 1 and len(copies) < 10
-    assert W.crowded(met, 13) == {}
-    layout = W.lay_out(adj).persist()
-    again = W.with_crowded(layout, copies)
-    assert again.table.where("id = 100").count() == copies[100] and again.hubs is not None
-    assert W.with_crowded(again, {100: copies[100]}) is again
-    assert W.with_crowded(layout, {}) is layout
+    met = run().select(F.element_at("path", -1).alias("cur"))
+    copies = dict(rows(W.crowded(met, None, walks_per_task=22)))
+    assert set(copies) == {100, 101} and min(copies.values()) > 2
+    assert W.crowded(met, None).isEmpty()
+    over = scratch.cut(W.crowded(met, None, walks_per_task=22))
+    assert W.crowded(met, over, walks_per_task=22).isEmpty()
+    again = W.more_copies(W.lay_out(adj).persist(), over, scratch)
+    assert again.table.where("id = 100").count() == copies[100] and again.spread
     again.release()
 
 
