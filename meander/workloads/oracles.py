@@ -11,6 +11,7 @@ SEP = "chr(1)"
 SEED = 7
 WALKS = 2
 STEPS = 4
+LONG_STEPS = 80
 
 _CUSTOMER = ("SELECT 'c'||c_custkey AS node, regexp_replace(c_mktsegment||'_'||c_nationkey, "
              "'\\s', '_', 'g') AS feat FROM customer")
@@ -233,6 +234,8 @@ ORACLES: dict[str, str] = {
     "walk_step": sql(adj("customer_part") + walk(2.0, 0.5, 1), _WALK),
     "random_walk": sql(_CP_WALK, _WALK),
     "random_walk_pq": sql(adj("customer_part") + walk(0.25, 4.0), _WALK),
+    "random_walk_long": sql(adj("customer_part") + walk(steps=LONG_STEPS, walks=1), _WALK),
+    "random_walk_pq_long": sql(adj("customer_part") + walk(0.25, 4.0, LONG_STEPS, 1), _WALK),
     "random_walk_tri": sql(adj("tripartite") + walk(2.0, 0.5), _WALK),
     "random_walk_hubs": sql(adj("supplier_part") + walk(4.0, 1.0), _WALK),
     "random_walk_directed": sql(adj("tripartite", directed=True) + walk(ends=True), _WALK),
@@ -264,8 +267,10 @@ ORACLES: dict[str, str] = {
         UNION SELECT dst, dst_feat FROM padded) JOIN {_FEATS_MET} ON word = feat"""),
     "run_padding": sql(padded("customer_part", False), f"""SELECT src||{SEP}||src_feat||' '||
         dst||{SEP}||dst_feat AS value FROM padded"""),
-    "run_random_walk": sql(_FILE_WALK,
-                           f"SELECT node||{SEP}||start||{SEP}||path_text AS value {_NAMED}"),
+    "run_random_walk": sql(_FILE_WALK, f"""SELECT 'ids' AS sink, node||{SEP}||start||{SEP}||path_text AS value {_NAMED}
+        UNION ALL SELECT 'feats', node||{SEP}||start||{SEP}||feats_text {_NAMED}
+        UNION ALL SELECT 'feats2', node||{SEP}||feat||{SEP}||feats_text {_NAMED}
+        JOIN {_NODE2FEAT} f ON fnode = node"""),
     "run_embedding": sql(_FILE_WALK, f"""SELECT fnode AS node, feat, 8 AS dim
         FROM {_NODE2FEAT} JOIN {_FEATS_MET} ON word = feat"""),
     "run_full": sql(indexed("customer_part"), "SELECT node, 8 AS dim FROM node2id"),

@@ -25,6 +25,7 @@ SEED = 7
 DEGREE = 50
 WALKS = 2
 STEPS = 4
+LONG_STEPS = Params().walk_length
 
 
 def query(fn: Query) -> Query:
@@ -315,6 +316,18 @@ def random_walk_pq(spark, sf_dir):
     return as_text(_walks(spark, sf_dir, "customer_part", 0.25, 4.0))
 
 
+@query
+def random_walk_long(spark, sf_dir):
+    """O-34 at the default length, through the stretches."""
+    return as_text(_walks(spark, sf_dir, "customer_part", steps=LONG_STEPS, walks=1))
+
+
+@query
+def random_walk_pq_long(spark, sf_dir):
+    """O-34 at the default length with a return and in-out bias."""
+    return as_text(_walks(spark, sf_dir, "customer_part", 0.25, 4.0, LONG_STEPS, 1))
+
+
 @query
 def random_walk_tri(spark, sf_dir):
     """O-34 on a graph with triangles."""
@@ -506,12 +519,14 @@ def run_padding(spark, sf_dir):
 
 @query
 def run_random_walk(spark, sf_dir):
-    """O-50 on the output of O-49: the id walks as written."""
+    """O-50 on the output of O-49: the three walk files as written."""
     scratch = Scratch(spark)
     params = _run_inputs(spark, sf_dir, scratch)
     C.padding(spark, params)
     C.random_walks(spark, params.but(input=params.output + ".padd"))
-    return spark.read.text(params.output)
+    ids, feats, feats2 = (spark.read.text(path).select(F.lit(sink).alias("sink"), "value") for sink, path in (
+        ("ids", params.output), ("feats", params.feat_walk_path), ("feats2", params.feat_walk_path + "2")))
+    return ids.unionByName(feats).unionByName(feats2)
 
 
 @query
