@@ -5,13 +5,17 @@ A target model (from documents of the wanted kind) and a background model
 differences of its words' losses, target minus background.  Low scores are
 like the target.
 
-The models match in everything but their counts: the same vocabulary, the same
-smoothing, the same table sizes.  The vocabulary is the words that make up at
-least ``SHARE`` of all words of the corpus, so at most 1 / SHARE; all others
-are one unknown word.  Bigrams of the vocabulary are counted in a table of
-fixed size by hash.  A word's probability after another one is its bigram
-count, smoothed by its unigram probability.  All documents are counted, whole;
-only the tables that are sent to the scoring tasks have a bound.
+The models match in everything but their counts: the same vocabulary and the
+same smoothing.  The vocabulary is every word of the corpus; a word that it
+lacks is the unknown one.  A word's probability after another one is their
+bigram count, smoothed by its unigram probability.  Words and bigrams are
+counted exactly (known by 64-bit hashes), all documents whole.
+
+No table of counts is ever in one place.  Texts are cut into slices; a slice
+sends its distinct bigrams and words with its counts to buckets by hash, packed
+in one row for each bucket, and each bucket sends back the corpus's counts of
+just these.  So what is gathered and sent follows the input, and no task holds
+more than a slice or a bucket.
 
 Cases: a text without words scores null with 0 words.  A null doc_id is scored
 and never in the target.  Without target documents the target's model is the
@@ -26,163 +30,206 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meander.llm.common import signed, slices
-from meander.llm.words import Words, mix, text_of
+from meander.llm.common import slices
+from meander.llm.words import Words, mix
+from meander.scratch import Scratch
 
-SHARE = 1e-6
-SLOTS = 1 << 21
 SMOOTHING, EVEN = 50.0, 1.0  # pseudo-counts of the unigram share in a bigram's, and of each word in a unigram's
-BROADCAST_IDS, HELD_WORDS, CHUNKS = 500_000, 2_000_000, 64
+# Text bytes of a slice, and of the corpus for each bucket.
+PACK_BYTES, BUCKET_BYTES, BROADCAST_IDS = 14 << 20, 12 << 20, 500_000
 _BEGIN = np.uint64(0x1234567)
+_SLICE = "slice long, ids binary, known binary, counts binary, wanted binary, names binary, tokens binary"
+_COUNTS = ("pair_n", "pair_t", "word_n", "word_t", "end_n", "end_t")
+_SENT = "bucket long, slice long, pairs binary, words binary, " + ", ".join(f"{c} binary" for c in _COUNTS)
+_BACK = "slice long, bucket long, " + ", ".join(f"{c} binary" for c in _COUNTS)
 
 
-def _marked(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """doc_id, text, wanted."""
-    ids = target_ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("__id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", F.col("__id").isNotNull().cast("int").alias("wanted"))
+def _planes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second ones and so on, which packs well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
-def _count_words(batches):
-    """Words of a task with their counts, in all and in the target."""
-    held, size = [], 0
+def _values(data: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-    def merged():
-        words, all_, own = (np.concatenate(x) for x in zip(*held))
-        names, back = np.unique(words, return_inverse=True)
-        return names, np.bincount(back, all_).astype(np.int64), np.bincount(back, own).astype(np.int64)
 
-    def batch_of(x):
-        return pa.record_batch([pa.array(signed(x[0])), pa.array(x[1]), pa.array(x[2])], ["word", "n", "t"])
+def _steps(ascending: np.ndarray) -> bytes:
+    return _planes(np.diff(ascending, prepend=np.uint64(0)))
 
-    for batch in slices(batches, "text"):
-        words = Words(batch.column(1), lower=True)
-        wanted = np.asarray(batch.column(2), np.int64)[text_of(words.first)]
-        names, back = np.unique(words.hash, return_inverse=True)
-        held.append((names, np.bincount(back, minlength=len(names)), np.bincount(back, wanted, len(names))))
-        size += len(names)
-        if size > HELD_WORDS:
-            held = [merged()]
-            size = len(held[0][0])
-            if size > HELD_WORDS // 2:
-                yield batch_of(held[0])
-                held, size = [], 0
-    if held:
-        yield batch_of(merged())
 
+def _ascending(data: bytes) -> np.ndarray:
+    return np.cumsum(_values(data, np.uint64), dtype=np.uint64)
 
-@dataclass(frozen=True)
-class Vocabulary:
-    """words: sorted hashes; unigram counts of each model, the unknown word's last."""
-    words: np.ndarray
-    counts: np.ndarray  # (2, words + 1): target, background
 
-    def lookup(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.words, hashes)
-        at[at == len(self.words)] = 0
-        return np.where(self.words[at] == hashes, at, len(self.words)) if len(self.words) else np.zeros(len(hashes), np.int64)
+def _cuts(ascending: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins: a range of hashes each, so that buckets in order are hashes in order."""
+    bucket = ((ascending >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    return np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
 
 
-def vocabulary(marked: DataFrame, share: float = SHARE) -> Vocabulary:
-    counts = marked.mapInArrow(_count_words, "word long, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    # The words of the corpus are counted apart, since the share a word must reach follows from their number.
-    total = marked.mapInArrow(_totals, "n long, t long").agg(F.sum("n"), F.sum("t")).first()
-    n, t = (int(x or 0) for x in total)
-    often = counts.where(F.col("n") >= F.lit(max(1.0, share * n))).toPandas().sort_values("word")
-    words = often["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(words)
-    own, all_ = often["t"].to_numpy(np.int64)[order], often["n"].to_numpy(np.int64)[order]
-    return Vocabulary(words[order], np.stack([np.r_[own, t - own.sum()], np.r_[all_, n - all_.sum()]]).astype(np.float64))
+def _marked(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """doc_id, text, wanted."""
+    ids = target_ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("__id")).distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", F.col("__id").isNotNull().cast("int").alias("wanted"))
 
 
-def _totals(batches):
-    for batch in slices(batches, "text"):
-        counts = Words(batch.column(1)).counts
-        yield pa.record_batch([pa.array([counts.sum()]), pa.array([counts[np.asarray(batch.column(2)) == 1].sum()])], ["n", "t"])
+def _slice(batches):
+    """Texts to slices: their documents, distinct words by hash, and each word's number among these."""
+    at = TaskContext.get().partitionId() << 32
+    for number, batch in enumerate(slices(batches, "text", PACK_BYTES)):
+        parts = [(w.hash, w.counts) for w in (Words(part.column(1), lower=True) for part in slices([batch], "text"))]
+        names, tokens = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+        ids = batch.column(0)
+        row = [at + number, _planes(np.asarray(ids.fill_null(0), np.int64)), np.asarray(ids.is_valid()).tobytes(),
+               _planes(np.concatenate([n for _, n in parts]).astype(np.int64)), np.asarray(batch.column(2)).astype(np.int8).tobytes(),
+               _steps(names), _planes(tokens.astype(np.int32))]
+        yield pa.record_batch([pa.array([x]) for x in row], ["slice", "ids", "known", "counts", "wanted", "names", "tokens"])
+
+
+class _Slice:
+    """names: sorted hashes of its words; tokens: the place of each of its words there; pairs, pair: likewise for bigrams."""
+
+    def __init__(self, row):
+        self.counts, self.names = _values(row["counts"], np.int64), _ascending(row["names"])
+        self.tokens = _values(row["tokens"], np.int32)
+        first = np.r_[0, np.cumsum(self.counts)]
+        some = self.counts > 0
+        self.start, self.last = first[:-1][some], first[1:][some] - 1
+        self.owner = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
+        self.wanted = np.frombuffer(row["wanted"], np.int8)[self.owner]
+        word = self.names[self.tokens]
+        before = np.r_[_BEGIN, word[:-1]][:len(word)]
+        before[self.start] = _BEGIN  # a text begins with a word of its own
+        word ^= mix(before, 61)
+        self.pairs, pair = np.unique(mix(word), return_inverse=True)
+        self.pair = pair.astype(np.int32)
+
+    def own_counts(self) -> list[np.ndarray]:
+        """By the names of _COUNTS: of bigrams, words, and words that end a text, in all and in the target."""
+        count = lambda x, n: np.bincount(x, minlength=n)
+        at, last = self.wanted == 1, self.last
+        p, w = len(self.pairs), len(self.names)
+        return [count(self.pair, p), count(self.pair[at], p), count(self.tokens, w), count(self.tokens[at], w),
+                count(self.tokens[last], w), count(self.tokens[last[at[last]]], w)]
+
+
+def _send(buckets: int, counts: bool, asks: bool):
+    """What a slice counts, one row for each bucket.  Without ``counts`` its own are 0, without ``asks`` it wants no answer."""
+    def run(batches):
+        for batch in batches:
+            for row in (r for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
+                own = _Slice(row)
+                p, w = _cuts(own.pairs, buckets), _cuts(own.names, buckets)
+                some = np.flatnonzero((np.diff(p) > 0) | (np.diff(w) > 0))
+                values = [(x if counts else np.zeros_like(x)).astype(np.int32) for x in own.own_counts()]
+                cut = lambda x, at, f: pa.array([f(x[at[k]:at[k + 1]]) for k in some], pa.binary())
+                yield pa.record_batch([pa.array(some, pa.int64()), pa.array(np.full(len(some), row["slice"] if asks else -1), pa.int64()),
+                                       cut(own.pairs, p, _steps), cut(own.names, w, _steps),
+                                       *[cut(x, p if k < 2 else w, _planes) for k, x in enumerate(values)]],
+                                      ["bucket", "slice", "pairs", "words", *_COUNTS])
+    return run
 
 
-def _slots(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The bigram slot of every word with the one before it; a text begins with a word of its own."""
-    names = ids.astype(np.uint64)
-    before = np.r_[_BEGIN, names[:-1]] if len(names) else names
-    before[first[:-1][np.diff(first) > 0]] = _BEGIN
-    return (mix(names ^ mix(before, 61)) & np.uint64(SLOTS - 1)).astype(np.int64)
+def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sums of a bucket's counts, for each slice those of what it has sent, in its order."""
+    asks = (pdf["slice"] >= 0).to_numpy()
+    out = {"slice": pdf["slice"][asks], "bucket": pdf["bucket"][asks]}
+    for keys, columns in (("pairs", _COUNTS[:2]), ("words", _COUNTS[2:])):
+        parts = [_ascending(b) for b in pdf[keys]]
+        names, back = np.unique(np.concatenate(parts), return_inverse=True)
+        at = np.cumsum([len(x) for x in parts])[:-1]
+        for c in columns:
+            total = np.bincount(back, np.concatenate([_values(b, np.int32) for b in pdf[c]]), len(names)).astype(np.int64)
+            out[c] = [_planes(x) for x, a in zip(np.split(total[back], at), asks) if a]
+    return pd.DataFrame(out)
 
 
-def _count_bigrams(words_of):
+def _send_words(buckets: int):
     def run(batches):
-        voc = words_of.value
-        counts = np.zeros((2, SLOTS), np.int64)
-        for batch in slices(batches, "text"):
-            words = Words(batch.column(1), lower=True)
-            slot = _slots(voc.lookup(words.hash), words.first)
-            wanted = np.asarray(batch.column(2), np.int64)[text_of(words.first)]
-            counts[1] += np.bincount(slot, minlength=SLOTS)
-            counts[0] += np.bincount(slot[wanted == 1], minlength=SLOTS)
-        small = counts.astype(np.int32 if counts.max() < 1 << 31 else np.int64)
-        for k, part in enumerate(np.split(small, CHUNKS, axis=1)):
-            yield pa.record_batch([pa.array([k]), pa.array([small.itemsize]), pa.array([part.tobytes()], pa.binary())], ["chunk", "width", "counts"])
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                names = _ascending(data)
+                at = _cuts(names, buckets)
+                some = np.flatnonzero(np.diff(at))
+                yield pa.record_batch([pa.array(some, pa.int64()), pa.array([_steps(names[at[k]:at[k + 1]]) for k in some], pa.binary())], ["bucket", "words"])
     return run
 
 
-def _add(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(b, f"i{w}").astype(np.int64) for b, w in zip(pdf["counts"], pdf["width"]))
-    return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "counts": [total.tobytes()]})
+def _different(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"n": [len(np.unique(np.concatenate([_ascending(b) for b in pdf["words"]])))]})
+
+
+def _totals(batches):
+    for batch in batches:
+        for row in batch.to_pylist():
+            counts, own = _values(row["counts"], np.int64), np.frombuffer(row["wanted"], np.int8) == 1
+            yield pa.record_batch([pa.array([x]) for x in (counts[own].sum(), counts.sum(), (counts[own] > 0).sum(), (counts > 0).sum())],
+                                  ["words_t", "words_n", "texts_t", "texts_n"])
 
 
 @dataclass(frozen=True)
 class Models:
-    """The shared vocabulary and, per model, unigram probabilities, counts as context, and bigram counts."""
-    vocabulary: Vocabulary
-    bigrams: np.ndarray  # (2, SLOTS)
-
-    def losses(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """(2, words): each model's loss of each word, in nats."""
-        slot = _slots(ids, first)
-        before = np.r_[-1, ids[:-1]] if len(ids) else ids
-        start = first[:-1][np.diff(first) > 0]
-        out = []
-        for model in (0, 1):
-            counts = self.vocabulary.counts[model]
-            share = (counts + EVEN) / (counts.sum() + EVEN * len(counts))
-            context = counts[before]
-            context[start] = self.bigrams[model][slot[start]]  # how often texts begin isn't kept: bound it by this
-            pair = np.minimum(self.bigrams[model][slot], np.minimum(context, counts[ids]))
-            out.append(-np.log((pair + SMOOTHING * share[ids]) / (context + SMOOTHING)))
-        return np.stack(out)
-
-
-def fit(docs: DataFrame, target_ids: DataFrame, share: float = SHARE) -> Models:
+    """The documents, as slices, that the two models (target, background) are the counts of, and what these add up to."""
+    docs: DataFrame
+    slices: DataFrame
+    buckets: int
+    vocabulary: int
+    words: tuple[int, int]
+    texts: tuple[int, int]  # with words
+
+
+def _losses(own: _Slice, answers: pd.DataFrame, vocabulary: int, words: tuple[int, int], texts: tuple[int, int]):
+    """Each model's loss of each word, in nats, one model after the other."""
+    answers = answers.sort_values("bucket")
+    found = lambda c: np.concatenate([_values(b, np.int64) for b in answers[c]] or [np.zeros(0, np.int64)])
+    before = np.r_[0, own.tokens[:-1]][:len(own.tokens)]
+    for model, name in enumerate("tn"):
+        count, pair = found(f"word_{name}"), found(f"pair_{name}")[own.pair]
+        share = (count + EVEN) / (words[model] + EVEN * (vocabulary + 1))
+        context = (count - found(f"end_{name}"))[before]
+        context[own.start] = pair[own.start]  # how often texts begin isn't counted
+        yield -np.log((pair + SMOOTHING * share[own.tokens]) / (context + SMOOTHING))
+
+
+def fit(docs: DataFrame, target_ids: DataFrame, scratch: Scratch | None = None) -> Models:
     """docs: doc_id, text; target_ids: doc_id."""
-    marked = _marked(docs, target_ids)
-    voc = vocabulary(marked, share)
-    sent = docs.sparkSession.sparkContext.broadcast(voc)
-    rows = marked.mapInArrow(_count_bigrams(sent), "chunk long, width long, counts binary").groupBy("chunk").applyInPandas(_add, "chunk long, counts binary").collect()
-    table = np.zeros((2, SLOTS))
-    size = SLOTS // CHUNKS
-    for r in rows:
-        table[:, r["chunk"] * size:(r["chunk"] + 1) * size] = np.frombuffer(r["counts"], np.int64).reshape(2, size)
-    return Models(voc, table.astype(np.float32))
-
-
-def score(docs: DataFrame, models: Models) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss (nats a word), score (their difference)."""
-    sent = docs.sparkSession.sparkContext.broadcast(models)
+    spark = docs.sparkSession
+    cut = (scratch or Scratch(spark)).cut(_marked(docs, target_ids).mapInArrow(_slice, _SLICE), "slices", "zstd")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    different = cut.select("names").mapInArrow(_send_words(buckets), "bucket long, words binary").groupBy("bucket").applyInPandas(_different, "n long")
+    total = cut.select("counts", "wanted").mapInArrow(_totals, "words_t long, words_n long, texts_t long, texts_n long")
+    sums = [int(x or 0) for x in total.agg(*[F.sum(c) for c in total.columns]).first()]
+    return Models(docs, cut, buckets, int(different.agg(F.sum("n")).first()[0] or 0), tuple(sums[:2]), tuple(sums[2:]))
 
-    def run(batches):
-        own = sent.value
-        for batch in slices(batches, "text"):
-            words = Words(batch.column(1), lower=True)
-            loss = own.losses(own.vocabulary.lookup(words.hash), words.first)
-            n = words.counts
-            owner = text_of(words.first)
-            target, background = (np.bincount(owner, x, len(n)) / np.maximum(n, 1) for x in loss)
-            none = n == 0
-            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(target, mask=none), pa.array(background, mask=none),
-                                   pa.array(target - background, mask=none)], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+
+def score(docs: DataFrame, models: Models, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss (nats a word), score (their difference)."""
+    buckets, vocabulary, words, texts = models.buckets, models.vocabulary, models.words, models.texts
+    if docs is models.docs:
+        own = models.slices
+        sent = own.mapInArrow(_send(buckets, True, True), _SENT)
+    else:
+        own = (scratch or Scratch(docs.sparkSession)).cut(docs.select("doc_id", "text", F.lit(0).alias("wanted")).mapInArrow(_slice, _SLICE), "slices", "zstd")
+        sent = models.slices.mapInArrow(_send(buckets, True, False), _SENT).unionByName(own.mapInArrow(_send(buckets, False, True), _SENT))
+    answers = sent.groupBy("bucket").applyInPandas(_answer, _BACK)
+
+    def run(slice_: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        row = slice_.iloc[0]
+        own = _Slice(row)
+        n = len(own.counts)
+        target, background = (np.where(own.counts > 0, np.bincount(own.owner, x, n) / np.maximum(own.counts, 1), np.nan)
+                              for x in _losses(own, back, vocabulary, words, texts))
+        ids = pd.Series(_values(row["ids"], np.int64), dtype="Int64").mask(~np.frombuffer(row["known"], bool))
+        nullable = lambda x: pd.Series(x).astype("Float64").mask(own.counts == 0)
+        return pd.DataFrame({"doc_id": ids, "n_tokens": own.counts, "target_loss": nullable(target), "background_loss": nullable(background),
+                             "score": nullable(target - background)})
+    return own.groupBy("slice").cogroup(answers.groupBy("slice")).applyInPandas(
+        run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

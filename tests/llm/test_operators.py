@@ -294,6 +294,54 @@ def test_lm_scores(spark, docs):
     assert max(got[i].score for i in others if i % 2) < min(got[i].score for i in others if not i % 2)
 
 
+def lm_losses(rows, target):
+    """(n_tokens, target loss, background loss) of each row by plain Python."""
+    texts = [WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
+    models = []
+    for own in ([w for (i, _), w in zip(rows, texts) if i in target], texts):
+        word, pair, context = defaultdict(int), defaultdict(int), defaultdict(int)
+        for ws in own:
+            for a, b in zip([None, *ws], ws):
+                word[b] += 1
+                pair[a, b] += 1
+                context[a] += 1
+        models.append((word, pair, context))
+    size = len({w for ws in texts for w in ws}) + 1
+    share = lambda m, b: (m[0][b] + 1) / (sum(m[0].values()) + size)
+    loss = lambda m, a, b: -np.log((m[1][a, b] + 50 * share(m, b)) / ((m[2][a] if a else m[1][a, b]) + 50))
+    return [(len(ws), *[np.mean([loss(m, a, b) for a, b in zip([None, *ws], ws)]) if ws else None for m in models]) for ws in texts]
+
+
+def lm_table(rows):
+    odd = random.Random(8)
+    rare = [(1000 + i, " ".join(f"r{odd.randrange(10**6)}" for _ in range(12))) for i in range(40)]
+    return [(r[0], r[1]) for r in rows] + rare
+
+
+def test_lm_counts_are_exact(spark, rows, monkeypatch):
+    """Every word and bigram counts, also rare ones, with many slices and buckets."""
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 2000)
+    table = lm_table(rows)
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    target = {i for i, _ in table if i is not None and i % 3 == 0}
+    got = lm_scoring.score(docs, lm_scoring.fit(docs, spark.createDataFrame([(i,) for i in target], "doc_id long"))).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    want = sorted(((i, *x) for (i, _), x in zip(table, lm_losses(table, target)) if x[0] > -1), key=key)
+    got = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in got if r.n_tokens > -1), key=key)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    for x, y in zip(got, want):
+        assert x[2:] == pytest.approx(y[2:], rel=1e-9) if y[1] else x[2:] == (None, None)
+
+
+def test_lm_scores_of_other_documents(spark):
+    fitted = spark.createDataFrame([(1, "a b c"), (2, "a b d e")], "doc_id long, text string")
+    models = lm_scoring.fit(fitted, spark.createDataFrame([(1,)], "doc_id long"))
+    other = spark.createDataFrame([(7, "a b zz"), (1, "a b c")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_scoring.score(other, models).collect()}
+    own = {r.doc_id: r for r in lm_scoring.score(fitted, models).collect()}
+    assert got[1] == own[1] and got[7].n_tokens == 3 and got[7].background_loss > own[1].background_loss
+
+
 def test_empty(spark, empty, scratch):
     assert jaccard_join.jaccard_components(empty, scratch).count() == 0
     assert exact_dedup.exact_groups(empty, scratch).count() == 0
