@@ -191,7 +191,7 @@ def _losses(own: _Slice, answers: pd.DataFrame, vocabulary: int, words: tuple[in
         count, pair = found(f"word_{name}"), found(f"pair_{name}")[own.pair]
         share = (count + EVEN) / (words[model] + EVEN * (vocabulary + 1))
         context = (count - found(f"end_{name}"))[before]
-        context[own.start] = pair[own.start]  # how often texts begin isn't counted
+        context[own.start] = texts[model]
         yield -np.log((pair + SMOOTHING * share[own.tokens]) / (context + SMOOTHING))
 
 

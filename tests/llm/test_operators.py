@@ -308,7 +308,7 @@ def lm_losses(rows, target):
         models.append((word, pair, context))
     size = len({w for ws in texts for w in ws}) + 1
     share = lambda m, b: (m[0][b] + 1) / (sum(m[0].values()) + size)
-    loss = lambda m, a, b: -np.log((m[1][a, b] + 50 * share(m, b)) / ((m[2][a] if a else m[1][a, b]) + 50))
+    loss = lambda m, a, b: -np.log((m[1][a, b] + 50 * share(m, b)) / (m[2][a] + 50))
     return [(len(ws), *[np.mean([loss(m, a, b) for a, b in zip([None, *ws], ws)]) if ws else None for m in models]) for ws in texts]
 
 
@@ -333,6 +333,16 @@ def test_lm_counts_are_exact(spark, rows, monkeypatch):
         assert x[2:] == pytest.approx(y[2:], rel=1e-9) if y[1] else x[2:] == (None, None)
 
 
+def test_first_words_have_the_texts_as_context(spark):
+    """A text of one word costs what its share of the beginnings is."""
+    table = [(i, "often more") for i in range(300)] + [(1000 + i, "seldom") for i in range(100)]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_scoring.score(docs, lm_scoring.fit(docs, docs.where("doc_id < 10").select("doc_id"))).collect()}
+    want = lm_losses(table, set(range(10)))[-1]
+    assert (got[1000].target_loss, got[1000].background_loss) == pytest.approx(want[1:], rel=1e-9)
+    assert got[1000].background_loss > 1
+
+
 def test_lm_scores_of_other_documents(spark):
     fitted = spark.createDataFrame([(1, "a b c"), (2, "a b d e")], "doc_id long, text string")
     models = lm_scoring.fit(fitted, spark.createDataFrame([(1,)], "doc_id long"))
