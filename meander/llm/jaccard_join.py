@@ -31,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from meander.llm.common import binaries, components, long_arrays, signed, slices
 from meander.llm.postings import SCHEMA, common_hashes, deal, shared_counts, shared_hashes
@@ -242,6 +242,10 @@ def set_links(docs: DataFrame, scratch: Scratch, words: int, percent: int) -> tu
 def jaccard_components(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = PERCENT,
                        doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    return _rows_with_component(docs, scratch, words, percent, doc_id, text).drop("set_id")
+
+
+def _rows_with_component(docs: DataFrame, scratch: Scratch, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows, links = set_links(narrow, scratch, words, percent)
     roots = scratch.cut(components(links, "a", "b", scratch), "roots")
@@ -251,17 +255,30 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, words: int = WORDS, pe
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("c").alias("c")).where("c > 1")
     named = scratch.cut(joined.select("set_id", "root").join(least.select("root", "component_id"), "root").select("set_id", "component_id"), "named")
     return attach(rows, named, "set_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "set_id")
+
+
+def _add_set(n: int, batch_text: str, at: int):
+    def run(batches):
+        for batch in slices(batches, batch_text):
+            values, first = shingle_sets(Words(batch.column(at), lower=True), n)
+            counts = np.diff(first)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed(_class_of(values, first, counts)), mask=counts == 0)],
+                                             [*batch.schema.names, "__set"])
+    return run
 
 
 def one_of_each(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = PERCENT,
                 doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, and those without doc_id."""
-    found = jaccard_components(docs, scratch, words, percent, doc_id, text)
-    losers = scratch.cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__loser")).distinct(), "losers")
+    found = _rows_with_component(docs, scratch, words, percent, doc_id, text)
+    # Rows of one doc_id may have different texts, each with a component of its own.
+    losers = scratch.cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__loser"), F.col("set_id").alias("__lost")).distinct(), "losers")
     if losers.count() <= BROADCAST_IDS:
         losers = F.broadcast(losers)
-    return docs.join(losers, F.col(doc_id).cast("long") == F.col("__loser"), "left_anti")
+    told = docs.mapInArrow(_add_set(words, text, docs.columns.index(text)), T.StructType([*docs.schema.fields, T.StructField("__set", T.LongType())]))
+    same = (F.col(doc_id).cast("long") == F.col("__loser")) & (F.col("__set") == F.col("__lost"))
+    return told.join(losers, same, "left_anti").drop("__set")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

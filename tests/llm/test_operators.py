@@ -80,6 +80,14 @@ def test_jaccard_components(docs, rows, scratch):
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
+def test_one_of_each_tells_rows_of_a_doc_id_by_text(spark, scratch):
+    near, clean = " ".join(f"n{i}" for i in range(60)), " ".join(f"c{i}" for i in range(60))
+    table = [(1, near, "x"), (5, near + " more", "y"), (5, clean, "z"), (None, near, "w"), (6, None, "v"), (7, clean, "u")]
+    docs = spark.createDataFrame(table, "doc_id long, text string, row string")
+    left = jaccard_join.one_of_each(docs, scratch)
+    assert left.columns == docs.columns and sorted(r.row for r in left.collect()) == ["v", "w", "x", "z"]
+
+
 def test_blocks_know_sets_by_their_shared_shingles():
     rnd = random.Random(6)
     sets = {}
