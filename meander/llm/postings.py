@@ -156,8 +156,11 @@ def _by_owner(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
 
 def _one_row_each(pdf: pd.DataFrame) -> pd.DataFrame:
     owner, values, count = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("owners", np.int64), ("hashes", np.uint64), ("counts", np.int32)))
-    order = np.argsort(owner, kind="stable")
+    order = np.lexsort((values, owner))
     values, owner, count = values[order], owner[order], count[order]
+    # An owner met in several slices sends a common hash from each.
+    new = np.r_[True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])] if len(owner) else np.zeros(0, bool)
+    values, owner, count = values[new], owner[new], count[new]
     start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
     spans = list(zip(start, [*start[1:], len(owner)]))
     return pd.DataFrame({"owner": owner[start], "hashes": [values[a:b].tobytes() for a, b in spans],

@@ -103,6 +103,15 @@ def test_blocks_know_sets_by_their_shared_shingles():
     assert roots(range(40), lambda a, b: (a, b) in links or (b, a) in links) == roots(range(40), near)
 
 
+def test_repeated_common_hashes_of_an_owner_are_one():
+    pack = lambda x, kind: np.array(x, kind).tobytes()
+    sent = pd.DataFrame({"owners": [pack([7, 7, 9], np.int64), pack([7, 7], np.int64)], "hashes": [pack([3, 4, 3], np.uint64), pack([3, 4], np.uint64)],
+                         "counts": [pack([postings.MANY] * 3, np.int32), pack([postings.MANY] * 2, np.int32)]})
+    got = postings._one_row_each(sent)
+    assert [np.frombuffer(b, np.uint64).tolist() for b in got["hashes"]] == [[3, 4], [3]]
+    assert [len(b) // 4 for b in got["counts"]] == [2, 1]
+
+
 def test_short_hashes_lose_none():
     # Two hashes of one owner that agree in the half that is sent, both shared.
     twins = [(7 << 32) | 1, (7 << 32) | 2]
