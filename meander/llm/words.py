@@ -39,6 +39,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def powers(n: int) -> np.ndarray:
+    """Powers for running sums of hashes: hashes[i] * powers[i] summed over equal stretches differ by a power only."""
+    return _powers(_BASE, n)
+
+
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of data[start:end] for every range; equal contents get equal hashes.
 
