@@ -11,14 +11,30 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def uniform(seed: int, walk_no: Column, start: Column, step: Column | int) -> Column:
-    """A number in (0, 1) from the first 32 bits of an md5; never one of the ends."""
+def hashed(seed: int, walk_no: Column, start: Column, step: Column | int) -> Column:
+    """128 bits as 32 hex digits, for a draw."""
+    return F.md5(_name(seed, walk_no, start, step))
+
+
+def hashed_wide(seed: int, walk_no: Column, start: Column, step: Column | int, more: int) -> Column:
+    """256 bits as 64 hex digits, for a draw that needs several numbers; ``more`` gives others."""
+    return F.sha2(F.concat_ws("|", _name(seed, walk_no, start, step), F.lit(str(more))), 256)
+
+
+def _name(seed: int, walk_no: Column, start: Column, step: Column | int) -> Column:
     # As text, a step number is not part of the generated code.
     step = F.lit(str(step)) if isinstance(step, int) else step
-    key = F.concat_ws("|", F.lit(str(seed)), walk_no.cast("string"),
-                      start.cast("string"), step.cast("string"))
-    bits = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
-    return (bits + F.lit(0.5)) / F.lit(4294967296.0)
+    return F.concat_ws("|", F.lit(str(seed)), walk_no.cast("string"), start.cast("string"), step.cast("string"))
+
+
+def part(bits: Column, k: int) -> Column:
+    """A number in (0, 1) from the k-th 32 bits; never one of the ends."""
+    return (F.conv(F.substring(bits, 8 * k + 1, 8), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(4294967296.0)
+
+
+def uniform(seed: int, walk_no: Column, start: Column, step: Column | int) -> Column:
+    """A number in (0, 1) from the first 32 bits of an md5."""
+    return part(hashed(seed, walk_no, start, step), 0)
 
 
 def total(weights: Column) -> Column:
@@ -56,21 +72,15 @@ def pick(weights: Column, amount: Column) -> Column:
     return (F.size(weights) + 1 + F.least(rest, F.lit(-1.0))).cast("int")
 
 
-def biased(nbr: Column, weight: Column, prev: Column, common: Column,
-           p: float, q: float) -> Column:
-    """Weights of the candidates ``nbr`` for a walk that came from ``prev``.
+def biased(weight: Column, back: Column, shared: Column, p: float, q: float) -> Column:
+    """Weights of a list's entries for a walk that came from the one at place ``back`` (from 1, 0 if none).
 
-    Back to ``prev``: w/p; to a neighbour of ``prev`` (one in ``common``): w; else w/q.
+    Back there: w/p; to a neighbour of it (at one of the places ``shared``, from 0): w; else w/q.
     """
-    plain = F.zip_with(
-        nbr, weight, lambda n, w: F.when(n == prev, w / F.lit(p)).otherwise(w / F.lit(q)))
-    full = F.zip_with(
-        nbr, weight,
-        lambda n, w: F.when(n == prev, w / F.lit(p))
-                      .when(F.array_contains(common, n), w).otherwise(w / F.lit(q)))
-    # Reading `common` twice also keeps the optimizer from moving what makes
-    # it into the lambda, to be redone per candidate.
-    return F.when(F.size(common) == 0, plain).otherwise(full)
+    plain = F.transform(weight, lambda w, i: F.when(i == back - 1, w / F.lit(p)).otherwise(w / F.lit(q)))
+    full = F.transform(weight, lambda w, i: F.when(i == back - 1, w / F.lit(p))
+                       .when(F.array_contains(shared, i), w).otherwise(w / F.lit(q)))
+    return F.when(F.coalesce(F.size(shared), F.lit(0)) <= 0, plain).otherwise(full)
 
 
 def amount_with_return(sums: Column, back: Column, back_weight: Column, u: Column,

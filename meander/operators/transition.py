@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from meander.functions import draw
 from meander.operators.joins import attach
+from meander.operators.triangles import shared_places
 from meander.schemas import expect
+from meander.scratch import Scratch
 
 
 def transition1(adj: DataFrame) -> DataFrame:
@@ -16,22 +18,28 @@ def transition1(adj: DataFrame) -> DataFrame:
     return shares.select("id", "nbr", (F.col("weight") / F.col("total")).alias("prob"))
 
 
-def transition2(adj: DataFrame, p: float = 1.0, q: float = 1.0) -> DataFrame:
-    """Second order: over (prev, cur, next), with the bias of a walk that came from ``prev``.
+def transition_lists(adj: DataFrame, p: float = 1.0, q: float = 1.0, scratch: Scratch | None = None) -> DataFrame:
+    """Second order, one row per (prev, cur): ``next``, the neighbours of ``cur`` with their ``prob``.
 
-    One join brings the list of ``cur`` to each edge that leads there; bias
-    and share are worked out inside the list.
+    Which neighbours of ``cur`` those of ``prev`` are comes from the triangles of the
+    graph; only places in lists are joined to the edges, and then the list of ``cur``.
     """
     adj = expect(adj, "adj")
-    steps = adj.select(F.col("id").alias("prev"), F.col("nbrs.nbr").alias("prev_nbrs"),
-                       F.explode("nbrs.nbr").alias("cur"))
-    lists = adj.select(F.col("id").alias("cur"), F.col("nbrs.nbr").alias("nbr"),
-                       F.col("nbrs.weight").alias("weight"))
-    met = attach(steps, lists, "cur").select(
-        "prev", "cur", "nbr", "weight",
-        F.array_intersect("nbr", "prev_nbrs").alias("common"))
-    shares = met.select("prev", "cur", "nbr", draw.biased(
-        F.col("nbr"), F.col("weight"), F.col("prev"), F.col("common"), p, q).alias("b"))
-    rows = shares.select("prev", "cur", draw.total(F.col("b")).alias("total"),
-                         F.inline(F.arrays_zip("nbr", "b")))
-    return rows.select("prev", "cur", "nbr", (F.col("b") / F.col("total")).alias("prob"))
+    steps = adj.select(F.col("id").alias("prev"), F.posexplode("nbrs.nbr").alias("at", "cur"))
+    if q != 1:
+        near = shared_places(adj, scratch or Scratch(adj.sparkSession)).withColumnRenamed("id", "prev")
+        steps = steps.join(near, ["prev", "at"], "left")
+    else:
+        steps = steps.withColumn("shared", F.lit(None).cast("array<int>"))
+    lists = adj.select(F.col("id").alias("cur"), F.col("nbrs.nbr").alias("nbr"), F.col("nbrs.weight").alias("weight"))
+    met = attach(steps.drop("at"), lists, "cur")
+    back = F.coalesce(F.array_position("nbr", F.col("prev")), F.lit(0))
+    biased = met.select("prev", "cur", "nbr", draw.biased(F.col("weight"), back, F.col("shared"), p, q).alias("b"))
+    biased = biased.withColumn("total", draw.total(F.col("b")))
+    return biased.select("prev", "cur", F.arrays_zip(
+        "nbr", F.transform("b", lambda b: b / F.col("total")).alias("prob")).cast("array<struct<nbr:bigint,prob:double>>").alias("next"))
+
+
+def transition2(adj: DataFrame, p: float = 1.0, q: float = 1.0, scratch: Scratch | None = None) -> DataFrame:
+    """Second order: over (prev, cur, nbr), with the bias of a walk that came from ``prev``."""
+    return transition_lists(adj, p, q, scratch).select("prev", "cur", F.inline("next"))

@@ -2,26 +2,43 @@
 
 All walks from all vertices advance together, one join per step.  The
 neighbour lists are laid out by vertex once; a step shuffles the states to
-them.  A state holds the vertices and features of the current stretch only.
+them.  A state holds the vertices and features of the current stretch only,
+features as numbers where their dictionary is small, and, for a biased walk,
+where in the current list the neighbours of the vertex just left stand: known
+for every edge from the graph's triangles, so that no list travels.
 After ``checkpoint_every`` steps the stretch is written to the shared folder,
 which cuts the plan and the lineage, and the walks go on from its last vertex.
 The stretches are put together once, at the end.
+
+There are two ways to draw.  ``sums`` looks up an amount in the running sums of
+a list, corrected for the bias, and weighs the entries one by one where the two
+vertices share neighbours.  ``alias`` takes an entry by the list's alias table
+and, for a biased walk, accepts or rejects it by its bias and tries again: its
+cost doesn't depend on the length of the list.  Both draw with the same
+probabilities, but not the same walks.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meander.functions import draw
+from meander.operators import alias
 from meander.operators.joins import attach
+from meander.operators.triangles import shared_places
 from meander.schemas import expect
 from meander.scratch import Scratch
 
 # Walks that may meet at one vertex in one task.
 WALKS_PER_TASK = 1_000_000
+# Features travel as numbers if all of them together take no more bytes than this.
+FEATURE_BYTES = 16 << 20
+METHODS = ("sums", "alias")
+# Tries of a biased alias draw; then the list is weighed.
+TRIES = 4
 
 
 @dataclass(frozen=True)
@@ -29,9 +46,12 @@ class Layout:
     """Neighbour lists laid out for the walk: one row per vertex, or per copy of a hub.
 
     ``table`` is partitioned and sorted by (id[, copy]) and has the lists as
-    parallel arrays, with the running sums of the weights.  With ``spread`` it
-    also tells the copies of every neighbour, so that a walk knows at the draw
-    among how many it may choose.  ``hubs`` are the vertices with copies.
+    parallel arrays, with the running sums of the weights or the alias tables.
+    With ``spread`` it also tells the copies of every neighbour, so that a walk
+    knows at the draw among how many it may choose.  ``hubs`` are the vertices
+    with copies.  ``near`` has, for biased walks, the places in a neighbour's
+    list that the own list shares; ``features`` the numbers of features, if these
+    take the place of texts in ``table``.
     """
 
     table: DataFrame
@@ -39,6 +59,10 @@ class Layout:
     directed: bool
     adj: DataFrame
     num_partitions: int
+    method: str = "sums"
+    placed: bool = False
+    near: DataFrame | None = field(default=None, repr=False)
+    features: DataFrame | None = field(default=None, repr=False)
 
     @property
     def spread(self) -> bool:
@@ -96,43 +120,79 @@ def more_copies(layout: Layout, over: DataFrame, scratch: Scratch) -> Layout:
     hubs = over if layout.hubs is None else layout.hubs.unionByName(over)
     hubs = scratch.cut(hubs.groupBy("id").agg(F.max("copies").alias("copies")), "hubs")
     layout.release()
-    return lay_out(layout.adj, hubs, layout.directed, layout.num_partitions, scratch).persist()
+    return replace(layout, hubs=hubs, table=_table(layout.adj, hubs, layout.directed, layout.num_partitions, layout.method,
+                                                   layout.placed, layout.near, layout.features)).persist()
 
 
 def lay_out(adj: DataFrame, hubs: DataFrame | None = None, directed: bool = False,
-            num_partitions: int | None = None, scratch: Scratch | None = None) -> Layout:
-    """Partition the neighbour lists by vertex, hubs repeated, for the joins of the walk."""
+            num_partitions: int | None = None, scratch: Scratch | None = None, method: str = "sums",
+            biased: bool = False, placed: bool = False, feature_bytes: int = FEATURE_BYTES) -> Layout:
+    """Partition the neighbour lists by vertex, hubs repeated, for the joins of the walk.
+
+    ``placed`` lists are in ``num_partitions`` buckets of their vertex already and
+    stay where they are.  ``biased`` is for walks whose q isn't 1.
+    """
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {', '.join(METHODS)}, got {method!r}")
     adj = expect(adj, "adj")
+    scratch = scratch or Scratch(adj.sparkSession)
     if hubs is not None and hubs.isEmpty():
         hubs = None
-    columns = ["id", F.col("nbrs.nbr").alias("nbr"), F.col("nbrs.weight").alias("weight"),
-               F.col("nbrs.feat").alias("feat"), draw.running(F.col("nbrs.weight")).alias("sums")]
+    count = num_partitions or int(adj.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = None
+    if biased:
+        near = scratch.cut(shared_places(adj, scratch).groupBy("id").agg(
+            F.map_from_entries(F.collect_list(F.struct("at", "shared"))).alias("near")), "near")
+    features = _numbered_features(adj, scratch, feature_bytes)
+    return Layout(_table(adj, hubs, directed, count, method, placed, near, features), hubs, directed, adj, count, method,
+                  placed, near, features)
+
+
+def _numbered_features(adj: DataFrame, scratch: Scratch, most_bytes: int) -> DataFrame | None:
+    """(feat, code) of all features of the lists, or None if they are too many to send to every task."""
+    feats = adj.select(F.explode("nbrs.feat").alias("feat")).where("feat is not null").distinct()
+    numbered = scratch.cut(feats.withColumn("code", F.monotonically_increasing_id()), "features")
+    size = numbered.agg(F.coalesce(F.sum(F.octet_length("feat") + 16), F.lit(0))).first()[0]
+    return numbered if size <= most_bytes else None
+
+
+def _table(adj: DataFrame, hubs: DataFrame | None, directed: bool, count: int, method: str, placed: bool,
+           near: DataFrame | None, features: DataFrame | None) -> DataFrame:
+    """The lists entry by entry, looked up and put together again: one shuffle of them, or none if they are placed."""
+    lists = adj if placed else adj.repartition(count, "id")
+    if near is not None:
+        lists = lists.join(near, "id", "left")
+        rows = lists.select("id", "near", F.posexplode("nbrs").alias("at", "e"))
+        rows = rows.select("id", "e.*", F.expr("try_element_at(near, at)").alias("shared"))
+    else:
+        rows = lists.select("id", F.inline("nbrs"))
+    if features is not None:
+        rows = rows.join(F.broadcast(features), "feat", "left").drop("feat").withColumnRenamed("code", "feat")
+    extra = [c for c in ("shared",) if c in rows.columns]
     keys = ["id"]
     if hubs is not None:
-        told = (scratch or Scratch(adj.sparkSession)).cut(_tell_copies(adj, hubs), "lists")
-        lists = told.select(*columns, F.col("nbrs.copies").alias("copies"),
-                            F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("copy"))
+        rows = attach(rows, hubs.select(F.col("id").alias("nbr"), "copies"), "nbr", "left")
+        rows = rows.withColumn("copies", F.coalesce("copies", F.lit(1))).repartition(count, "id")
     elif directed:  # walks that have ended need a second key to be spread over
-        lists = adj.select(*columns, F.array_repeat(F.lit(1), F.size("nbrs")).alias("copies"),
-                           F.lit(0).alias("copy"))
-    else:
-        lists = adj.select(*columns)
+        rows = rows.withColumn("copies", F.lit(1))
     if hubs is not None or directed:
-        keys = ["id", "copy"]
-    count = num_partitions or int(adj.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = lists.repartition(count, *keys).sortWithinPartitions(*keys)
-    return Layout(table, hubs, directed, adj, count)
-
-
-def _tell_copies(adj: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Lists whose entries have the ``copies`` of the neighbour; ``own`` are those of the vertex."""
-    entries = adj.select("id", F.posexplode("nbrs").alias("pos", "e")).select("id", "pos", "e.*")
-    to = hubs.select(F.col("id").alias("nbr"), "copies")
-    entries = attach(entries, to, "nbr", "left")
-    entry = F.struct("pos", "nbr", "weight", "feat", F.coalesce("copies", F.lit(1)).alias("copies"))
-    lists = entries.groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("nbrs"))
-    own = hubs.select("id", F.col("copies").alias("own"))
-    return lists.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(1)))
+        keys, extra = ["id", "copy"], [*extra, "copies"]
+    if method == "alias":
+        rows, extra = alias.with_alias(rows), ["prob", "other", *extra]
+        whole = [F.max("total").alias("total")]
+    else:
+        rows = rows.withColumn("sums", F.sum("weight").over(Window.partitionBy("id").orderBy("nbr")))
+        extra, whole = ["sums", *extra], []
+    columns = ["nbr", "weight", "feat", *extra]
+    table = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("e"), *whole)
+    table = table.select("id", *[f"e.{c}" for c in columns], *(["total"] if whole else []))
+    if hubs is not None:
+        own = hubs.select("id", F.sequence(F.lit(0), F.col("copies") - 1).alias("own"))
+        table = table.join(own, "id", "left").withColumn(
+            "copy", F.explode(F.coalesce("own", F.array(F.lit(0))))).drop("own").repartition(count, *keys)
+    elif directed:
+        table = table.withColumn("copy", F.lit(0)).repartition(count, *keys)
+    return table.sortWithinPartitions(*keys)
 
 
 def weighted_draw(adj: DataFrame, seed: int, draw_no: int = 0) -> DataFrame:
@@ -144,8 +204,7 @@ def weighted_draw(adj: DataFrame, seed: int, draw_no: int = 0) -> DataFrame:
     return drawn.select("id", "entry.nbr", "entry.weight", "entry.feat")
 
 
-def walk_start(layout: Layout, num_walks: int, seed: int, q: float = 1.0,
-               starts: DataFrame | None = None, room: int = 9) -> DataFrame:
+def walk_start(layout: Layout, num_walks: int, seed: int, starts: DataFrame | None = None, room: int = 9) -> DataFrame:
     """The first, unbiased hop of ``num_walks`` walks from every vertex, or from ``starts(id)``.
 
     States have the walk's number and start, its last two vertices, and the
@@ -157,15 +216,11 @@ def walk_start(layout: Layout, num_walks: int, seed: int, q: float = 1.0,
         lists = lists.where(F.col("copy") == 0)
     if starts is not None:
         lists = lists.join(starts.select("id").distinct(), "id", "left_semi")
-    rows = lists.select(F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))).alias("walk_no"),
-                        F.col("id").alias("start"), "nbr", "feat", "sums",
-                        *(["copies"] if layout.spread else []))
-    amount = draw.uniform(seed, F.col("walk_no"), F.col("start"), 0) * _last("sums")
-    drawn = rows.withColumn("amount", amount).withColumn(
-        "pos", draw.reach(F.col("sums"), F.col("amount")))
-    hop = drawn.select("walk_no", "start", *_prev_nbrs(q), *_hop(layout))
+    rows = lists.withColumn("walk_no", F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))))
+    drawn = _draw(rows.withColumnRenamed("id", "start"), layout, 0, 1.0, 1.0, seed)
+    hop = drawn.select("walk_no", "start", *_hop(layout))
     state = hop.select("walk_no", "start", F.col("start").alias("prev"), *_carried(hop), "cur", "feat",
-                       *_empty_slots(room))
+                       *_empty_slots(room, layout))
     return _shift(state)
 
 
@@ -179,26 +234,82 @@ def walk_step(state: DataFrame, layout: Layout, step: int, p: float, q: float,
     key for null.  A first-order draw has no lambda, so join and draw are one
     piece of generated code.
     """
-    state = state.withColumn("u", draw.uniform(seed, F.col("walk_no"), F.col("start"), step))
     on = F.col("cur") == F.col("id")
     if layout.spread:
         state = _choose_copy(state, step)
         on = on & (F.col("to_copy") == F.col("copy"))
+    if "shared" in state.columns:
+        state = state.withColumnRenamed("shared", "met_before")
     # Lists of vertices, broadcast, would make one method of all steps, too long to be compiled.
     met = state.join(layout.table.hint("merge"), on, "left")
-    if p == 1 and q == 1:
-        aimed = met.withColumn("amount", F.col("u") * _last("sums"))
-        drawn = aimed.withColumn("pos", draw.reach(F.col("sums"), F.col("amount")))
-    else:
-        drawn = _biased_draw(met, p, q)
-    hop = drawn.select("walk_no", "start", F.col("cur").alias("prev"), *_prev_nbrs(q), *_hop(layout),
+    drawn = _draw(met, layout, step, p, q, seed)
+    hop = drawn.select("walk_no", "start", F.col("cur").alias("prev"), *_hop(layout),
                        *[c for c in state.columns if _is_slot(c)])
     return _shift(hop)
 
 
-def _empty_slots(room: int) -> list[Column]:
+def _draw(met: DataFrame, layout: Layout, step: int, p: float, q: float, seed: int) -> DataFrame:
+    """Add ``pos``, the place from 1 of the drawn entry."""
+    if q != 1 and layout.near is None:
+        raise ValueError("walks with q other than 1 need a layout for biased walks")
+    who = (seed, F.col("walk_no"), F.col("start"), step)
+    if layout.method == "alias":
+        if p != 1 or q != 1:
+            return _accepted(met, who, p, q)
+        bits = draw.part(F.col("bits"), 0), draw.part(F.col("bits"), 1)
+        return met.withColumn("bits", draw.hashed(*who)).withColumn("pos", alias.pick("prob", "other", F.col("total"), *bits))
+    met = met.withColumn("u", draw.uniform(*who))
+    if p != 1 or q != 1:
+        return _biased_draw(met, p, q)
+    return met.withColumn("amount", F.col("u") * _last("sums")).withColumn("pos", draw.reach(F.col("sums"), F.col("amount")))
+
+
+def _accepted(met: DataFrame, who: tuple, p: float, q: float) -> DataFrame:
+    """Add ``pos``: entries are proposed by weight and accepted by their bias, up to ``TRIES`` times.
+
+    Biases are under a ceiling; what the way back has above it is an area of its
+    own, so that a small p doesn't make other proposals fail.  A draw that no try
+    settles weighs the list.  The tries don't build on each other: the optimizer
+    writes out what a column is made of wherever it is used.
+    """
+    ceiling = max(1.0, 1 / q)
+    back = F.coalesce(F.array_position("nbr", F.col("prev")), F.lit(0)).cast("int")
+    met = met.withColumns({"back": back, **{f"bits{k}": draw.hashed_wide(*who, k) for k in range((TRIES + 1) // 2)}})
+    back_weight = F.coalesce(F.get("weight", F.col("back") - 1), F.lit(0.0))
+    number = lambda k, i: draw.part(F.col(f"bits{k // 2}"), 3 * (k % 2) + i)
+    met = met.withColumns({
+        "area": F.lit(ceiling) * F.col("total") + F.lit(max(0.0, 1 / p - ceiling)) * back_weight,
+        **{f"proposed{k}": alias.pick("prob", "other", F.col("total"), number(k, 0), number(k, 1)) for k in range(TRIES)}})
+    tries = []
+    for k in range(TRIES):
+        proposed, height = F.col(f"proposed{k}"), number(k, 2) * F.col("area")
+        bias = F.when(proposed == F.col("back"), F.lit(min(ceiling, 1 / p)))
+        if q != 1:
+            bias = bias.when(F.coalesce(F.array_contains("met_before", proposed - 1), F.lit(False)), F.lit(1.0))
+        tries.append(F.when(height >= F.lit(ceiling) * F.col("total"), F.col("back"))
+                     .when(bias.otherwise(F.lit(1 / q)) * F.col("total") > height, proposed))
+    shared = F.col("met_before") if q != 1 else F.lit(None).cast("array<int>")
+    met = met.withColumn("found", F.coalesce(*tries))
+    met = met.withColumn("b", F.when(F.col("found").isNull(), draw.biased(F.col("weight"), F.col("back"), shared, p, q)))
+    weighed = draw.pick(F.col("b"), draw.part(F.col("bits0"), 6) * draw.total(F.col("b")))
+    return met.withColumn("pos", F.coalesce("found", weighed))
+
+
+def _empty_slots(room: int, layout: Layout) -> list[Column]:
+    feat = "string" if layout.features is None else "bigint"
     return [F.lit(None).cast(kind).alias(f"{name}{i}")
-            for name, kind in (("v", "bigint"), ("f", "string")) for i in range(1, room + 1)]
+            for name, kind in (("v", "bigint"), ("f", feat)) for i in range(1, room + 1)]
+
+
+def _named_features(state: DataFrame, layout: Layout, hops: int) -> DataFrame:
+    """States with the texts of the last ``hops`` features, by a look-up for each slot: nothing moves."""
+    if layout.features is None:
+        return state
+    room = sum(_is_slot(c) for c in state.columns) // 2
+    for i in range(room - hops + 1, room + 1):
+        names = F.broadcast(layout.features.select(F.col("code").alias(f"f{i}"), F.col("feat").alias(f"__f{i}")))
+        state = state.join(names, f"f{i}", "left").drop(f"f{i}").withColumnRenamed(f"__f{i}", f"f{i}")
+    return state
 
 
 def _is_slot(column: str) -> bool:
@@ -224,21 +335,20 @@ def _biased_draw(met: DataFrame, p: float, q: float) -> DataFrame:
     if q == 1:
         return met.withColumn("pos", by_sums)
     # Only where vertices share neighbours must every candidate be weighed.
-    met = met.withColumn("common", F.array_intersect("nbr", "prev_nbrs"))
-    met = met.withColumn("b", F.when(F.size("common") > 0, draw.biased(
-        F.col("nbr"), F.col("weight"), F.col("prev"), F.col("common"), p, q)))
+    some = F.coalesce(F.size("met_before"), F.lit(0)) > 0
+    met = met.withColumn("b", F.when(some, draw.biased(F.col("weight"), F.col("back"), F.col("met_before"), p, q)))
     by_weighing = draw.pick(F.col("b"), F.col("u") * draw.total(F.col("b")))
     return met.withColumn("pos", F.when(F.col("b").isNull(), by_sums).otherwise(by_weighing))
 
 
-def as_walks(state: DataFrame, hops: int, with_start: bool = True, ended: bool = False,
-             keep: tuple = ()) -> DataFrame:
-    """The last ``hops`` hops of states as paths and features; ``ended`` if some may be missing."""
+def as_walks(state: DataFrame, layout: Layout, hops: int, with_start: bool = True, keep: tuple = ()) -> DataFrame:
+    """The last ``hops`` hops of states as paths and features; in directed graphs some may be missing."""
+    state = _named_features(state, layout, hops)
     room = sum(_is_slot(c) for c in state.columns) // 2
     last = range(room - hops + 1, room + 1)
     path = F.array(*(["start"] if with_start else []), *[f"v{i}" for i in last])
     feats = F.array(*[f"f{i}" for i in last])
-    if ended:
+    if layout.directed:
         path, feats = F.array_compact(path), F.array_compact(feats)
     return state.select("walk_no", "start", *keep, path.alias("path"), feats.alias("feats"))
 
@@ -247,7 +357,7 @@ def random_walk(adj: DataFrame | Layout, walk_length: int = 80, num_walks: int =
                 p: float = 1.0, q: float = 1.0, seed: int = 42, directed: bool = False,
                 starts: DataFrame | None = None, checkpoint_every: int = 8,
                 num_partitions: int | None = None, scratch: Scratch | None = None,
-                walks_per_task: int = WALKS_PER_TASK) -> DataFrame:
+                walks_per_task: int = WALKS_PER_TASK, method: str = "sums") -> DataFrame:
     """Walks of ``walk_length`` biased hops after the first: paths and features of the vertices met.
 
     ``path`` starts with the start vertex; ``feats[i]`` belongs to ``path[i + 1]``.
@@ -260,11 +370,11 @@ def random_walk(adj: DataFrame | Layout, walk_length: int = 80, num_walks: int =
         scratch = scratch or Scratch(adj.sparkSession)
         adj = scratch.cut(expect(adj, "adj"), "adj")
         hubs = scratch.cut(find_hubs(adj, num_walks, walks_per_task, starts), "hubs")
-        layout = lay_out(adj, hubs, directed, num_partitions, scratch)
+        layout = lay_out(adj, hubs, directed, num_partitions, scratch, method, q != 1)
     if walk_length <= checkpoint_every:
-        state = _advance(walk_start(layout, num_walks, seed, q, starts, walk_length + 1),
+        state = _advance(walk_start(layout, num_walks, seed, starts, walk_length + 1),
                          layout, 1, walk_length, p, q, seed)
-        return expect(as_walks(state, walk_length + 1, ended=layout.directed), "walks")
+        return expect(as_walks(state, layout, walk_length + 1), "walks")
     scratch = scratch or Scratch(layout.table.sparkSession)
     # Every start has as many walks; where there are few starts, the walks' numbers spread them.
     keys = ["start"] if starts is None else ["walk_no", "start"]
@@ -277,7 +387,7 @@ def _stretches(layout: Layout, walk_length: int, num_walks: int, p: float, q: fl
                walks_per_task: int) -> list[DataFrame]:
     """Walk and write stretch by stretch; between two, spread the vertices that have become crowded."""
     room = every + 1
-    state = walk_start(layout, num_walks, seed, q, starts, room)
+    state = walk_start(layout, num_walks, seed, starts, room)
     written, many = [], None
     try:
         for first in range(1, walk_length + 1, every):
@@ -286,13 +396,13 @@ def _stretches(layout: Layout, walk_length: int, num_walks: int, p: float, q: fl
             opening = first == 1
             hops = last - first + (2 if opening else 1)
             keep = () if last == walk_length else ("prev", "cur", *_carried(state))
-            stretch = scratch.cut(as_walks(state, hops, opening, layout.directed, keep), "stretch")
+            stretch = scratch.cut(as_walks(state, layout, hops, opening, keep), "stretch")
             written.append(stretch.select("walk_no", "start", F.lit(len(written)).alias("stretch"),
                                           "path", "feats"))
             if last == walk_length:
                 break
             state = stretch.select("walk_no", "start", "prev", *_carried(stretch), "cur",
-                                   *_empty_slots(room))
+                                   *_empty_slots(room, layout))
             if layout.directed:
                 state = state.where(F.col("cur").isNotNull())
             many = stretch.count() > walks_per_task if many is None else many
@@ -353,13 +463,8 @@ def hop_tag(walks: DataFrame, adj: DataFrame) -> DataFrame:
                        tag.alias("tag"))
 
 
-def _prev_nbrs(q: float) -> list[Column]:
-    """The list just left, needed to tell its neighbours from others unless q is 1."""
-    return [F.col("nbr").alias("prev_nbrs")] if q != 1 else []
-
-
 def _carried(state: DataFrame) -> list[str]:
-    return [c for c in ("prev_nbrs", "to") if c in state.columns]
+    return [c for c in ("shared", "to") if c in state.columns]
 
 
 def _last(sums: str) -> Column:
@@ -367,8 +472,10 @@ def _last(sums: str) -> Column:
 
 
 def _hop(layout: Layout) -> list[Column]:
-    """The drawn vertex, its feature, and its copies where there are any."""
+    """The drawn vertex, its feature, what its list shares with the one just left, and its copies where there are any."""
     told = [F.element_at("copies", F.col("pos")).alias("to")] if layout.spread else []
+    if layout.near is not None:
+        told.append(F.element_at("shared", F.col("pos")).alias("shared"))
     return [F.element_at("nbr", F.col("pos")).alias("cur"),
             F.element_at("feat", F.col("pos")).alias("feat"), *told]
 

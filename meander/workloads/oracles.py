@@ -108,6 +108,69 @@ def walk(p: float = 1.0, q: float = 1.0, steps: int = STEPS, walks: int = WALKS,
             f"walk AS (SELECT walk_no, start, path_text, feats_text FROM steps WHERE {last})"]
 
 
+# Alias tables by their definition: a light entry's bucket is filled by the first heavy
+# one that has more to spare, up to itself, than lighter ones before lack; a heavy one
+# keeps what is left of it once the lights up to that point are filled.
+ALIAS = ["""placed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY nbr)::INTEGER AS place,
+      count(*) OVER (PARTITION BY id) AS n, sum(weight) OVER (PARTITION BY id) AS total FROM adj)""",
+    """parted AS (SELECT *, n * weight <= total AS light,
+      sum(greatest(total - n * weight, 0)) OVER (PARTITION BY id ORDER BY place) AS lack,
+      sum(greatest(n * weight - total, 0)) OVER (PARTITION BY id ORDER BY place) AS spare FROM placed)""",
+    """tables AS (
+      SELECT l.id, l.place, l.nbr, l.feat, l.weight, l.n, l.total, l.n * l.weight AS prob, coalesce(min(h.place), l.place) AS other
+      FROM parted l LEFT JOIN parted h ON h.id = l.id AND NOT h.light AND h.spare > l.lack - (l.total - l.n * l.weight)
+      WHERE l.light GROUP BY l.id, l.place, l.nbr, l.feat, l.weight, l.n, l.total
+      UNION ALL
+      SELECT h.id, h.place, h.nbr, h.feat, h.weight, h.n, h.total, least(h.total, h.total + h.spare - min(l.lack)) AS prob,
+        coalesce((SELECT min(o.place) FROM parted o WHERE o.id = h.id AND NOT o.light AND o.place > h.place), h.place) AS other
+      FROM parted h JOIN parted l ON l.id = h.id AND l.light AND l.lack >= h.spare WHERE NOT h.light
+      GROUP BY h.id, h.place, h.nbr, h.feat, h.weight, h.n, h.total, h.spare)"""]
+TRIES = 4
+
+
+def number(bits: str, k: int) -> str:
+    return f"((('0x'||substr({bits}, {8 * k + 1}, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+
+
+def taken(u: str, v: str) -> str:
+    """The place that the table gives, known to all rows of a list."""
+    return (f"max(CASE WHEN place = floor({u} * n)::INTEGER + 1 THEN CASE WHEN {v} * total < prob THEN place ELSE other END END) "
+            "OVER (PARTITION BY walk_no, start)")
+
+
+def alias_walk(p: float = 1.0, q: float = 1.0, steps: int = STEPS, walks: int = WALKS) -> list[str]:
+    """CTEs ending in walk, by alias tables; biased walks propose, accept or reject, and weigh after ``TRIES`` tries."""
+    high = max(1.0, 1 / q)
+    name = f"'{SEED}|'||walk_no||'|'||start||'|'||"
+    first = f"""hop0 AS (SELECT walk_no, start, nbr, feat FROM (SELECT *, {taken(number('bits', 0), number('bits', 1))} AS drawn
+        FROM (SELECT w.i::INTEGER AS walk_no, id AS start, t.*, md5('{SEED}|'||w.i||'|'||id||'|0') AS bits FROM tables t, range({walks}) w(i)))
+        WHERE place = drawn)"""
+    entries = f"""SELECT w.walk_no, w.start, w.step + 1 AS step, w.prev AS before, w.cur, w.path_text, w.feats_text, t.place, t.n, t.total,
+        t.prob, t.other, t.nbr, t.feat, t.weight, CASE WHEN t.nbr = w.prev THEN 1 / {p}::DOUBLE WHEN c.nbr IS NOT NULL THEN 1.0::DOUBLE ELSE 1 / {q}::DOUBLE END AS bias
+        FROM steps w JOIN tables t ON t.id = w.cur LEFT JOIN adj c ON c.id = w.prev AND c.nbr = t.nbr WHERE w.step < {steps}"""
+    if p == q == 1:
+        chosen = f"""SELECT *, {taken(number('bits', 0), number('bits', 1))} AS drawn FROM (SELECT *, md5({name}step) AS bits FROM ({entries}))"""
+    else:
+        own = "OVER (PARTITION BY walk_no, start)"
+        bits = ", ".join(f"sha256({name}step||'|{k}') AS bits{k}" for k in range((TRIES + 1) // 2))
+        at = lambda k, i: number(f"bits{k // 2}", 3 * (k % 2) + i)
+        proposed = ", ".join(f"{taken(at(k, 0), at(k, 1))} AS proposed{k}" for k in range(TRIES))
+        biases = ", ".join(f"max(CASE WHEN place = proposed{k} THEN least(bias, {high}) END) {own} AS bias{k}" for k in range(TRIES))
+        tries = ", ".join(f"""CASE WHEN {at(k, 2)} * area >= {high} * total THEN back
+            WHEN bias{k} * total > {at(k, 2)} * area THEN proposed{k} END""" for k in range(TRIES))
+        chosen = f"""SELECT *, coalesce({tries}, min(CASE WHEN run >= {number('bits0', 6)} * sum_b THEN place END) {own}) AS drawn FROM (
+          SELECT *, {biases}, {high} * total + {max(0.0, 1 / p - high)} * back_weight AS area FROM (
+            SELECT *, {proposed}, max(CASE WHEN nbr = before THEN place END) {own} AS back,
+              coalesce(max(CASE WHEN nbr = before THEN weight END) {own}, 0) AS back_weight,
+              sum(weight * bias) OVER (PARTITION BY walk_no, start ORDER BY place) AS run, sum(weight * bias) {own} AS sum_b
+            FROM (SELECT *, {bits} FROM ({entries}))))"""
+    return [*ALIAS, first, f"""steps AS (
+      SELECT walk_no, start, 0 AS step, start AS prev, nbr AS cur, start||' '||nbr AS path_text, feat AS feats_text FROM hop0
+      UNION ALL
+      SELECT walk_no, start, step, cur, nbr, path_text||' '||nbr, feats_text||' '||feat FROM ({chosen}) WHERE place = drawn)""",
+            f"walk AS (SELECT walk_no, start, path_text, feats_text FROM steps WHERE step = {steps})"]
+
+
 def sql(ctes: list[str], select: str) -> str:
     recursive = any(c.startswith("steps AS") for c in ctes)
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(ctes) + f"\n{select}"
@@ -219,13 +282,18 @@ ORACLES: dict[str, str] = {
         FROM adj a JOIN lists s ON s.id = a.id JOIN lists d ON d.id = a.nbr"""),
     "transition1": sql(adj("customer_part"), """SELECT id, nbr,
         weight / sum(weight) OVER (PARTITION BY id) AS prob FROM adj"""),
-    "transition2": sql(adj("tripartite", 50), """SELECT prev, cur, count(*) AS n, sum(prob) AS total, max(prob) AS most,
-        sum(prob * nbr) AS mean_nbr FROM (SELECT prev, cur, nbr,
+    "transition2": sql(adj("tripartite", 50), """SELECT prev, cur, count(*)::INTEGER AS n,
+        string_agg(nbr||':'||floor(prob * 1099511627776)::BIGINT, ' ' ORDER BY nbr) AS probs FROM (SELECT prev, cur, nbr,
         b / sum(b) OVER (PARTITION BY prev, cur) AS prob FROM (
         SELECT e.id AS prev, e.nbr AS cur, a.nbr,
           CASE WHEN a.nbr = e.id THEN a.weight / 0.25::DOUBLE WHEN c.nbr IS NOT NULL THEN a.weight
                ELSE a.weight / 4.0::DOUBLE END AS b
         FROM adj e JOIN adj a ON a.id = e.nbr LEFT JOIN adj c ON c.id = e.id AND c.nbr = a.nbr)) GROUP BY prev, cur"""),
+    "alias_tables": sql(adj("customer_part") + ALIAS, "SELECT id, place, nbr, prob, other, total FROM tables"),
+    "alias_draw": sql(adj("customer_part") + ALIAS, f"""SELECT t.id, o.nbr FROM (
+        SELECT id, CASE WHEN {number('bits', 1)} * total < prob THEN place ELSE other END AS drawn FROM (
+          SELECT *, md5('{SEED}|3|'||id||'|0') AS bits FROM tables) WHERE place = floor({number('bits', 0)} * n)::INTEGER + 1) t
+        JOIN tables o ON o.id = t.id AND o.place = t.drawn"""),
     "weighted_draw": sql(adj("customer_part"), f"""SELECT id, nbr, weight, feat FROM (
         SELECT *, sum(weight) OVER (PARTITION BY id ORDER BY nbr) AS run,
           sum(weight) OVER (PARTITION BY id) AS total, {uniform("'3'", 'id', '0')} AS u FROM adj)
@@ -236,6 +304,8 @@ ORACLES: dict[str, str] = {
     "random_walk_pq": sql(adj("customer_part") + walk(0.25, 4.0), _WALK),
     "random_walk_long": sql(adj("customer_part") + walk(steps=LONG_STEPS, walks=1), _WALK),
     "random_walk_pq_long": sql(adj("customer_part") + walk(0.25, 4.0, LONG_STEPS, 1), _WALK),
+    "random_walk_alias": sql(adj("customer_part") + alias_walk(steps=LONG_STEPS, walks=1), _WALK),
+    "random_walk_alias_tri": sql(adj("tripartite") + alias_walk(0.25, 0.5, 20, 1), _WALK),
     "random_walk_tri": sql(adj("tripartite") + walk(2.0, 0.5), _WALK),
     "random_walk_hubs": sql(adj("supplier_part") + walk(4.0, 1.0), _WALK),
     "random_walk_directed": sql(adj("tripartite", directed=True) + walk(ends=True), _WALK),

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meander.functions import text as X
-from meander.operators import adjacency as A, embedding as E, index as I, naming as N
+from meander.operators import adjacency as A, alias, embedding as E, index as I, naming as N
 from meander.operators import padding as P, transition as T, walk as W
 from meander.params import Params, SEPARATOR
 from meander.plans import commands as C
@@ -50,10 +50,10 @@ def _written_adj(spark: SparkSession, sf_dir: str, graph: str, degree: int) -> D
 
 
 def _walks(spark: SparkSession, sf_dir: str, graph: str, p: float = 1.0, q: float = 1.0,
-           steps: int = STEPS, walks: int = WALKS, every: int = 8, degree: int = DEGREE) -> DataFrame:
+           steps: int = STEPS, walks: int = WALKS, every: int = 8, degree: int = DEGREE, method: str = "sums") -> DataFrame:
     scratch = Scratch(spark)
     adj = _adj(spark, sf_dir, graph, degree, scratch)
-    return W.random_walk(adj, steps, walks, p, q, SEED, checkpoint_every=every, scratch=scratch)
+    return W.random_walk(adj, steps, walks, p, q, SEED, checkpoint_every=every, scratch=scratch, method=method)
 
 
 # Text sources.  The lines are made from the tables, in every shape a line may
@@ -275,10 +275,23 @@ def transition1(spark, sf_dir):
 @query
 def transition2(spark, sf_dir):
     """O-29"""
-    rows = T.transition2(_written_adj(spark, sf_dir, "tripartite", DEGREE), 0.25, 4.0)
-    # One row per pair of vertices; its whole list is in the sums.
-    return rows.groupBy("prev", "cur").agg(F.count("*").alias("n"), F.sum("prob").alias("total"), F.max("prob").alias("most"),
-                                           F.sum(F.col("prob") * F.col("nbr")).alias("mean_nbr"))
+    scratch = Scratch(spark)
+    lists = T.transition_lists(_written_adj(spark, sf_dir, "tripartite", DEGREE), 0.25, 4.0, scratch)
+    # One row per pair of vertices with its whole list; 40 bits of each probability.
+    probs = F.transform("next", lambda e: F.concat_ws(":", e["nbr"].cast("string"), F.floor(e["prob"] * (1 << 40)).cast("string")))
+    return lists.select("prev", "cur", F.size("next").alias("n"), F.array_join(probs, " ").alias("probs"))
+
+
+@query
+def alias_tables(spark, sf_dir):
+    """O-28 as alias tables."""
+    return alias.alias_tables(_adj(spark, sf_dir, "customer_part"))
+
+
+@query
+def alias_draw(spark, sf_dir):
+    """O-30 by alias tables."""
+    return alias.alias_draw(alias.alias_tables(_adj(spark, sf_dir, "customer_part")), SEED, 3)
 
 
 @query
@@ -293,15 +306,15 @@ def weighted_draw(spark, sf_dir):
 def walk_start(spark, sf_dir):
     """O-31"""
     layout = W.lay_out(_adj(spark, sf_dir, "customer_part"))
-    return as_text(W.as_walks(W.walk_start(layout, WALKS, SEED), 1))
+    return as_text(W.as_walks(W.walk_start(layout, WALKS, SEED), layout, 1))
 
 
 @query
 def walk_step(spark, sf_dir):
     """O-26"""
-    layout = W.lay_out(_adj(spark, sf_dir, "customer_part"))
-    state = W.walk_start(layout, WALKS, SEED, 0.5)
-    return as_text(W.as_walks(W.walk_step(state, layout, 1, 2.0, 0.5, SEED), 2))
+    layout = W.lay_out(_written_adj(spark, sf_dir, "customer_part", DEGREE), biased=True)
+    state = W.walk_start(layout, WALKS, SEED)
+    return as_text(W.as_walks(W.walk_step(state, layout, 1, 2.0, 0.5, SEED), layout, 2))
 
 
 @query
@@ -328,6 +341,18 @@ def random_walk_pq_long(spark, sf_dir):
     return as_text(_walks(spark, sf_dir, "customer_part", 0.25, 4.0, LONG_STEPS, 1))
 
 
+@query
+def random_walk_alias(spark, sf_dir):
+    """O-34 at the default length, drawn by alias tables."""
+    return as_text(_walks(spark, sf_dir, "customer_part", steps=LONG_STEPS, walks=1, method="alias"))
+
+
+@query
+def random_walk_alias_tri(spark, sf_dir):
+    """O-34 on a graph with triangles, drawn by alias tables and rejection, through the stretches."""
+    return as_text(_walks(spark, sf_dir, "tripartite", 0.25, 0.5, 20, 1, method="alias"))
+
+
 @query
 def random_walk_tri(spark, sf_dir):
     """O-34 on a graph with triangles."""

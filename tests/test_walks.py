@@ -1,10 +1,14 @@
 """Walks: exact small cases, invariants, draw frequencies, plans."""
 
+import random
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from meander.functions import draw
-from meander.operators import adjacency as A, transition as T, walk as W
+from meander.operators import adjacency as A, alias, transition as T, walk as W
+from meander.operators.triangles import shared_places
 from meander.schemas import schema
 from tests.conftest import rows
 
@@ -50,6 +54,8 @@ def test_hubs_are_spread(spark, graph, scratch):
     chosen = W._choose_copy(state, 1).groupBy("to_copy").count().collect()
     assert len(chosen) == 8 and max(r["count"] for r in chosen) < 700
     assert W.find_hubs(star, 10).isEmpty()
+    layout = replace(layout, table=scratch.cut(layout.table))
+    state = W.walk_start(layout, 10, 3)
     plan = W._advance(state, layout, 1, 2, 1.0, 1.0, 3)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
 
@@ -158,10 +164,11 @@ def test_reach_and_pick_agree_with_a_plain_search(spark, weights):
     assert sum(r.k != x for r, x in zip(got, want)) <= 2  # sums and rests round differently
 
 
+@pytest.mark.parametrize("method", W.METHODS)
 @pytest.mark.parametrize("p, q", [(1.0, 1.0), (0.25, 1.0), (4.0, 1.0), (0.25, 4.0), (4.0, 0.25)])
-def test_draws_follow_the_transition_tables(graph, scratch, p, q):
+def test_draws_follow_the_transition_tables(graph, scratch, p, q, method):
     adj = graph([(0, 1, 2), (1, 2), (0, 2, 3), (2, 3), (3, 4, 2), (4, 0)])
-    walks = W.random_walk(adj, 1, 6000, p, q, seed=9, scratch=scratch).select("path").collect()
+    walks = W.random_walk(adj, 1, 6000, p, q, seed=9, scratch=scratch, method=method).select("path").collect()
     firsts, seconds = {}, {}
     for (path,) in walks:
         a, b, c = path
@@ -179,14 +186,97 @@ def test_draws_follow_the_transition_tables(graph, scratch, p, q):
 def test_one_shuffle_per_step_and_no_python(spark, graph, scratch, p, q, hubs):
     adj = scratch.cut(graph(RING))
     copies = spark.createDataFrame([(0, 3)], "id bigint, copies int") if hubs else None
-    layout = W.lay_out(adj, copies).persist()
+    layout = W.lay_out(adj, copies, biased=q != 1).persist()
     layout.table.count()
     def shuffles(steps):
-        state = W._advance(W.walk_start(layout, 2, 1, q), layout, 1, steps, p, q, 1)
+        state = W._advance(W.walk_start(layout, 2, 1), layout, 1, steps, p, q, 1)
         plan = state._jdf.queryExecution().executedPlan()
         text = plan.toString()
         assert "Python" not in text
+        # Nothing but numbers travels.
+        assert "string" not in [t for _, t in state.dtypes]
+        return exchanges(text)
+    def exchanges(text):
         return sum(line.strip(" :+-").startswith("Exchange") and "ENSURE_REQUIREMENTS" in line
                    for line in text.split("\n"))
-    assert shuffles(3) - shuffles(2) == 1
+    # Every step also shows the plan of the kept lists.
+    kept = exchanges(layout.table._jdf.queryExecution().executedPlan().toString())
+    assert shuffles(3) - shuffles(2) == 1 + kept
     layout.release()
+
+
+def plain_shared(adj):
+    lists = {r.id: [e.nbr for e in r.nbrs] for r in adj.collect()}
+    out = {}
+    for v, own in lists.items():
+        for at, c in enumerate(own):
+            places = [i for i, z in enumerate(lists.get(c, [])) if z in own]
+            if places:
+                out[v, at] = places
+    return out
+
+
+@pytest.mark.parametrize("degree, directed", [(50, False), (3, False), (4, True)])
+def test_shared_places(spark, graph, scratch, degree, directed):
+    rnd = random.Random(degree)
+    edges = [(rnd.randrange(40), rnd.randrange(40), rnd.randint(1, 5)) for _ in range(250)] + [(0, k) for k in range(40)]
+    adj = scratch.cut(graph(edges, degree, directed))
+    want = plain_shared(adj)
+    assert {(r.id, r["at"]): r.shared for r in shared_places(adj, scratch).collect()} == want and len(want) > 20
+    assert any(e[0] == e[1] for e in edges)
+    lists = {r.id: r.nbrs for r in adj.collect()}
+    for r in T.transition_lists(adj, 0.5, 4.0, scratch).collect():
+        near = {e.nbr for e in lists[r.prev]}
+        b = [e.weight / (0.5 if e.nbr == r.prev else 1 if e.nbr in near else 4) for e in lists[r.cur]]
+        assert [(e.nbr, e.prob) for e in r.next] == [(e.nbr, x / sum(b)) for e, x in zip(lists[r.cur], b)]
+
+
+def test_alias_tables_give_every_entry_its_weight(spark, graph, scratch):
+    rnd = random.Random(3)
+    adj = graph([(i, j, rnd.choice([0.1, 1, 2, 7, 500])) for i in range(30) for j in range(30) if rnd.random() < 0.4] + [(90, 91)])
+    weight = {(r.id, r.nbr): r.weight for r in A.adj_edges(adj).collect()}
+    got, total, nbr, count = {}, {}, {}, {}
+    tables = alias.alias_tables(adj).collect()
+    for r in tables:
+        nbr[r.id, r.place], total[r.id], count[r.id] = r.nbr, r.total, count.get(r.id, 0) + 1
+    for r in tables:
+        assert 0 < r.prob <= r.total
+        for to, w in ((r.nbr, r.prob), (nbr[r.id, r.other], r.total - r.prob)):
+            got[r.id, to] = got.get((r.id, to), 0) + w / count[r.id]
+    assert got == pytest.approx(weight)
+
+
+@pytest.mark.parametrize("p, q", [(1.0, 1.0), (0.25, 4.0), (2.0, 0.5)])
+def test_same_alias_walks_however_they_are_run(spark, graph, scratch, p, q):
+    adj = scratch.cut(graph(RING + TRIANGLE))
+    def run(**how):
+        return rows(W.random_walk(adj, 5, 2, p, q, seed=5, scratch=scratch, method="alias", **how))
+    want = run()
+    edge = adjacent(adj)
+    assert all(edge[a, b] == f for _, _, path, feats in want for a, b, f in zip(path, path[1:], feats))
+    assert run(checkpoint_every=2, num_partitions=3) == want
+    assert run(walks_per_task=2, checkpoint_every=4) == want
+
+
+def test_features_travel_as_text_where_they_are_many(graph, scratch):
+    adj = scratch.cut(graph(RING))
+    plain = W.lay_out(adj, scratch=scratch, feature_bytes=10)
+    coded = W.lay_out(adj, scratch=scratch)
+    assert plain.features is None and coded.features is not None
+    assert rows(W.random_walk(plain, 4, 2, scratch=scratch)) == rows(W.random_walk(coded, 4, 2, scratch=scratch))
+
+
+def test_a_long_list_is_drawn_in_proportion(spark, scratch):
+    n = 10_000
+    one = spark.range(n).select(F.lit(-1).cast("bigint").alias("id"), F.col("id").alias("nbr"),
+                                (1 + F.col("id") % 3).cast("double").alias("weight"), F.lit("f").alias("feat"))
+    adj = A.gather(one)
+    tables = scratch.cut(alias.alias_tables(adj))
+    copies = tables.crossJoin(spark.range(40).withColumnRenamed("id", "k")).withColumn("id", F.col("k"))
+    drawn = [r.nbr % 3 for r in alias.alias_draw(copies, 5).collect()]
+    assert len(drawn) == 40 and 0 <= drawn.count(0) < 20
+
+
+def test_unknown_method(graph):
+    with pytest.raises(ValueError, match="method"):
+        W.lay_out(graph(RING), method="none")
