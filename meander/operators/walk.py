@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from meander.functions import draw
 from meander.operators import alias
 from meander.operators.joins import attach
+from meander.operators.lists import Lists
 from meander.operators.triangles import shared_places
 from meander.schemas import expect
 from meander.scratch import Scratch
@@ -353,7 +354,7 @@ def as_walks(state: DataFrame, layout: Layout, hops: int, with_start: bool = Tru
     return state.select("walk_no", "start", *keep, path.alias("path"), feats.alias("feats"))
 
 
-def random_walk(adj: DataFrame | Layout, walk_length: int = 80, num_walks: int = 10,
+def random_walk(adj: DataFrame | Lists | Layout, walk_length: int = 80, num_walks: int = 10,
                 p: float = 1.0, q: float = 1.0, seed: int = 42, directed: bool = False,
                 starts: DataFrame | None = None, checkpoint_every: int = 8,
                 num_partitions: int | None = None, scratch: Scratch | None = None,
@@ -368,9 +369,13 @@ def random_walk(adj: DataFrame | Layout, walk_length: int = 80, num_walks: int =
     layout = adj
     if not isinstance(adj, Layout):
         scratch = scratch or Scratch(adj.sparkSession)
-        adj = scratch.cut(expect(adj, "adj"), "adj")
+        placed = isinstance(adj, Lists)
+        if placed:
+            adj, num_partitions = adj.table, adj.buckets
+        else:
+            adj = scratch.cut(expect(adj, "adj"), "adj")
         hubs = scratch.cut(find_hubs(adj, num_walks, walks_per_task, starts), "hubs")
-        layout = lay_out(adj, hubs, directed, num_partitions, scratch, method, q != 1)
+        layout = lay_out(adj, hubs, directed, num_partitions, scratch, method, q != 1, placed)
     if walk_length <= checkpoint_every:
         state = _advance(walk_start(layout, num_walks, seed, starts, walk_length + 1),
                          layout, 1, walk_length, p, q, seed)
@@ -450,8 +455,9 @@ def feature_walk(walks: DataFrame) -> DataFrame:
     return expect(walks, "walks").select("walk_no", "start", "feats")
 
 
-def hop_tag(walks: DataFrame, adj: DataFrame) -> DataFrame:
+def hop_tag(walks: DataFrame, adj: DataFrame | Lists) -> DataFrame:
     """Each hop after the start, tagged 0 back at the start, 1 at a neighbour of it, 2 elsewhere."""
+    adj = adj.table if isinstance(adj, Lists) else adj
     near = expect(adj, "adj").select(F.col("id").alias("start"), F.col("nbrs.nbr").alias("near"))
     hops = (expect(walks, "walks").join(near, "start")
             .select("walk_no", "start", "near",

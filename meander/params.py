@@ -18,6 +18,7 @@ class Params:
     feat_walk_path: str | None = None
     node_path: str | None = None
     node2id_path: str | None = None
+    lists_path: str | None = None
 
     walk_length: int = 80
     num_walks: int = 10
@@ -27,12 +28,15 @@ class Params:
     directed: bool = False
     weighted: bool = True
     indexed: bool = False
+    method: str = "alias"
+    half_indexed: bool = False
+    vectors: str = "ids"
 
     dim: int = 128
     window: int = 10
     lr: float = 0.025
     iterations: int = 10
-    train_partitions: int = 10
+    train_partitions: int | None = None
     min_count: int = 0
 
     seed: int = 42
@@ -41,8 +45,7 @@ class Params:
     sep: str = SEPARATOR
 
     def __post_init__(self):
-        for name in ("num_walks", "degree", "dim", "window", "iterations",
-                     "train_partitions", "checkpoint_every"):
+        for name in ("num_walks", "degree", "dim", "window", "iterations", "checkpoint_every"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1, got {getattr(self, name)}")
         for name in ("p", "q", "lr"):
@@ -51,8 +54,12 @@ class Params:
         for name in ("walk_length", "min_count"):
             if getattr(self, name) < 0:
                 raise ValueError(f"{name} must not be negative, got {getattr(self, name)}")
-        if self.num_partitions is not None and self.num_partitions < 1:
-            raise ValueError("num_partitions must be at least 1")
+        for name in ("num_partitions", "train_partitions"):
+            if getattr(self, name) is not None and getattr(self, name) < 1:
+                raise ValueError(f"{name} must be at least 1")
+        for name, known in (("method", ("sums", "alias")), ("vectors", ("ids", "features"))):
+            if getattr(self, name) not in known:
+                raise ValueError(f"{name} must be one of {', '.join(known)}, got {getattr(self, name)!r}")
         if not self.sep or any(ch.isspace() for ch in self.sep):
             raise ValueError("sep must be a non-empty string without whitespace")
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from meander.functions import text as X
 from meander.operators import adjacency as A, embedding as E, index as I, naming as N
 from meander.operators import padding as P, walk as W
+from meander.operators.joins import attach
+from meander.operators.lists import save_lists
 from meander.params import Params
 from meander.scratch import Scratch
 from meander.sources import readers as R, writers as Wr
@@ -31,7 +33,8 @@ def random_walks(spark: SparkSession, params: Params) -> None:
 
     Writes ``<output>``, ``<feat_walk_path>``, ``<feat_walk_path>2``, and beside
     them the node index (``.node2id``) and the features of sources
-    (``.node2feat``).
+    (``.node2feat``); with ``half_indexed`` the edges with the source's id
+    (``.j2``), with ``lists_path`` the neighbour lists, for other walks.
     """
     params.require("input", "output", "feat_walk_path")
     with Scratch(spark) as scratch:
@@ -61,14 +64,22 @@ def embedding(spark: SparkSession, params: Params) -> None:
 
 
 def full(spark: SparkSession, params: Params) -> None:
-    """Walk a padded graph, write the walks, and fit and write the vectors of its vertices."""
+    """Walk a padded graph, write the walks, and fit and write vectors.
+
+    Those of its vertices, beside their names, or with ``vectors="features"`` those
+    of the features met, beside each source vertex that carries one.
+    """
     params.require("input", "output", "feat_walk_path")
     with Scratch(spark) as scratch:
-        walks, node2id = _walk_and_write(spark, params, scratch)
-        model = E.fit_vectors(E.id_corpus(walks), params)
+        walks, node2id, node2feat = _walk_and_write(spark, params, scratch)
+        of_features = params.vectors == "features"
+        model = E.fit_vectors(scratch.cut((E.feat_corpus if of_features else E.id_corpus)(walks), "corpus"), params)
         Wr.save_model(model, params.output + ".bin")
-        named = N.node_vectors(E.vectors(model), node2id)
-        Wr.write_text(Wr.node_vector_lines(named), params.output + ".emb", params.num_partitions)
+        if of_features:
+            lines = Wr.feat_vector_lines(N.feat_vectors(E.vectors(model), node2feat))
+        else:
+            lines = Wr.node_vector_lines(N.node_vectors(E.vectors(model), node2id))
+        Wr.write_text(lines, params.output + ".emb", params.num_partitions)
 
 
 COMMANDS = {"padding": padding, "randomwalk": random_walks, "embedding": embedding, "full": full}
@@ -81,7 +92,10 @@ def run(spark: SparkSession, command: str, params: Params) -> None:
 
 
 def _load_graph(spark: SparkSession, params: Params, scratch: Scratch):
-    """Indexed edges, the node index and the features of sources, from padded or indexed text."""
+    """Indexed edges, the node index and the features of sources, from padded or indexed text.
+
+    Also writes the half-indexed edges, if asked for.
+    """
     if params.indexed:
         edges = scratch.cut(R.read_indexed(spark, params.input, params.sep), "edges")
         ids = edges.select(F.explode(F.array("src_id", "dst_id")).alias("id")).distinct()
@@ -93,6 +107,9 @@ def _load_graph(spark: SparkSession, params: Params, scratch: Scratch):
         names = node2id.withColumnRenamed("id", "src_id")
         sources = edges.select("src_id", F.col("src_feat").alias("feat")).distinct()
         node2feat = sources.join(names, "src_id").select("node", "feat")
+        if params.half_indexed:
+            targets = node2id.select(F.col("node").alias("dst"), F.col("id").alias("dst_id"))
+            _write_half_indexed(attach(edges, targets, "dst_id"), params)
         return edges, node2id, scratch.cut(node2feat, "node2feat")
     # Repeated lines collapse here, before any of them is joined.
     padded = scratch.cut(
@@ -100,21 +117,29 @@ def _load_graph(spark: SparkSession, params: Params, scratch: Scratch):
          .groupBy("src", "src_feat", "dst", "dst_feat").agg(F.max("weight").alias("weight")),
         "padded")
     node2id = scratch.cut(I.node_index(padded, scratch), "node2id")
+    if params.half_indexed:
+        _write_half_indexed(I.half_indexed(padded, node2id), params)
     edges = scratch.cut(I.index_edges(padded, node2id), "edges")
     return edges, node2id, scratch.cut(P.node2feat(padded), "node2feat")
 
 
+def _write_half_indexed(half: DataFrame, params: Params) -> None:
+    Wr.write_text(Wr.half_indexed_lines(half, params.sep), params.feat_walk_path + ".j2", params.num_partitions)
+
+
 def _walk_and_write(spark: SparkSession, params: Params,
-                    scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+                    scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Walk, name the walks before they are written once, and fill the sinks without moving them again."""
     edges, node2id, node2feat = _load_graph(spark, params, scratch)
     Wr.write_node2id(node2id, params.feat_walk_path + ".node2id")
     Wr.write_text(Wr.node2feat_lines(node2feat, params.sep), params.feat_walk_path + ".node2feat",
                   params.num_partitions)
     adj = A.adjacency(edges, params.degree, params.directed, params.weighted)
+    if params.lists_path:
+        adj = save_lists(adj, params.lists_path, params.num_partitions)
     walks = W.random_walk(adj, params.walk_length, params.num_walks, params.p, params.q,
                           params.seed, params.directed, checkpoint_every=params.checkpoint_every,
-                          num_partitions=params.num_partitions, scratch=scratch)
+                          num_partitions=params.num_partitions, scratch=scratch, method=params.method)
     # Both joins are by the start, as the walks are partitioned.
     feats = node2feat.groupBy("node").agg(F.collect_set("feat").alias("start_feats"))
     names = scratch.cut(node2id.join(feats, "node", "left")
@@ -127,4 +152,4 @@ def _walk_and_write(spark: SparkSession, params: Params,
             (Wr.feat_walk_lines(named, params.sep), params.feat_walk_path),
             (Wr.feat_walk2_lines(with_feat, params.sep), params.feat_walk_path + "2")):
         Wr.write_text(lines, path, params.num_partitions)
-    return walks, node2id
+    return walks, node2id, node2feat

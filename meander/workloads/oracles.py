@@ -227,9 +227,19 @@ def _line_counts() -> str:
 _NAMED = "FROM walk JOIN node2id ON id = start"
 _NODE2FEAT = "(SELECT DISTINCT src AS fnode, src_feat AS feat FROM padded)"
 _CP_WALK = adj("customer_part") + walk()
-_FILE_WALK = adj("customer_part", weighted=False) + walk()
+_FILE_ADJ = adj("customer_part", weighted=False)
+_FILE_WALK = _FILE_ADJ + alias_walk()
 _UK_WALK = adj("user_key") + walk()
 _UK_PQ_WALK = adj("user_key") + walk(0.5, 2.0)
+
+
+def _files(name: str, node: str, node2feat: str) -> str:
+    """The lines of the three walk files, vertices called ``name``."""
+    return f"""SELECT 'ids' AS sink, {name}||{SEP}||start||{SEP}||path_text AS value {_NAMED}
+        UNION ALL SELECT 'feats', {name}||{SEP}||start||{SEP}||feats_text {_NAMED}
+        UNION ALL SELECT 'feats2', {name}||{SEP}||feat||{SEP}||feats_text {_NAMED} JOIN {node2feat} f ON fnode = {node}"""
+
+
 _FEATS_MET = "(SELECT DISTINCT unnest(string_split(feats_text, ' ')) AS word FROM walk)"
 
 ORACLES: dict[str, str] = {
@@ -329,19 +339,22 @@ ORACLES: dict[str, str] = {
     "id_corpus": sql(_CP_WALK, """SELECT token, count(*) AS n FROM (
         SELECT unnest(string_split(path_text, ' ')) AS token FROM walk) GROUP BY token"""),
     "feat_corpus": sql(_UK_PQ_WALK, "SELECT feats_text AS tokens_text FROM walk"),
-    "embed_vocab": sql(_CP_WALK, f"SELECT word, 8 AS dim FROM {_FEATS_MET}"),
-    "model_reload": sql(_UK_WALK, f"SELECT word, 8 AS dim FROM {_FEATS_MET}"),
-    "node_vectors": sql(indexed("user_key"), "SELECT node, id, 8 AS dim FROM node2id"),
-    "feat_vectors": sql(_UK_WALK, f"""SELECT node, feat, 8 AS dim FROM (
+    "embed_vocab": sql(_CP_WALK, f"SELECT word, 128 AS dim, TRUE AS sound FROM {_FEATS_MET}"),
+    "model_reload": sql(_UK_WALK, f"SELECT word, 128 AS dim, TRUE AS sound FROM {_FEATS_MET}"),
+    "node_vectors": sql(indexed("user_key"), "SELECT node, id, 128 AS dim, TRUE AS sound FROM node2id"),
+    "feat_vectors": sql(_UK_WALK, f"""SELECT node, feat, 128 AS dim, TRUE AS sound FROM (
         SELECT src AS node, src_feat AS feat FROM padded
         UNION SELECT dst, dst_feat FROM padded) JOIN {_FEATS_MET} ON word = feat"""),
     "run_padding": sql(padded("customer_part", False), f"""SELECT src||{SEP}||src_feat||' '||
         dst||{SEP}||dst_feat AS value FROM padded"""),
-    "run_random_walk": sql(_FILE_WALK, f"""SELECT 'ids' AS sink, node||{SEP}||start||{SEP}||path_text AS value {_NAMED}
-        UNION ALL SELECT 'feats', node||{SEP}||start||{SEP}||feats_text {_NAMED}
-        UNION ALL SELECT 'feats2', node||{SEP}||feat||{SEP}||feats_text {_NAMED}
-        JOIN {_NODE2FEAT} f ON fnode = node"""),
-    "run_embedding": sql(_FILE_WALK, f"""SELECT fnode AS node, feat, 8 AS dim
+    "run_random_walk": sql(_FILE_ADJ + alias_walk(steps=LONG_STEPS), _files("node", "node", _NODE2FEAT)),
+    "run_indexed": sql(_FILE_WALK, _files("CASE WHEN start % 2 = 0 THEN node ELSE start::VARCHAR END", "node", _NODE2FEAT)),
+    "run_half_indexed": sql(indexed("customer_part", weighted=False), f"""SELECT dst||' '||{SEP}||' '||id||' '||
+        src_feat||' '||dst_feat AS value FROM padded JOIN node2id ON node = src"""),
+    "walks_from_lists": sql(_CP_WALK, _WALK),
+    "run_full_features": sql(_FILE_WALK, f"""SELECT fnode AS node, feat, 128 AS dim, TRUE AS sound
+        FROM {_NODE2FEAT} JOIN {_FEATS_MET} ON word = feat"""),
+    "run_embedding": sql(_FILE_WALK, f"""SELECT fnode AS node, feat, 128 AS dim, TRUE AS sound
         FROM {_NODE2FEAT} JOIN {_FEATS_MET} ON word = feat"""),
-    "run_full": sql(indexed("customer_part"), "SELECT node, 8 AS dim FROM node2id"),
+    "run_full": sql(indexed("customer_part"), "SELECT node, 128 AS dim, TRUE AS sound FROM node2id"),
 }

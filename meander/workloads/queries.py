@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from meander.functions import text as X
 from meander.operators import adjacency as A, alias, embedding as E, index as I, naming as N
 from meander.operators import padding as P, transition as T, walk as W
+from meander.operators.lists import open_lists, save_lists
 from meander.params import Params, SEPARATOR
 from meander.plans import commands as C
 from meander.scratch import Scratch
@@ -459,7 +460,13 @@ def node2id_text(spark, sf_dir):
 
 # Vectors.
 
-TRAIN = Params(dim=8, iterations=1, train_partitions=2, window=3, seed=SEED)
+TRAIN = Params(seed=SEED)
+
+
+def sound(vector: Column) -> Column:
+    """Whether a vector is finite and not all zero."""
+    finite = F.forall(vector, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return finite & F.exists(vector, lambda x: x != 0)
 
 
 @query
@@ -482,7 +489,7 @@ def embed_vocab(spark, sf_dir):
     """O-38, O-39: every feature met gets a vector of the given size."""
     corpus = E.feat_corpus(_walks(spark, sf_dir, "customer_part"))
     rows = E.vectors(E.fit_vectors(corpus, TRAIN))
-    return rows.select("word", F.size("vector").alias("dim"))
+    return rows.select("word", F.size("vector").alias("dim"), sound(F.col("vector")).alias("sound"))
 
 
 @query
@@ -492,7 +499,7 @@ def node_vectors(spark, sf_dir):
     g = G.indexed(spark, sf_dir, "user_key", scratch)
     walks = W.random_walk(g.adjacency(DEGREE), STEPS, WALKS, seed=SEED, scratch=scratch)
     rows = N.node_vectors(E.vectors(E.fit_vectors(E.id_corpus(walks), TRAIN)), g.node2id)
-    return rows.select("node", "id", F.size("vector").alias("dim"))
+    return rows.select("node", "id", F.size("vector").alias("dim"), sound(F.col("vector")).alias("sound"))
 
 
 @query
@@ -503,7 +510,7 @@ def feat_vectors(spark, sf_dir):
     walks = W.random_walk(g.adjacency(DEGREE), STEPS, WALKS, seed=SEED, scratch=scratch)
     model = E.fit_vectors(E.feat_corpus(walks), TRAIN)
     rows = N.feat_vectors(E.vectors(model), P.node2feat(g.padded, "both"))
-    return rows.select("node", "feat", F.size("vector").alias("dim"))
+    return rows.select("node", "feat", F.size("vector").alias("dim"), sound(F.col("vector")).alias("sound"))
 
 
 @query
@@ -514,7 +521,7 @@ def model_reload(spark, sf_dir):
     path = scratch.path("model")
     Wr.save_model(E.fit_vectors(corpus, TRAIN), path)
     rows = E.vectors(R.load_model(path))
-    return rows.select("word", F.size("vector").alias("dim"))
+    return rows.select("word", F.size("vector").alias("dim"), sound(F.col("vector")).alias("sound"))
 
 
 # Whole runs, from text files to text files.
@@ -528,9 +535,7 @@ def _run_inputs(spark, sf_dir, scratch):
         feat_path1=scratch.text(two(graph.feat1, "node", "feat"), "feat1"),
         feat_path2=scratch.text(two(graph.feat2, "node", "feat"), "feat2"),
         output=scratch.path("out"), feat_walk_path=scratch.path("feats"),
-        walk_length=STEPS, num_walks=WALKS, degree=DEGREE, seed=SEED,
-        dim=TRAIN.dim, iterations=TRAIN.iterations, train_partitions=TRAIN.train_partitions,
-        window=TRAIN.window)
+        walk_length=STEPS, num_walks=WALKS, degree=DEGREE, seed=SEED)
 
 
 @query
@@ -544,11 +549,15 @@ def run_padding(spark, sf_dir):
 
 @query
 def run_random_walk(spark, sf_dir):
-    """O-50 on the output of O-49: the three walk files as written."""
+    """O-50 on the output of O-49, at the default length: the three walk files as written."""
     scratch = Scratch(spark)
-    params = _run_inputs(spark, sf_dir, scratch)
+    params = _run_inputs(spark, sf_dir, scratch).but(walk_length=LONG_STEPS)
     C.padding(spark, params)
     C.random_walks(spark, params.but(input=params.output + ".padd"))
+    return _walk_files(spark, params)
+
+
+def _walk_files(spark, params):
     ids, feats, feats2 = (spark.read.text(path).select(F.lit(sink).alias("sink"), "value") for sink, path in (
         ("ids", params.output), ("feats", params.feat_walk_path), ("feats2", params.feat_walk_path + "2")))
     return ids.unionByName(feats).unionByName(feats2)
@@ -575,12 +584,59 @@ def run_full(spark, sf_dir):
     out = scratch.path("all")
     C.full(spark, params.but(input=params.output + ".padd", output=out))
     lines = spark.read.text(out + ".emb")
-    return lines.select(F.split_part("value", F.lit("\t"), F.lit(1)).alias("node"),
-                        F.size(F.split(F.split_part("value", F.lit("\t"), F.lit(2)), ",")).alias("dim"))
+    return lines.select(F.split_part("value", F.lit("\t"), F.lit(1)).alias("node"), *_numbers(2))
+
+
+@query
+def run_full_features(spark, sf_dir):
+    """O-52 with vectors of features: each source vertex with its feature's vector."""
+    scratch = Scratch(spark)
+    params = _run_inputs(spark, sf_dir, scratch)
+    C.padding(spark, params)
+    C.full(spark, params.but(input=params.output + ".padd", output=scratch.path("vectors"), vectors="features"))
+    return _vector_keys(spark, scratch.root)
+
+
+@query
+def run_half_indexed(spark, sf_dir):
+    """O-42 as the walk command writes it."""
+    scratch = Scratch(spark)
+    params = _run_inputs(spark, sf_dir, scratch)
+    C.padding(spark, params)
+    C.random_walks(spark, params.but(input=params.output + ".padd", walk_length=0, num_walks=1, half_indexed=True))
+    return spark.read.text(params.feat_walk_path + ".j2")
+
+
+@query
+def run_indexed(spark, sf_dir):
+    """O-08, O-50 on edges by id, with an index that names the even ids only; other vertices go by their id."""
+    scratch = Scratch(spark)
+    graph = G.indexed(spark, sf_dir, "customer_part", scratch, weighted=False)
+    end = lambda v, f: F.concat_ws(SEPARATOR, F.col(v).cast("string"), f)
+    lines = graph.edges.select(F.concat_ws(" ", end("src_id", "src_feat"), end("dst_id", "dst_feat")).alias("value"))
+    names = scratch.path("names")
+    Wr.write_node2id(graph.node2id.where("id % 2 = 0"), names)
+    params = _run_inputs(spark, sf_dir, scratch).but(input=scratch.text(lines, "indexed"), indexed=True, node_path=names)
+    C.random_walks(spark, params)
+    return _walk_files(spark, params)
+
+
+@query
+def walks_from_lists(spark, sf_dir):
+    """O-25, O-34 on neighbour lists saved as a bucketed table and opened again."""
+    scratch = Scratch(spark)
+    path = scratch.path("lists")
+    save_lists(_adj(spark, sf_dir, "customer_part", scratch=scratch), path)
+    return as_text(W.random_walk(open_lists(spark, path), STEPS, WALKS, seed=SEED, scratch=scratch))
+
+
+def _numbers(part: int) -> list[Column]:
+    vector = F.split(F.split_part("value", F.lit("\t"), F.lit(part)), ",").cast("array<float>")
+    return [F.size(vector).alias("dim"), sound(vector).alias("sound")]
 
 
 def _vector_keys(spark, root):
     lines = spark.read.text(root + "/*-vectors.emb")
     return lines.select(F.split_part("value", F.lit("\t"), F.lit(1)).alias("node"),
                         F.split_part("value", F.lit("\t"), F.lit(2)).alias("feat"),
-                        F.size(F.split(F.split_part("value", F.lit("\t"), F.lit(3)), ",")).alias("dim"))
+                        *_numbers(3))
