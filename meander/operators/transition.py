@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from meander.functions import draw
 from meander.operators.joins import attach
@@ -18,11 +18,12 @@ def transition1(adj: DataFrame) -> DataFrame:
     return shares.select("id", "nbr", (F.col("weight") / F.col("total")).alias("prob"))
 
 
-def transition_lists(adj: DataFrame, p: float = 1.0, q: float = 1.0, scratch: Scratch | None = None) -> DataFrame:
-    """Second order, one row per (prev, cur): ``next``, the neighbours of ``cur`` with their ``prob``.
+def _met_lists(adj: DataFrame, p: float, q: float, scratch: Scratch | None) -> DataFrame:
+    """(prev, cur, nbrs, shared, back, total): the list of ``cur`` at every edge that leads there, and what its biased weights add up to.
 
     Which neighbours of ``cur`` those of ``prev`` are comes from the triangles of the
     graph; only places in lists are joined to the edges, and then the list of ``cur``.
+    The total follows from that of the plain weights and the few that aren't divided by q.
     """
     adj = expect(adj, "adj")
     steps = adj.select(F.col("id").alias("prev"), F.posexplode("nbrs.nbr").alias("at", "cur"))
@@ -31,15 +32,31 @@ def transition_lists(adj: DataFrame, p: float = 1.0, q: float = 1.0, scratch: Sc
         steps = steps.join(near, ["prev", "at"], "left")
     else:
         steps = steps.withColumn("shared", F.lit(None).cast("array<int>"))
-    lists = adj.select(F.col("id").alias("cur"), F.col("nbrs.nbr").alias("nbr"), F.col("nbrs.weight").alias("weight"))
+    lists = adj.select(F.col("id").alias("cur"), "nbrs", draw.total(F.col("nbrs.weight")).alias("plain"))
     met = attach(steps.drop("at"), lists, "cur")
-    back = F.coalesce(F.array_position("nbr", F.col("prev")), F.lit(0))
-    biased = met.select("prev", "cur", "nbr", draw.biased(F.col("weight"), back, F.col("shared"), p, q).alias("b"))
-    biased = biased.withColumn("total", draw.total(F.col("b")))
-    return biased.select("prev", "cur", F.arrays_zip(
-        "nbr", F.transform("b", lambda b: b / F.col("total")).alias("prob")).cast("array<struct<nbr:bigint,prob:double>>").alias("next"))
+    met = met.withColumn("back", (F.coalesce(F.array_position("nbrs.nbr", F.col("prev")), F.lit(0)) - 1).cast("int"))
+    weight = lambda i: F.get("nbrs.weight", i)
+    near = F.aggregate(F.coalesce("shared", F.array().cast("array<int>")), F.lit(0.0),
+                       lambda acc, i: acc + F.when(i == F.col("back"), F.lit(0.0)).otherwise(weight(i)))
+    total = (F.col("plain") / F.lit(q) + near * F.lit(1 - 1 / q)
+             + F.coalesce(weight(F.col("back")), F.lit(0.0)) * F.lit(1 / p - 1 / q))
+    return met.select("prev", "cur", "nbrs", "shared", "back", total.alias("total"))
+
+
+def _share(weight: Column, at: Column, p: float, q: float) -> Column:
+    """The probability of the entry at place ``at``, from 0."""
+    shared = F.coalesce(F.array_contains("shared", at), F.lit(False))
+    biased = F.when(at == F.col("back"), weight / F.lit(p)).when(shared, weight).otherwise(weight / F.lit(q))
+    return biased / F.col("total")
 
 
 def transition2(adj: DataFrame, p: float = 1.0, q: float = 1.0, scratch: Scratch | None = None) -> DataFrame:
-    """Second order: over (prev, cur, nbr), with the bias of a walk that came from ``prev``."""
-    return transition_lists(adj, p, q, scratch).select("prev", "cur", F.inline("next"))
+    """Second order: over (prev, cur, nbr), with the bias of a walk that came from ``prev``; in generated code."""
+    rows = _met_lists(adj, p, q, scratch).select("prev", "cur", "shared", "back", "total", F.posexplode("nbrs").alias("at", "e"))
+    return rows.select("prev", "cur", "e.nbr", _share(F.col("e.weight"), F.col("at"), p, q).alias("prob"))
+
+
+def transition_lists(adj: DataFrame, p: float = 1.0, q: float = 1.0, scratch: Scratch | None = None) -> DataFrame:
+    """Second order, one row per (prev, cur): ``next``, the neighbours of ``cur`` with their ``prob``."""
+    return _met_lists(adj, p, q, scratch).select("prev", "cur", F.transform("nbrs", lambda e, i: F.struct(
+        e["nbr"].alias("nbr"), _share(e["weight"], i, p, q).alias("prob"))).alias("next"))
