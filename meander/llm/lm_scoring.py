@@ -56,6 +56,21 @@ def _values(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """In as few bytes as the largest count needs."""
+    most = int(counts.max(initial=0))
+    return counts.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.int64)
+
+
+def _sized(counts: np.ndarray) -> bytes:
+    """Counts with the size of each before them."""
+    return bytes([counts.itemsize]) + _planes(counts)
+
+
+def _unsized(data: bytes) -> np.ndarray:
+    return _values(data[1:], {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[data[0]])
+
+
 def _steps(ascending: np.ndarray) -> bytes:
     return _planes(np.diff(ascending, prepend=np.uint64(0)))
 
@@ -110,7 +125,7 @@ class _Slice:
 
     def own_counts(self) -> list[np.ndarray]:
         """By the names of _COUNTS: of bigrams, words, and words that end a text, in all and in the target."""
-        count = lambda x, n: np.bincount(x, minlength=n)
+        count = lambda x, n: _narrow(np.bincount(x, minlength=n))
         at, last = self.wanted == 1, self.last
         p, w = len(self.pairs), len(self.names)
         return [count(self.pair, p), count(self.pair[at], p), count(self.tokens, w), count(self.tokens[at], w),
@@ -125,11 +140,11 @@ def _send(buckets: int, counts: bool, asks: bool):
                 own = _Slice(row)
                 p, w = _cuts(own.pairs, buckets), _cuts(own.names, buckets)
                 some = np.flatnonzero((np.diff(p) > 0) | (np.diff(w) > 0))
-                values = [(x if counts else np.zeros_like(x)).astype(np.int32) for x in own.own_counts()]
+                values = [x if counts else np.zeros(len(x), np.uint8) for x in own.own_counts()]
                 cut = lambda x, at, f: pa.array([f(x[at[k]:at[k + 1]]) for k in some], pa.binary())
                 yield pa.record_batch([pa.array(some, pa.int64()), pa.array(np.full(len(some), row["slice"] if asks else -1), pa.int64()),
                                        cut(own.pairs, p, _steps), cut(own.names, w, _steps),
-                                       *[cut(x, p if k < 2 else w, _planes) for k, x in enumerate(values)]],
+                                       *[cut(x, p if k < 2 else w, _sized) for k, x in enumerate(values)]],
                                       ["bucket", "slice", "pairs", "words", *_COUNTS])
     return run
 
@@ -139,12 +154,20 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     asks = (pdf["slice"] >= 0).to_numpy()
     out = {"slice": pdf["slice"][asks], "bucket": pdf["bucket"][asks]}
     for keys, columns in (("pairs", _COUNTS[:2]), ("words", _COUNTS[2:])):
-        parts = [_ascending(b) for b in pdf[keys]]
-        names, back = np.unique(np.concatenate(parts), return_inverse=True)
-        at = np.cumsum([len(x) for x in parts])[:-1]
+        size = [len(b) // 8 for b in pdf[keys]]
+        at = np.r_[0, np.cumsum(size)].tolist()
+        names = np.empty(at[-1], np.uint64)
+        for b, lo, hi in zip(pdf[keys], at, at[1:]):
+            names[lo:hi] = _ascending(b)
+        names, back = np.unique(names, return_inverse=True)
+        n, back = len(names), back.astype(np.int32)
+        del names
         for c in columns:
-            total = np.bincount(back, np.concatenate([_values(b, np.int32) for b in pdf[c]]), len(names)).astype(np.int64)
-            out[c] = [_planes(x) for x, a in zip(np.split(total[back], at), asks) if a]
+            total = np.zeros(n, np.int64)
+            for b, lo, hi in zip(pdf[c], at, at[1:]):
+                total[back[lo:hi]] += _unsized(b)  # no hash twice in one slice
+            total = _narrow(total)
+            out[c] = [_sized(total[back[lo:hi]]) for lo, hi, a in zip(at, at[1:], asks) if a]
     return pd.DataFrame(out)
 
 
@@ -185,10 +208,10 @@ class Models:
 def _losses(own: _Slice, answers: pd.DataFrame, vocabulary: int, words: tuple[int, int], texts: tuple[int, int]):
     """Each model's loss of each word, in nats, one model after the other."""
     answers = answers.sort_values("bucket")
-    found = lambda c: np.concatenate([_values(b, np.int64) for b in answers[c]] or [np.zeros(0, np.int64)])
+    found = lambda c: np.concatenate([_unsized(b) for b in answers[c]] or [np.zeros(0, np.uint8)])
     before = np.r_[0, own.tokens[:-1]][:len(own.tokens)]
     for model, name in enumerate("tn"):
-        count, pair = found(f"word_{name}"), found(f"pair_{name}")[own.pair]
+        count, pair = found(f"word_{name}").astype(np.int64), found(f"pair_{name}")[own.pair]
         share = (count + EVEN) / (words[model] + EVEN * (vocabulary + 1))
         context = (count - found(f"end_{name}"))[before]
         context[own.start] = texts[model]
