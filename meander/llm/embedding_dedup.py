@@ -167,8 +167,7 @@ def vector_components(vectors: DataFrame, scratch: Scratch, threshold: float = T
     roots = components(links, "a", "b", scratch)
     # A zero or non-finite vector's class isn't linked even with its equals.
     fit = scratch.cut(classes.select("label", "embedding", "rep", "members")
-                      .withColumn("norm", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x.cast("double"))))
-                      .where("norm > 0 and norm < double('infinity') and not isnan(norm)")
+                      .where(F.expr("forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"))
                       .join(degree, F.col("rep") == F.col("a"), "left").join(roots, F.col("rep") == F.col("node"), "left")
                       .select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("members") - 1).alias("n_links"),
                               F.coalesce("root", "rep").alias("root"))

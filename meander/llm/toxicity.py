@@ -16,7 +16,8 @@ Cases: a text that holds no word that speaks for toxicity, so also one that is
 null or without words, has severity 0.  Without labelled
 documents of both kinds the severity of every text is 0.  Labels that are null
 are not used; of several labels of a document the larger one counts, and of
-several texts each is an example.  An empty table gives an empty one.
+several texts each is an example.  Of ``docs`` the fit reads the id and the text
+only; columns called as the results are replaced.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -121,8 +122,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, grades:
     one = (labels.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("__id"))
            .agg(F.max((F.col(toxic) > 0).cast("int")).alias("toxic")).where("toxic is not null"))
     some = [one.where(F.col("toxic") == k).orderBy(F.xxhash64("__id"), "__id").limit(per_label) for k in (0, 1)]
-    sample = docs.join(F.broadcast(some[0].unionByName(some[1])), F.col(doc_id).cast("long") == F.col("__id"))
-    found = sample.select(F.col(text).alias("text"), "toxic").mapInArrow(_features, "toxic int, words binary").collect()
+    texts = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("text"))
+    sample = texts.join(F.broadcast(some[0].unionByName(some[1])), "__id")
+    found = sample.select("text", "toxic").mapInArrow(_features, "toxic int, words binary").collect()
     y = np.array([r["toxic"] for r in found], np.int64)
     if not len(y) or y.min() == y.max():
         return None
@@ -148,8 +150,9 @@ def severity(model: OrdinalModel | None, words: Words) -> tuple[np.ndarray, np.n
 
 
 def score(docs: DataFrame, model: OrdinalModel | None, text: str = "text") -> DataFrame:
-    """``docs`` with severity, grade (most likely thresholds passed) and toxic added, whose names must be free."""
-    keep = [c for c in docs.columns]
+    """``docs`` with severity, grade (most likely thresholds passed) and toxic added, in place of columns so called."""
+    docs = docs.drop("severity", "grade", "toxic")
+    keep = docs.columns
     at = keep.index(text)
 
     def run(batches):

@@ -278,6 +278,14 @@ def test_licenses(spark, docs, scratch):
     assert license_scan.license_matches(docs).count() == 0
 
 
+def test_vectors_of_large_numbers(spark, scratch):
+    rows = [(1, [1.5e308, 1e307, 1.5e308], 1), (2, [1.5e308, 1.1e307, 1.5e308], 1), (3, [1.5e308, float("inf"), 0.0], 1),
+            (4, [1.5e308, None, 1.0], 1), (5, [0.0, 0.0, 0.0], 1), (6, [3e-320, 0.0, 0.0], 1), (7, [1.0, 0.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.vector_components(df, scratch).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5), 6: (1, 6), 7: (1, 6)}
+
+
 def test_toxicity(spark):
     rnd = random.Random(2)
     rows, labels = [], []
@@ -296,6 +304,16 @@ def test_toxicity(spark):
     held = labels[400:]
     assert sum(got[i].toxic == bool(t) for i, _, t in held) >= 0.98 * len(held)
     assert not got[700].toxic and not got[701].toxic
+    # Columns called as the labels and the results, repeated rows, and no documents.
+    clash = docs.selectExpr("text", "doc_id", "'x' AS toxic", "'y' AS severity", "1 AS quality", "2 AS n", "3 AS grade")
+    again = toxicity.fit(clash, spark.createDataFrame(fitted, "doc_id long, quality int, toxic int"))
+    assert (again.words == model.words).all() and np.allclose(again.weights, model.weights)
+    scored = toxicity.score(clash.union(clash), model)
+    assert scored.columns == ["text", "doc_id", "quality", "n", "severity", "grade", "toxic"] and scored.count() == 2 * len(got)
+    assert {(r.doc_id, r.toxic) for r in scored.collect()} == {(i, r.toxic) for i, r in got.items()}
+    kept = toxicity.drop_toxic(clash, model)
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.toxic}
+    assert toxicity.drop_toxic(clash.limit(0), model).count() == toxicity.score(clash.limit(0), model).count() == 0
     none = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert none is None and {r.severity for r in toxicity.score(docs, none).collect()} == {0.0}
 
