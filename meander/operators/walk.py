@@ -20,10 +20,12 @@ probabilities, but not the same walks.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from meander.functions import draw
 from meander.operators import alias
@@ -358,13 +360,15 @@ def random_walk(adj: DataFrame | Lists | Layout, walk_length: int = 80, num_walk
                 p: float = 1.0, q: float = 1.0, seed: int = 42, directed: bool = False,
                 starts: DataFrame | None = None, checkpoint_every: int = 8,
                 num_partitions: int | None = None, scratch: Scratch | None = None,
-                walks_per_task: int = WALKS_PER_TASK, method: str = "sums") -> DataFrame:
+                walks_per_task: int = WALKS_PER_TASK, method: str = "sums", resume: str | None = None) -> DataFrame:
     """Walks of ``walk_length`` biased hops after the first: paths and features of the vertices met.
 
     ``path`` starts with the start vertex; ``feats[i]`` belongs to ``path[i + 1]``.
     A directed walk that reaches a vertex without out-edges ends there.
     Walks up to ``checkpoint_every`` hops are one lazy plan; longer ones write
-    their stretches to ``scratch``.
+    their stretches to ``scratch``, or below the shared folder ``resume``, from
+    which a run that was stopped goes on where the same settings and graph are
+    given again.
     """
     layout = adj
     if not isinstance(adj, Layout):
@@ -383,13 +387,42 @@ def random_walk(adj: DataFrame | Lists | Layout, walk_length: int = 80, num_walk
     scratch = scratch or Scratch(layout.table.sparkSession)
     # Every start has as many walks; where there are few starts, the walks' numbers spread them.
     keys = ["start"] if starts is None else ["walk_no", "start"]
+    kept = None
+    if resume:
+        settings = (walk_length, num_walks, p, q, seed, layout.directed, checkpoint_every, layout.method)
+        kept = Kept(layout.table.sparkSession, resume, settings, layout.adj, starts)
     return _put_together(_stretches(layout.persist(), walk_length, num_walks, p, q, seed, starts,
-                                    checkpoint_every, scratch, walks_per_task), keys)
+                                    checkpoint_every, scratch, walks_per_task, kept), keys)
+
+
+class Kept:
+    """Stretches in a folder of their settings and graph; one counts once its note is written behind it."""
+
+    def __init__(self, spark: SparkSession, folder: str, settings: tuple, *tables: DataFrame | None):
+        self.spark = spark
+        prints = [None if t is None else tuple(t.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*t.columns)), F.sum(
+            F.shiftright(F.xxhash64(*reversed(t.columns)), 24))).first()) for t in tables]
+        name = hashlib.sha256(repr((settings, prints)).encode()).hexdigest()[:24]
+        self.folder = f"{folder.rstrip('/')}/walks-{name}"
+
+    def find(self, number: int) -> DataFrame | None:
+        """The stretch, if it was written to its end."""
+        try:
+            self.spark.read.parquet(f"{self.folder}/{number:05d}.done")
+        except AnalysisException:
+            return None
+        return self.spark.read.parquet(f"{self.folder}/{number:05d}")
+
+    def keep(self, stretch: DataFrame, number: int) -> DataFrame:
+        path = f"{self.folder}/{number:05d}"
+        stretch.write.mode("overwrite").parquet(path)
+        self.spark.range(1).write.mode("overwrite").parquet(path + ".done")
+        return self.spark.read.schema(stretch.schema).parquet(path)
 
 
 def _stretches(layout: Layout, walk_length: int, num_walks: int, p: float, q: float, seed: int,
                starts: DataFrame | None, every: int, scratch: Scratch,
-               walks_per_task: int) -> list[DataFrame]:
+               walks_per_task: int, kept: Kept | None = None) -> list[DataFrame]:
     """Walk and write stretch by stretch; between two, spread the vertices that have become crowded."""
     room = every + 1
     state = walk_start(layout, num_walks, seed, starts, room)
@@ -397,11 +430,16 @@ def _stretches(layout: Layout, walk_length: int, num_walks: int, p: float, q: fl
     try:
         for first in range(1, walk_length + 1, every):
             last = min(first + every - 1, walk_length)
-            state = _advance(state, layout, first, last, p, q, seed)
-            opening = first == 1
-            hops = last - first + (2 if opening else 1)
-            keep = () if last == walk_length else ("prev", "cur", *_carried(state))
-            stretch = scratch.cut(as_walks(state, layout, hops, opening, keep), "stretch")
+            found = kept.find(len(written)) if kept else None
+            if found is None:
+                state = _advance(state, layout, first, last, p, q, seed)
+                opening = first == 1
+                hops = last - first + (2 if opening else 1)
+                keep = () if last == walk_length else ("prev", "cur", *_carried(state))
+                walked = as_walks(state, layout, hops, opening, keep)
+                stretch = kept.keep(walked, len(written)) if kept else scratch.cut(walked, "stretch")
+            else:
+                stretch = _told_again(found, layout)
             written.append(stretch.select("walk_no", "start", F.lit(len(written)).alias("stretch"),
                                           "path", "feats"))
             if last == walk_length:
@@ -424,6 +462,17 @@ def _stretches(layout: Layout, walk_length: int, num_walks: int, p: float, q: fl
     return written
 
 
+def _told_again(stretch: DataFrame, layout: Layout) -> DataFrame:
+    """A stretch found written, with the copies that this layout has, which may be others than when it was written."""
+    if "cur" not in stretch.columns:
+        return stretch
+    stretch = stretch.drop("to")
+    if layout.hubs is not None:
+        to = layout.hubs.select(F.col("id").alias("cur"), F.col("copies").alias("to"))
+        stretch = attach(stretch, to, "cur", "left").withColumn("to", F.coalesce("to", F.lit(1)))
+    return stretch.withColumn("to", F.lit(1)) if layout.spread and layout.hubs is None else stretch
+
+
 def _advance(state: DataFrame, layout: Layout, first: int, last: int, p: float, q: float,
              seed: int) -> DataFrame:
     for step in range(first, last + 1):

@@ -19,6 +19,7 @@ class Params:
     node_path: str | None = None
     node2id_path: str | None = None
     lists_path: str | None = None
+    resume_path: str | None = None
 
     walk_length: int = 80
     num_walks: int = 10

@@ -34,7 +34,9 @@ def random_walks(spark: SparkSession, params: Params) -> None:
     Writes ``<output>``, ``<feat_walk_path>``, ``<feat_walk_path>2``, and beside
     them the node index (``.node2id``) and the features of sources
     (``.node2feat``); with ``half_indexed`` the edges with the source's id
-    (``.j2``), with ``lists_path`` the neighbour lists, for other walks.
+    (``.j2``), with ``lists_path`` the neighbour lists, for other walks.  With
+    ``resume_path`` the stretches of the walks stay there, and a command that was
+    stopped goes on after the last one.
     """
     params.require("input", "output", "feat_walk_path")
     with Scratch(spark) as scratch:
@@ -139,7 +141,8 @@ def _walk_and_write(spark: SparkSession, params: Params,
         adj = save_lists(adj, params.lists_path, params.num_partitions)
     walks = W.random_walk(adj, params.walk_length, params.num_walks, params.p, params.q,
                           params.seed, params.directed, checkpoint_every=params.checkpoint_every,
-                          num_partitions=params.num_partitions, scratch=scratch, method=params.method)
+                          num_partitions=params.num_partitions, scratch=scratch, method=params.method,
+                          resume=params.resume_path)
     # Both joins are by the start, as the walks are partitioned.
     feats = node2feat.groupBy("node").agg(F.collect_set("feat").alias("start_feats"))
     names = scratch.cut(node2id.join(feats, "node", "left")

@@ -280,3 +280,30 @@ def test_a_long_list_is_drawn_in_proportion(spark, scratch):
 def test_unknown_method(graph):
     with pytest.raises(ValueError, match="method"):
         W.lay_out(graph(RING), method="none")
+
+
+@pytest.mark.parametrize("method, q, directed, crowd", [("sums", 1.0, False, None), ("alias", 2.0, False, None),
+                                                       ("sums", 1.0, True, None), ("sums", 1.0, False, 10)])
+def test_walks_go_on_after_a_stop(graph, scratch, tmp_path, monkeypatch, method, q, directed, crowd):
+    adj = scratch.cut(graph(RING + [(3, 40), (40, 3, 50)], directed=directed))
+    folder = str(tmp_path / "walks")
+    advance, steps = W._advance, []
+    def run(seed=2, **how):
+        steps.clear()
+        return rows(W.random_walk(adj, 7, 2, q=q, seed=seed, method=method, directed=directed, checkpoint_every=2,
+                                  scratch=scratch, walks_per_task=crowd or W.WALKS_PER_TASK, **how))
+    def stopping(state, layout, first, *rest):
+        steps.append(first)
+        if first == stop_at:
+            raise RuntimeError("stopped")
+        return advance(state, layout, first, *rest)
+    monkeypatch.setattr(W, "_advance", stopping)
+    stop_at = None
+    want = run()
+    stop_at = 5
+    with pytest.raises(RuntimeError):
+        run(resume=folder)
+    stop_at = None
+    assert run(resume=folder) == want and steps == [5, 7]
+    assert run(resume=folder) == want and steps == []
+    assert run(seed=3, resume=folder) != want and steps == [1, 3, 5, 7]
