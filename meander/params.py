@@ -20,6 +20,7 @@ class Params:
     node2id_path: str | None = None
     lists_path: str | None = None
     resume_path: str | None = None
+    rejects_path: str | None = None
 
     walk_length: int = 80
     num_walks: int = 10

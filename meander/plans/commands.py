@@ -16,11 +16,19 @@ from meander.operators.lists import save_lists
 from meander.params import Params
 from meander.scratch import Scratch
 from meander.sources import readers as R, writers as Wr
+from meander.sources.rejects import rejected
 
 
 def padding(spark: SparkSession, params: Params) -> None:
-    """Put the features of two vertex types on an edge list; write ``<output>.padd``."""
+    """Put the features of two vertex types on an edge list; write ``<output>.padd``.
+
+    With ``rejects_path`` this and the walk command also write the lines they drop,
+    by reason, a folder for each input.
+    """
     params.require("input", "feat_path1", "feat_path2", "output")
+    for kind, name, path in (("edges", "edges", params.input), ("features", "features1", params.feat_path1),
+                             ("features", "features2", params.feat_path2)):
+        _write_rejects(spark, params, kind, name, path)
     padded = P.pad_edges(R.read_edges(spark, params.input),
                          R.read_features(spark, params.feat_path1),
                          R.read_features(spark, params.feat_path2))
@@ -98,6 +106,8 @@ def _load_graph(spark: SparkSession, params: Params, scratch: Scratch):
 
     Also writes the half-indexed edges, if asked for.
     """
+    kind = "indexed" if params.indexed else "padded"
+    _write_rejects(spark, params, kind, kind, params.input)
     if params.indexed:
         edges = scratch.cut(R.read_indexed(spark, params.input, params.sep), "edges")
         ids = edges.select(F.explode(F.array("src_id", "dst_id")).alias("id")).distinct()
@@ -125,6 +135,12 @@ def _load_graph(spark: SparkSession, params: Params, scratch: Scratch):
     return edges, node2id, scratch.cut(P.node2feat(padded), "node2feat")
 
 
+def _write_rejects(spark: SparkSession, params: Params, kind: str, name: str, path: str) -> None:
+    if params.rejects_path:
+        rows = rejected(spark.read.text(path), kind, params.sep)
+        rows.write.partitionBy("reason").parquet(f"{params.rejects_path.rstrip('/')}/{name}")
+
+
 def _write_half_indexed(half: DataFrame, params: Params) -> None:
     Wr.write_text(Wr.half_indexed_lines(half, params.sep), params.feat_walk_path + ".j2", params.num_partitions)
 

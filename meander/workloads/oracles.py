@@ -257,6 +257,15 @@ ORACLES: dict[str, str] = {
         l_linestatus AS dst_feat, l_linenumber::DOUBLE AS weight FROM lineitem
         WHERE l_returnflag <> 'A'""",
     "drop_malformed": _line_counts(),
+    # What the shapes of dropped lines are, stated per shape.
+    "rejected_lines": f"""SELECT kind, reason, value, count(*) AS n FROM (
+        SELECT 'edges' AS kind, CASE n WHEN 4 THEN 'one token' ELSE 'blank' END AS reason,
+          CASE n WHEN 4 THEN c||' ' WHEN 5 THEN ' '||chr(9)||' ' ELSE '' END AS value FROM ({_SALES}) WHERE n IN (4, 5, 6)
+        UNION ALL SELECT 'padded', CASE l_linenumber WHEN 5 THEN 'no name' ELSE 'weight not above 0' END,
+          CASE l_linenumber WHEN 5 THEN {SEP}||'s'||l_suppkey||' p'||l_partkey||{SEP}||l_linestatus
+            ELSE 's'||l_suppkey||{SEP}||'x'||{SEP}||l_returnflag||' p'||l_partkey||{SEP}||l_linestatus||
+              CASE l_linenumber WHEN 6 THEN ' 0' ELSE ' '||trunc(l_quantity)::INTEGER END END
+        FROM lineitem WHERE l_linenumber IN (5, 6) OR (l_linenumber = 1 AND trunc(l_quantity) <= 0)) GROUP BY ALL""",
     "edge_weight": sql(_DOC_LINES, f"""SELECT doc_id, pos, coalesce(try_cast(
         {last_token('value')} AS DOUBLE), 1.0)::DOUBLE AS weight FROM doc_lines"""),
     "pad_edges": sql(padded("customer_part", False), f"""SELECT src||{SEP}||src_feat||' '||

@@ -17,6 +17,7 @@ from meander.params import Params, SEPARATOR
 from meander.plans import commands as C
 from meander.scratch import Scratch
 from meander.sources import readers as R, writers as Wr
+from meander.sources.rejects import rejected
 from meander.workloads import graphs as G
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,6 +162,14 @@ def drop_malformed(spark, sf_dir):
     return kept.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def rejected_lines(spark, sf_dir):
+    """O-09: the dropped lines of two sources, by reason."""
+    edges = rejected(edge_lines(spark, sf_dir), "edges").withColumn("kind", F.lit("edges"))
+    padded = rejected(padded_text(spark, sf_dir), "padded").withColumn("kind", F.lit("padded"))
+    return edges.unionByName(padded).groupBy("kind", "reason", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def edge_weight(spark, sf_dir):
     """O-11: the last word of every document line as a number, or 1."""

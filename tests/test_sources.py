@@ -4,7 +4,7 @@ import pytest
 
 from meander.functions import text as X
 from meander.operators import padding as P
-from meander.sources import readers as R, writers as W
+from meander.sources import readers as R, rejects, writers as W
 from tests.conftest import rows
 
 
@@ -91,3 +91,30 @@ def test_sink_does_not_overwrite(spark, lines, tmp_path):
     W.write_text(lines("a"), str(tmp_path / "x"))
     with pytest.raises(Exception, match="already exists"):
         W.write_text(lines("b"), str(tmp_path / "x"))
+
+
+BAD = {"edges": {"a b": None, "": "blank", " \t": "blank", "a ": "one token", "a x b": None},
+       "features": {"a f": None, "a": "one token"},
+       "padded": {"a\u0001f b": None, "\u0001f b": "no name", "a \u0001": "no name", "a b 0": "weight not above 0", "a b -1.5": "weight not above 0",
+                  "a b many": None, "a": "one token", "": "blank"},
+       "indexed": {"1\u0001f 2": None, "x 2": "no number", "1 99999999999999999999": "no number", "1 2 0": "weight not above 0"},
+       "node2feat": {"a\u0001f": None, "a": "no feature", "\u0001f": "no name", "": "blank"}}
+
+
+@pytest.mark.parametrize("kind", sorted(BAD))
+def test_rejected_lines_have_a_reason(lines, kind):
+    table = lines(*BAD[kind])
+    got = {r.value: r.reason for r in rejects.rejected(table, kind).collect()}
+    assert got == {v: why for v, why in BAD[kind].items() if why}
+    watched, seen = rejects.watched(table, kind)
+    parse = getattr(R, kind + "_from_lines")
+    taken = parse(watched).count()
+    # What isn't rejected is what the source takes.
+    assert taken == parse(table).count() == sum(why is None for why in BAD[kind].values()) == seen.get["taken"]
+    for why in rejects.REASONS:
+        assert seen.get[why] == sum(w == why for w in BAD[kind].values())
+
+
+def test_kinds_of_rejects():
+    with pytest.raises(ValueError):
+        rejects.reason("other")
