@@ -7,8 +7,9 @@ passes all of them:
 
 1. By hash, k a tenth of n.  Documents whose prefix shares fewer than k
    shingles with others are linked with nothing; for most this ends the search.
-2. Rarest first, ties by a second hash, over the documents left.  Documents of
-   a common prefix shingle form a list.
+2. Rarest first (by how many sets hold a shingle, in steps of a twelfth or
+   less), ties by a second hash, over the documents left.  Documents of a
+   common prefix shingle form a list.
 3. Rarest first, ties by a third hash: a pair from a list must also share a
    prefix shingle here.
 
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from meander.llm.common import binaries, components, long_arrays, signed, slices
-from meander.llm.postings import SCHEMA, common_hashes, deal, shared_counts, shared_hashes
+from meander.llm.postings import BY_SLICE, common_hashes, deal_by_slice, shared_counts_by_slice, shared_hashes_by_slice
 from meander.llm.words import Words, mix, position_mask, shingle_hashes, text_of
 from meander.operators.joins import attach
 from meander.scratch import Scratch
@@ -44,6 +45,8 @@ WORDS, PERCENT = 5, 75
 SLACK = 10
 # Shingles that one reducing task holds at a time, members of a block, and documents fetched by broadcast at most.
 GROUP_SHINGLES, BLOCK, BROADCAST_IDS = 500_000, 512, 500_000
+# Bytes of whole sets whose answers come back together.
+SLICE_OF_SETS = 8 << 20
 
 
 def shingle_sets(words: Words, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -118,11 +121,11 @@ def _prefixes(percent: int):
             out = ([], [])
             typical = np.zeros(len(ns))
             for i, (hs, ds) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                values, df = np.frombuffer(hs, np.uint64), np.frombuffer(ds, np.int32)
+                values, level = np.frombuffer(hs, np.uint64), np.frombuffer(ds, np.uint8)
                 left = max(0, int(prefix_length(ns[i], percent)) - (int(ns[i]) - len(values)))
                 for k in (0, 1):
-                    out[k].append(values[np.lexsort((mix(values, 22 + k), df))[:left]])
-                typical[i] = np.log2(df).sum() / ns[i]
+                    out[k].append(values[np.lexsort((mix(values, 22 + k), level))[:left]])
+                typical[i] = level.sum(dtype=np.int64) / ns[i]
             lists = [long_arrays(np.concatenate(o or [np.zeros(0, np.uint64)]), np.r_[0, np.cumsum([len(x) for x in o])]) for o in out]
             yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), *lists, pa.array(typical)],
                                   ["set_id", "n", "hashes", "prefix2", "prefix3", "typical"])
@@ -187,10 +190,15 @@ def set_links(docs: DataFrame, scratch: Scratch, words: int, percent: int) -> tu
     buckets = max(parts, total // 4 // GROUP_SHINGLES)
 
     known = rows.where("set_id is not null and doc_id is not null")
-    dealt = known.select("set_id", "prefix").mapInArrow(deal("prefix", buckets, short=True), SCHEMA)
-    shared = shared_counts(dealt, buckets)
-    wanted = (known.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"))
-              .join(shared, F.col("set_id") == F.col("owner")).where(f"shared >= greatest(1, n div {SLACK})").select("set_id", "id", "n"))
+    classes = scratch.cut(known.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.count("*").alias("c")), "classes")
+    # One document speaks for all of an equal set.
+    many = classes.where("c > 1").select("set_id", F.col("id").alias("first"))
+    if many.count() <= BROADCAST_IDS:
+        sole = known.join(F.broadcast(many), "set_id", "left").where("first is null or first = doc_id").select("set_id", "prefix")
+    else:  # rows that come from a shuffle are written, so that slices of them are the same in a task that runs again
+        sole = scratch.cut(attach(known, many, "set_id", "left").where("first is null or first = doc_id").select("set_id", "prefix"), "sole", "zstd")
+    shared = shared_counts_by_slice(sole.mapInArrow(deal_by_slice("prefix", buckets, short=True), BY_SLICE))
+    wanted = (classes.join(shared, F.col("set_id") == F.col("owner")).where(f"shared >= greatest(1, n div {SLACK})").select("set_id", "id", "n"))
     wanted = scratch.cut(wanted, "active")
     stats = wanted.agg(F.count("*"), F.sum("n")).first()
     ids = wanted.select(F.col("id").alias("doc_id"), "set_id")
@@ -199,10 +207,12 @@ def set_links(docs: DataFrame, scratch: Scratch, words: int, percent: int) -> tu
                        .mapInArrow(_read_sets(words), "set_id long, n long, hashes binary"), "active-sets", "zstd")
 
     buckets = max(parts, (stats[1] or 0) // GROUP_SHINGLES)
-    owned = sets.select("set_id", "hashes")
-    dealt = owned.mapInArrow(deal("hashes", buckets, common_hashes(owned, "hashes", stats[0])), SCHEMA)
-    counted = shared_hashes(dealt, buckets).withColumnRenamed("owner", "set_id")
-    info = (counted.join(wanted.select("set_id", "n"), "set_id").select("set_id", "n", "hashes", "counts")
+    owned = sets.select("set_id", "hashes", "n")
+    dealt = owned.mapInArrow(deal_by_slice("hashes", buckets, common_hashes(owned, "hashes", stats[0]), limit=SLICE_OF_SETS), BY_SLICE)
+    counted = shared_hashes_by_slice(dealt).withColumnRenamed("owner", "set_id")
+    if sets.count() > stats[0]:  # rows that repeat doc_id and text
+        counted = counted.dropDuplicates(["set_id"])
+    info = (counted.select("set_id", "n", "hashes", "levels")
             .mapInArrow(_prefixes(percent), "set_id long, n long, hashes binary, prefix2 array<long>, prefix3 array<long>, typical double")
             .where("size(prefix2) > 0"))
     # From here on the shingles that only one set has are left out: none of them is in an intersection.
@@ -213,15 +223,14 @@ def set_links(docs: DataFrame, scratch: Scratch, words: int, percent: int) -> tu
               .where("c > 1").select("shingle", F.col("p.set_id").alias("pivot")))
     near = scratch.cut(postings.join(pivots, "shingle").where("pivot <> set_id").select("pivot", "set_id").distinct(), "near")
 
-    def with_sets(pairs: DataFrame, a: str, b: str) -> DataFrame:
-        own = lambda c, n, name: info.select(F.col("set_id").alias(c), F.col("n").alias(n), F.col("hashes").alias(name))
-        return pairs.join(own(b, "m", "y"), b).join(own(a, "n", "x"), a).select(a, b, "n", "m", "x", "y")
-
-    side = lambda c, s: info.select(F.col("set_id").alias(c), F.col("n").alias(f"n{s}"), F.col("prefix3").alias(f"p{s}"))
-    pairs = (near.join(side("set_id", 1), "set_id").join(side("pivot", 2), "pivot")
-             .where(F.expr(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)") & F.arrays_overlap("p1", "p2"))
-             .select("pivot", "set_id"))
-    links = scratch.cut(with_sets(pairs, "pivot", "set_id").mapInArrow(_verify(percent), "a long, b long"), "links")
+    # Both sides of a pair get the same columns under names of their own, so that one exchange of the sets serves both.
+    own = lambda c, *more: info.select(F.col("set_id").alias(c), *[F.col(m).alias(f"{m}_{c}") for m in more])
+    both = lambda pairs, *more: pairs.join(own("b", *more), "b").join(own("a", *more), "a")
+    pairs = (both(near.select(F.col("pivot").alias("a"), F.col("set_id").alias("b")), "n", "prefix3")
+             .where(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)") & F.arrays_overlap("prefix3_a", "prefix3_b"))
+             .select("a", "b"))
+    links = scratch.cut(both(pairs, "n", "hashes").select("a", "b", "n_a", "n_b", "hashes_a", "hashes_b")
+                        .mapInArrow(_verify(percent), "a long, b long"), "links")
 
     labels = scratch.cut(components(links, "a", "b", scratch), "labels")
     members = near.unionByName(near.select("pivot", F.col("pivot").alias("set_id")).distinct())

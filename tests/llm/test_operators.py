@@ -1,9 +1,10 @@
 """Operators on training data against plain Python, with nulls, ties, empty tables and odd columns."""
 
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -112,23 +113,61 @@ def test_repeated_common_hashes_of_an_owner_are_one():
     assert [len(b) // 4 for b in got["counts"]] == [2, 1]
 
 
-def test_short_hashes_lose_none():
-    # Two hashes of one owner that agree in the half that is sent, both shared.
+def test_places_are_kept_by_steps():
+    for x in ([], [0], [0, 0, 3, 254, 255, 256], [255], [254, 509, 510, 100_000], [510, 510]):
+        assert postings.places(postings.steps(np.array(x, np.int64))).tolist() == x
+
+
+class Task:
+    partitionId = staticmethod(lambda: 0)
+
+
+def dealt_by_slice(sets, monkeypatch, column="hashes", **settings):
+    """The rows of ``sets`` (owner to hashes), cut into slices of a few, after their bucket's work."""
+    monkeypatch.setattr(postings.TaskContext, "get", staticmethod(Task))
+    blobs = [np.array(sorted(h), np.uint64).tobytes() for h in sets.values()]
+    number = pa.array([7 * i for i in sets], pa.int64())
+    table = pa.record_batch([pa.array(list(sets), pa.int64()), pa.array(blobs, pa.binary()), number], ["set_id", column, "n"])
+    return pa.Table.from_batches(list(postings.deal_by_slice(column, 3, limit=2000, **settings)([table]))).to_pandas()
+
+
+def work(rows, by_bucket, by_slice):
+    return pd.concat(by_slice(pdf) for _, pdf in pd.concat(by_bucket(pdf) for _, pdf in rows.groupby("bucket")).groupby("slice"))
+
+
+def test_short_hashes_by_slice_lose_none(monkeypatch):
+    rnd = random.Random(4)
+    pool = [rnd.getrandbits(64) for _ in range(300)]
     twins = [(7 << 32) | 1, (7 << 32) | 2]
-    blob = lambda hs: np.array(hs, np.uint64).tobytes()
-    table = pa.record_batch([pa.array([1, 2], pa.int64()), pa.array([blob(twins), blob([*twins, 9 << 40])], pa.binary())], ["set_id", "prefix"])
-
-    class Task:
-        partitionId = staticmethod(lambda: 0)
-    with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(postings.TaskContext, "get", staticmethod(Task))
-        rows = pa.Table.from_batches(list(postings.deal("prefix", 1, short=True)([table]))).to_pandas()
-    counts = defaultdict(int)
-    for _, pdf in rows.groupby("bucket"):
-        for r in postings._count_shared(pdf, 1).itertuples():
-            for o, n in zip(np.frombuffer(r.owners, np.int64), np.frombuffer(r.counts, np.int32)):
-                counts[int(o)] += int(n)
-    assert counts == {1: 2, 2: 2}
+    sets = {i: {*rnd.sample(pool, rnd.randint(0, 30)), *(rnd.getrandbits(64) for _ in range(9))} for i in range(60)} | {70: set(twins), 71: {*twins, 9 << 40}}
+    rows = dealt_by_slice(sets, monkeypatch, short=True)
+    assert rows["slice"].nunique() > 5
+    got = work(rows, postings._count_by_slice, postings._sum_by_slice)
+    held = Counter(h for s in sets.values() for h in s)
+    want = {i: sum(held[h] > 1 for h in s) for i, s in sets.items()}
+    assert dict(got.itertuples(index=False)) == {i: n for i, n in want.items() if n}
+
+
+def test_shared_hashes_by_slice(monkeypatch):
+    rnd = random.Random(5)
+    pool = [rnd.getrandbits(64) for _ in range(200)]
+    sets = {i: {pool[0], *rnd.sample(pool, rnd.randint(0, 30)), *(rnd.getrandbits(64) for _ in range(9))} for i in range(60)}
+    got = work(dealt_by_slice(sets, monkeypatch, common=np.array(pool[:1], np.uint64)), postings._shared_by_slice, postings._owners_of_slice)
+    held = Counter(h for s in sets.values() for h in s)
+    assert len(got) == len(sets)
+    for owner, n, hashes, level in got.itertuples(index=False):
+        assert n == 7 * owner
+        hashes, level = np.frombuffer(hashes, np.uint64).tolist(), np.frombuffer(level, np.uint8).tolist()
+        assert sorted(hashes) == hashes and set(hashes) == {h for h in sets[owner] if held[h] > 1}
+        assert level == [255 if h == pool[0] else math.ceil(8 * math.log2(held[h])) for h in hashes]
+
+
+def test_repeated_rows_of_near_copies(spark, scratch):
+    near = [" ".join(f"n{i}" for i in range(60) if i != k) for k in (70, 3)]
+    lone = " ".join(f"c{i}" for i in range(60))
+    table = [(1, near[0]), (2, near[1]), (3, lone), (4, lone)] * 40
+    got = jaccard_join.jaccard_components(spark.createDataFrame(table, "doc_id long, text string").repartition(5), scratch)
+    assert Counter((r.doc_id, r.component_id) for r in got.collect()) == {(1, 1): 40, (2, 1): 40, (3, 3): 40, (4, 3): 40}
 
 
 def test_exact_groups(docs, rows, scratch):
