@@ -2,12 +2,11 @@
 
 Texts and templates are lower-cased and split at every ASCII character that is
 no letter or digit; a shingle is five words.  The windows of a text overlap:
-for a template of s shingles one of s shingles starts at every place (every
-s / 16-th for long ones).  Each of ``BANDS`` bands is the smallest value of one
+for a template of s shingles one of s shingles starts at every place.  Each of ``BANDS`` bands is the smallest value of one
 hash function over the window; a window retrieves the templates that agree
 with it in any band.  A window that holds three quarters of a template has a
 Jaccard similarity of 0.6 with it or more, so some band agrees with
-probability 1 - 0.4 ** BANDS = 0.9998.  A retrieved window counts if it really
+probability 1 - 0.4 ** BANDS = 0.9997.  A retrieved window counts if it really
 holds at least ``PERCENT`` of the template's shingles.
 
 A band agrees only where the window holds the very shingle that is smallest in
@@ -81,10 +80,9 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, perc
     found = found.withColumn("hashes", F.expr(f"transform(sequence(1, size(near) - {SHINGLE - 1}), i -> xxhash64(slice(near, i, {SHINGLE})))"))
     anchored = F.broadcast(table.select("license", "s", "shingles", "keys", F.explode("anchors").alias("h")))
     # Windows of s shingles that hold the hit; a short text's only window is all it has.
-    found = found.join(anchored, "h").withColumn("length", F.expr("least(s, size(hashes))")).withColumn("step", F.expr("greatest(1, s div 16)"))
+    found = found.join(anchored, "h").withColumn("length", F.expr("least(s, size(hashes))"))
     first, last = "greatest(1, at - low + 2 - length)", "least(at - low + 1, size(hashes) - length + 1)"
-    found = found.where(f"{first} <= {last}").withColumn("begin", F.explode(F.expr(
-        f"filter(sequence({first}, {last}), b -> (b + low) % step = 0 OR b = {first})")))
+    found = found.where(f"{first} <= {last}").withColumn("begin", F.explode(F.expr(f"sequence({first}, {last})")))
     found = found.withColumn("window", F.expr("slice(hashes, begin, length)"))
     bands = f"transform(sequence(0, {BANDS - 1}), k -> array_min(transform(window, x -> xxhash64(x, k))))"
     found = found.where(F.expr(f"exists(zip_with({bands}, keys, (a, b) -> a = b), x -> x)"))

@@ -317,6 +317,33 @@ def test_licenses(spark, docs, scratch):
     assert license_scan.license_matches(docs).count() == 0
 
 
+def test_long_licenses_as_by_brute_force(spark):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    long, short = rnd.choices(words, k=150), rnd.choices(words, k=12)
+
+    def edited(template, edits):
+        own = list(template)
+        for k in rnd.sample(range(len(own)), edits):
+            own[k] = "edit"
+        return [*rnd.choices(words, k=rnd.randint(0, 60)), *own, *rnd.choices(words, k=rnd.randint(0, 60))]
+    texts = [edited(long, n) for n in (0, 4, 6, 7, 7, 8, 8, 9, 9, 10, 12)] + [edited(short, n) for n in (0, 0, 1, 1, 2)]
+    texts += [long[:110], long[20:140], long[:60] + ["gap"] * 5 + long[60:], rnd.choices(words, k=400), texts[3], edited(long, 5) + edited(short, 0)]
+    shingles = lambda w: [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+    want = set()
+    for i, t in enumerate(texts):
+        for name, template in (("long", set(shingles(long))), ("short", set(shingles(short)))):
+            own = shingles(t)
+            s = len(template)
+            held = [len(template & set(own[k:k + s])) for k in range(max(1, len(own) - s + 1))]
+            if 100 * max(held) >= 75 * s:
+                want.add((i, name, held.index(max(held)), max(held) / s))
+    docs = spark.createDataFrame([(i, " ".join(t).upper()) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = license_scan.license_matches(docs, {"long": " ".join(long), "short": ", ".join(short)})
+    assert {(r.doc_id, r.license, r.first_word, r.containment) for r in got.collect()} == want
+    assert 8 < len(want) < 2 * len(texts)
+
+
 def test_vectors_of_large_numbers(spark, scratch):
     rows = [(1, [1.5e308, 1e307, 1.5e308], 1), (2, [1.5e308, 1.1e307, 1.5e308], 1), (3, [1.5e308, float("inf"), 0.0], 1),
             (4, [1.5e308, None, 1.0], 1), (5, [0.0, 0.0, 0.0], 1), (6, [3e-320, 0.0, 0.0], 1), (7, [1.0, 0.0, 0.0], 1)]
