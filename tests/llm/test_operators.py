@@ -255,6 +255,39 @@ def test_mix(docs, rows, scratch):
     mixed = mixing.mixed_documents(docs, scratch, block_tokens=16)
     assert mixed.columns == docs.columns
     assert abs(sum(len(WORD.findall(r.text or "")) for r in mixed.collect()) - sum(r.taken for r in got)) <= 3
+    blanks = lambda table: sorted(str(r.doc_id) for r in table if not WORD.search(r.text or ""))
+    assert blanks(mixed.collect()) == blanks(docs.collect())
+
+
+def test_mix_is_in_the_order_of_the_schedule(spark, scratch):
+    """Every stretch of the mix holds the sources near their shares, which the order of the rows doesn't."""
+    rows = [(i, " ".join([f"w{i}"] * 20), "abc"[(i > 400) + (i > 700)], i, "") for i in range(1200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mixed_documents(docs, scratch, block_tokens=20).collect()
+    weight = {r.target: r.source_size for r in mixing.taken_words(docs, scratch, block_tokens=20).collect()}
+    share = [t / sum(weight) for t in sorted(weight)]
+    assert len(share) == 3
+    for lo in range(0, len(got) - 100, 50):
+        seen = Counter(r.source for r in got[lo:lo + 100])
+        assert all(abs(a - 100 * b) <= 5 for a, b in zip(sorted(seen.values()), share)), (lo, seen, share)
+    first = {r.doc_id: r.first_slot for r in mixing.taken_words(docs, scratch, block_tokens=20).collect() if r.taken}
+    places = [first[i] for i in dict.fromkeys(r.doc_id for r in got)]
+    assert places == sorted(places)  # a document first stands where its first slot is
+
+
+def test_slots_are_pieces(docs, scratch):
+    pieces = mixing.mix(docs, scratch, block_tokens=16).collect()
+    at = defaultdict(list)
+    for r in pieces:
+        at[r.row].append(r)
+    got = {r: min(p.slot for p in ps) for r, ps in at.items()}
+    want = [r for r in mixing.taken_words(docs, scratch, block_tokens=16).collect() if r.taken]
+    assert sorted(got.values()) == sorted(r.first_slot for r in want)
+    assert sorted(len(p) for p in at.values()) == sorted(r.n_slots for r in want)
+    words = defaultdict(int)
+    for r in pieces:
+        words[r.slot] += r.piece_words
+    assert max(words.values()) <= 16 and len({(r.slot, r.row) for r in pieces}) == len(pieces)
 
 
 def test_pack(docs, rows, scratch):
@@ -460,6 +493,8 @@ def test_empty(spark, empty, scratch):
     assert substring_dedup.repeated_words(empty, scratch).count() == 0
     assert sharding.shard_groups(empty, scratch).count() == 0
     assert mixing.taken_words(empty, scratch).count() == 0
+    assert mixing.mixed_documents(empty, scratch).count() == 0
+    assert jaccard_join.one_of_each(empty, scratch).count() == 0
     assert packing.pack(empty, scratch, packing.default_tokenizer()).count() == 0
     assert license_scan.license_matches(empty).count() == 0
     none = spark.createDataFrame([], "doc_id long")
