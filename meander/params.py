@@ -21,6 +21,8 @@ class Params:
     lists_path: str | None = None
     resume_path: str | None = None
     rejects_path: str | None = None
+    starts_path: str | None = None
+    sinks_path: str | None = None
 
     walk_length: int = 80
     num_walks: int = 10
@@ -33,6 +35,8 @@ class Params:
     method: str = "alias"
     half_indexed: bool = False
     vectors: str = "ids"
+    index_format: str = "parquet"
+    walks_per_task: int = 1_000_000
 
     dim: int = 128
     window: int = 10
@@ -47,7 +51,7 @@ class Params:
     sep: str = SEPARATOR
 
     def __post_init__(self):
-        for name in ("num_walks", "degree", "dim", "window", "iterations", "checkpoint_every"):
+        for name in ("num_walks", "degree", "dim", "window", "iterations", "checkpoint_every", "walks_per_task"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1, got {getattr(self, name)}")
         for name in ("p", "q", "lr"):
@@ -59,7 +63,7 @@ class Params:
         for name in ("num_partitions", "train_partitions"):
             if getattr(self, name) is not None and getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
-        for name, known in (("method", ("sums", "alias")), ("vectors", ("ids", "features"))):
+        for name, known in (("method", ("sums", "alias")), ("vectors", ("ids", "features")), ("index_format", ("parquet", "text"))):
             if getattr(self, name) not in known:
                 raise ValueError(f"{name} must be one of {', '.join(known)}, got {getattr(self, name)!r}")
         if not self.sep or any(ch.isspace() for ch in self.sep):

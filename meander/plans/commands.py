@@ -44,7 +44,10 @@ def random_walks(spark: SparkSession, params: Params) -> None:
     (``.node2feat``); with ``half_indexed`` the edges with the source's id
     (``.j2``), with ``lists_path`` the neighbour lists, for other walks.  With
     ``resume_path`` the stretches of the walks stay there, and a command that was
-    stopped goes on after the last one.
+    stopped goes on after the last one.  ``starts_path`` names the vertices to
+    start from, one a line; without it walks start everywhere.  With
+    ``sinks_path`` the three walk files are written there in one pass, as
+    folders ``sink=ids``, ``sink=feats`` and ``sink=feats2``, instead of apart.
     """
     params.require("input", "output", "feat_walk_path")
     with Scratch(spark) as scratch:
@@ -68,7 +71,7 @@ def embedding(spark: SparkSession, params: Params) -> None:
             nodes = R.read_node2feat(spark, params.node_path, params.sep)
             lines = Wr.feat_vector_lines(N.feat_vectors(E.vectors(model), nodes))
         else:
-            names = (R.read_node2id(spark, params.node2id_path) if params.node2id_path else None)
+            names = (R.read_node2id(spark, params.node2id_path, params.index_format) if params.node2id_path else None)
             lines = Wr.node_vector_lines(N.node_vectors(E.vectors(model), names))
         Wr.write_text(lines, params.output + ".emb", params.num_partitions)
 
@@ -113,7 +116,7 @@ def _load_graph(spark: SparkSession, params: Params, scratch: Scratch):
         ids = edges.select(F.explode(F.array("src_id", "dst_id")).alias("id")).distinct()
         number = F.col("id").cast("string")
         if params.node_path:  # a vertex that the index doesn't name goes by its id
-            ids = ids.join(R.read_node2id(spark, params.node_path), "id", "full")
+            ids = ids.join(R.read_node2id(spark, params.node_path, params.index_format), "id", "full")
             number = F.coalesce("node", number)
         node2id = scratch.cut(ids.select(number.alias("node"), "id"), "node2id")
         names = node2id.withColumnRenamed("id", "src_id")
@@ -149,22 +152,29 @@ def _walk_and_write(spark: SparkSession, params: Params,
                     scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Walk, name the walks before they are written once, and fill the sinks without moving them again."""
     edges, node2id, node2feat = _load_graph(spark, params, scratch)
-    Wr.write_node2id(node2id, params.feat_walk_path + ".node2id")
+    Wr.write_node2id(node2id, params.feat_walk_path + ".node2id", params.index_format)
     Wr.write_text(Wr.node2feat_lines(node2feat, params.sep), params.feat_walk_path + ".node2feat",
                   params.num_partitions)
     adj = A.adjacency(edges, params.degree, params.directed, params.weighted)
     if params.lists_path:
         adj = save_lists(adj, params.lists_path, params.num_partitions)
+    starts = None
+    if params.starts_path:
+        wanted = R.read_starts(spark, params.starts_path)
+        starts = scratch.cut(node2id.join(wanted, "node", "left_semi").select("id"), "starts")
     walks = W.random_walk(adj, params.walk_length, params.num_walks, params.p, params.q,
-                          params.seed, params.directed, checkpoint_every=params.checkpoint_every,
+                          params.seed, params.directed, starts, checkpoint_every=params.checkpoint_every,
                           num_partitions=params.num_partitions, scratch=scratch, method=params.method,
-                          resume=params.resume_path)
+                          walks_per_task=params.walks_per_task, resume=params.resume_path)
     # Both joins are by the start, as the walks are partitioned.
     feats = node2feat.groupBy("node").agg(F.collect_set("feat").alias("start_feats"))
     names = scratch.cut(node2id.join(feats, "node", "left")
                         .select(F.col("id").alias("start"), "node", "start_feats"), "names")
     walks = scratch.cut(walks.join(names, "start", "left"), "walks")
     named = walks.where(F.col("node").isNotNull() & ~X.is_blank(F.col("node")))
+    if params.sinks_path:
+        Wr.write_sinks(Wr.sink_lines(named, params.sep), params.sinks_path, params.num_partitions)
+        return walks, node2id, node2feat
     with_feat = named.withColumn("feat", F.explode("start_feats"))
     for lines, path in (
             (Wr.walk_lines(named, params.sep), params.output),

@@ -104,6 +104,12 @@ def read_node2id(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return expect(spark.read.format(fmt).load(path), "node2id")
 
 
+def read_starts(spark: SparkSession, path: str) -> DataFrame:
+    """The vertices named first on each line; blank lines name none."""
+    name = X.first_token(F.col("value"))
+    return spark.read.text(path).select(name.alias("node")).where("node <> ''").distinct()
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return corpus_from_lines(spark.read.text(path))
 

@@ -55,6 +55,23 @@ def _walk_lines(walks: DataFrame, second, tokens: str, sep: str) -> DataFrame:
         F.concat_ws(sep, "node", second, X.joined(F.col(tokens), " ")).alias("value"))
 
 
+def sink_lines(named: DataFrame, sep: str = SEPARATOR) -> DataFrame:
+    """The lines of all three walk files, told apart by ``sink``: ids, feats, feats2.
+
+    ``named`` has ``start_feats``, the features of the start; a walk is read once
+    and its lines are made beside each other.
+    """
+    def line(second, tokens):
+        return F.concat_ws(sep, "node", second, X.joined(F.col(tokens), " "))
+
+    number = F.col("start").cast("string")
+    feats2 = F.transform(F.coalesce("start_feats", F.array().cast("array<string>")), lambda feat: F.struct(
+        F.lit("feats2").alias("sink"), line(feat, "feats").alias("value")))
+    lines = F.concat(F.array(F.struct(F.lit("ids").alias("sink"), line(number, "path").alias("value")),
+                             F.struct(F.lit("feats").alias("sink"), line(number, "feats").alias("value"))), feats2)
+    return named.select(F.inline(lines))
+
+
 def node_vector_lines(vectors: DataFrame) -> DataFrame:
     """``name<tab>v1,v2,...``"""
     return vectors.select(
@@ -74,6 +91,14 @@ def write_text(lines: DataFrame, path: str, num_partitions: int | None = None,
     lines.write.mode(mode).text(path)
 
 
+def write_sinks(lines: DataFrame, path: str, num_partitions: int | None = None,
+                mode: str = "errorifexists") -> None:
+    """One pass over (sink, value); each sink is a folder of text, ``<path>/sink=<name>``."""
+    if num_partitions:
+        lines = lines.repartition(num_partitions)
+    lines.write.mode(mode).partitionBy("sink").text(path)
+
+
 def write_node2id(node2id: DataFrame, path: str, fmt: str = "parquet",
                   mode: str = "errorifexists") -> None:
     rows = node2id_lines(node2id) if fmt == "text" else expect(node2id, "node2id")

@@ -357,6 +357,9 @@ ORACLES: dict[str, str] = {
     "run_padding": sql(padded("customer_part", False), f"""SELECT src||{SEP}||src_feat||' '||
         dst||{SEP}||dst_feat AS value FROM padded"""),
     "run_random_walk": sql(_FILE_ADJ + alias_walk(steps=LONG_STEPS), _files("node", "node", _NODE2FEAT)),
+    "run_one_write": sql(_FILE_WALK, _files("node", "node", _NODE2FEAT)),
+    "run_from_starts": sql(_FILE_ADJ + alias_walk(steps=LONG_STEPS, walks=1),
+                           f"SELECT * FROM ({_files('node', 'node', _NODE2FEAT)}) WHERE split_part(value, {SEP}, 1) LIKE 'c%'"),
     "run_indexed": sql(_FILE_WALK, _files("CASE WHEN start % 2 = 0 THEN node ELSE start::VARCHAR END", "node", _NODE2FEAT)),
     "run_half_indexed": sql(indexed("customer_part", weighted=False), f"""SELECT dst||' '||{SEP}||' '||id||' '||
         src_feat||' '||dst_feat AS value FROM padded JOIN node2id ON node = src"""),

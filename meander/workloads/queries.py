@@ -566,6 +566,28 @@ def run_random_walk(spark, sf_dir):
     return _walk_files(spark, params)
 
 
+@query
+def run_one_write(spark, sf_dir):
+    """O-43 to O-45 by O-50 in one pass over the walks; the same lines as three sinks apart."""
+    scratch = Scratch(spark)
+    params = _run_inputs(spark, sf_dir, scratch).but(sinks_path=scratch.path("sinks"))
+    C.padding(spark, params)
+    C.random_walks(spark, params.but(input=params.output + ".padd"))
+    return spark.read.schema("value string, sink string").option("basePath", params.sinks_path).text(params.sinks_path)
+
+
+@query
+def run_from_starts(spark, sf_dir):
+    """O-50 from the vertices of the first type only, at the default length, with the index as text."""
+    scratch = Scratch(spark)
+    graph = G.customer_part(spark, sf_dir)
+    starts = scratch.text(graph.feat1.select(F.col("node").alias("value")), "starts")
+    params = _run_inputs(spark, sf_dir, scratch).but(walk_length=LONG_STEPS, num_walks=1, starts_path=starts, index_format="text")
+    C.padding(spark, params)
+    C.random_walks(spark, params.but(input=params.output + ".padd"))
+    return _walk_files(spark, params)
+
+
 def _walk_files(spark, params):
     ids, feats, feats2 = (spark.read.text(path).select(F.lit(sink).alias("sink"), "value") for sink, path in (
         ("ids", params.output), ("feats", params.feat_walk_path), ("feats2", params.feat_walk_path + "2")))

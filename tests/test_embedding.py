@@ -97,6 +97,16 @@ def test_whole_runs(spark, inputs, scratch):
     plain = walk.but(input=walk.output, output=scratch.path("emb"))
     C.run(spark, "embedding", plain)
     assert {x.split("\t")[0] for x in read(plain.output + ".emb")} == set("012345")
+    once = walk.but(output=scratch.path("once"), feat_walk_path=scratch.path("oncef"), sinks_path=scratch.path("sinks"),
+                    index_format="text", walks_per_task=3)
+    C.run(spark, "randomwalk", once)
+    sinks = [read(f"{once.sinks_path}/sink={name}") for name in ("ids", "feats", "feats2")]
+    assert sinks == [ids, feats, feats2]
+    assert R.read_node2id(spark, once.feat_walk_path + ".node2id", "text").count() == 6
+    starts = scratch.text(spark.createDataFrame([("u2",), (" ",), ("",), ("nobody",), ("u2 again",)], "value string"))
+    some = walk.but(output=scratch.path("some"), feat_walk_path=scratch.path("somef"), starts_path=starts)
+    C.run(spark, "randomwalk", some)
+    assert read(some.output) == [x for x in ids if x.startswith("u2\u0001")]
     everything = walk.but(output=scratch.path("all"), feat_walk_path=scratch.path("allf"))
     C.run(spark, "full", everything)
     assert read(everything.output) == ids
