@@ -1,13 +1,19 @@
 """Harmonic packing of token sequences.
 
-A document's tokens are cut into pieces whose lengths are classes: the
-capacity itself, its halves down to 64, and every length below 64.  A sequence
-holds pieces of one class only, always ``capacity // length`` of them, so it
-is full but for less than one piece.  Every task fills the sequences of its
-own documents; fewer than one sequence of pieces per class are left over in
-each task.  Only these are brought together, ranked class by class, and filled
-in the same way.  The last pieces of a class, too few for a sequence, are cut
-into runs whose lengths are powers of two, which need no padding.
+A document of t tokens is of class k if it is in (capacity / (k + 1),
+capacity / k], and a sequence of class k takes k of them, whole, so it is
+full but for less than capacity / (k + 1).  Documents longer than a sequence
+and those of the last classes (k above ``CLASSES``) are loose: they are cut to
+fill exactly what the sequences leave open, and make up sequences by
+themselves where there are more of them.  Every task fills the sequences of its own
+documents and keeps at most ``WAITING`` that wait for loose tokens; the
+documents of one more become loose themselves.  At its end a task's open
+sequences are dissolved in the same way, and less than one sequence of tokens is
+left over.  These are cut into pieces whose lengths are classes themselves (the
+capacity's halves down to 64, and every length below 64), brought together,
+ranked class by class, and put into sequences of one class.  The last pieces of a
+class, too few for a sequence, are cut into runs whose lengths are powers of
+two, which need no padding.
 
 Cases: a null or empty text is the end token alone.  Rows with the same doc_id
 and text are rows of their own.  Texts of any length are taken whole.  An empty
@@ -18,6 +24,7 @@ text or one text, whichever is more.
 from __future__ import annotations
 
 import os
+from collections import defaultdict, deque
 from itertools import chain
 
 import numpy as np
@@ -26,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meander.llm.common import binaries, running_sums, slices
+from meander.llm.common import running_sums, slices
 from meander.llm.words import range_hashes
 from meander.scratch import Scratch
 
@@ -35,6 +42,8 @@ TOKENIZER = "byte_bpe_50k.json"
 # Pieces of text whose ids a worker keeps (beyond that it starts anew), and that it gathers before it sorts them in.
 MEMORY, FRESH = 3_000_000, 100_000
 _TASK = 1 << 32
+# Documents of a sequence at most, beyond which they are loose; sequences of a task that wait for loose tokens.
+CLASSES, WAITING = 32, 64
 
 
 def token_classes(capacity: int = CAPACITY, least: int = LEAST_HALF) -> list[int]:
@@ -168,58 +177,105 @@ def cut_lengths(tokens: np.ndarray, capacity: int, least: int) -> tuple[np.ndarr
 SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, task int, number long")
 
 
+class Filling:
+    """One task's sequences: whole documents by class, and what fills them up.
+
+    A piece is (doc_id, start, length, ids of the whole document, its number of tokens).
+    """
+
+    def __init__(self, task: int, capacity: int, classes: int = CLASSES, waiting: int = WAITING):
+        self.task, self.capacity, self.classes, self.waiting = task, capacity, classes, waiting
+        self.open: dict[int, list[tuple]] = defaultdict(list)
+        self.closed: deque[list[tuple]] = deque()
+        self.loose: deque[tuple] = deque()
+        self.spare = self.sequences = self.number = 0
+        self.done: list[tuple] = []
+
+    def add(self, doc_id, ids: bytes, tokens: int) -> None:
+        piece = (doc_id, 0, tokens, ids, tokens)
+        k = self.capacity // tokens
+        if not 1 <= k <= self.classes:
+            self._loosen([piece])
+            return
+        self.open[k].append(piece)
+        if len(self.open[k]) == k:
+            self.closed.append(self.open.pop(k))
+            self._settle()
+            if len(self.closed) > self.waiting:
+                self._loosen(self.closed.pop())
+
+    def finish(self) -> list[tuple]:
+        """Dissolve what is open; the pieces left over, less than a sequence of tokens."""
+        for k in list(self.open):
+            self._loosen(self.open.pop(k))
+        while self.closed:
+            self._loosen(self.closed.pop())
+        while self.spare >= self.capacity:
+            self._emit(self._take(self.capacity))
+        return self._take(self.spare)
+
+    def _loosen(self, pieces: list[tuple]) -> None:
+        self.loose.extend(pieces)
+        self.spare += sum(p[2] for p in pieces)
+        self._settle()
+
+    def _settle(self) -> None:
+        while self.closed:
+            gap = self.capacity - sum(p[2] for p in self.closed[0])
+            if self.spare < gap:
+                break
+            self._emit(self.closed.popleft() + self._take(gap))
+        while self.spare >= (self.waiting + 1) * self.capacity:
+            self._emit(self._take(self.capacity))
+
+    def _take(self, tokens: int) -> list[tuple]:
+        self.spare -= tokens
+        taken = []
+        while tokens:
+            doc_id, start, length, ids, whole = self.loose.popleft()
+            if length > tokens:
+                self.loose.appendleft((doc_id, start + tokens, length - tokens, ids, whole))
+                length = tokens
+            taken.append((doc_id, start, length, ids, whole))
+            tokens -= length
+        return taken
+
+    def _emit(self, pieces: list[tuple]) -> None:
+        offset = 0
+        for piece in pieces:
+            self.done.append(self.row(piece, self.task * _TASK + self.sequences, offset))
+            offset += piece[2]
+        self.sequences += 1
+
+    def row(self, piece: tuple, sequence_id: int | None = None, offset: int | None = None) -> tuple:
+        doc_id, start, length, ids, whole = piece
+        self.number += 1
+        return doc_id, start, length, ids[4 * start:4 * (start + length)], whole, sequence_id, offset, self.task, self.number
+
+
 def _pack(path: str, capacity: int, least: int, end: int):
     def run(batches):
         encoder = _ENCODERS.setdefault(path, None) or Encoder(path)
         _ENCODERS[path] = encoder
-        task = TaskContext.get().partitionId()
-        sequences, number = 0, 0
-        waiting: dict[int, list[tuple]] = {}
+        filling = Filling(TaskContext.get().partitionId(), capacity)
         for batch in slices(batches, "text"):
             data, begin, stop = _text_bytes(batch.column(1))
             ids, first = encoder.encode(data, begin, stop)
             tokens = np.diff(first) + 1
             ids = np.insert(ids, first[1:], np.uint32(end))
-            past = np.r_[0, np.cumsum(tokens)]
-            length, pieces = cut_lengths(tokens, capacity, least)
-            doc = np.repeat(np.arange(len(tokens)), pieces)
-            at = np.cumsum(length) - length
-            seq, offset = np.full(len(length), -1, np.int64), np.zeros(len(length), np.int64)
-            order = np.argsort(length, kind="stable")
-            sizes, starts = np.unique(length[order], return_index=True)
-            done = []
-            for size, lo, hi in zip(sizes.tolist(), starts, [*starts[1:], len(order)]):
-                own = order[lo:hi]
-                per = capacity // size
-                held = waiting.get(size, [])
-                full = (len(held) + len(own)) // per * per - len(held)  # of the new ones
-                if full < 0 or full + len(held) == 0:
-                    continue
-                rank = np.arange(len(held) + full)
-                where = sequences + rank // per
-                for k, row in enumerate(held):
-                    done.append((*row[:5], task * _TASK + int(where[k]), int(rank[k] % per) * size, task, row[5]))
-                seq[own[:full]] = task * _TASK + where[len(held):]
-                offset[own[:full]] = rank[len(held):] % per * size
-                sequences += (len(held) + full) // per
-                waiting[size] = []
-            numbers = number + np.arange(len(length))
-            number += len(length)
-            placed = np.flatnonzero(seq >= 0)
-            names = batch.column(0)
-            start = at - past[doc]
-            for i in np.flatnonzero(seq < 0):
-                waiting.setdefault(int(length[i]), []).append((names[int(doc[i])].as_py(), int(start[i]), int(length[i]),
-                                                               ids[at[i]:at[i] + length[i]].tobytes(), int(tokens[doc[i]]), int(numbers[i])))
-            blob = binaries(ids, np.r_[at, len(ids)]).take(pa.array(placed))
-            yield pa.record_batch([names.take(pa.array(doc[placed])), pa.array(start[placed]), pa.array(length[placed]), blob,
-                                   pa.array(tokens[doc[placed]]), pa.array(seq[placed]), pa.array(offset[placed]),
-                                   pa.array(np.full(len(placed), task, np.int32)), pa.array(numbers[placed])], _NAMES)
-            if done:
-                yield _batch(done)
-        rest = [(*row[:5], None, None, task, row[5]) for rows in waiting.values() for row in rows]
-        if rest:
-            yield _batch(rest)
+            past = np.cumsum(tokens) - tokens
+            for doc_id, lo, n in zip(batch.column(0).to_pylist(), past.tolist(), tokens.tolist()):
+                filling.add(doc_id, ids[lo:lo + n].tobytes(), n)
+            if filling.done:
+                yield _batch(filling.done)
+                filling.done = []
+        rest = []
+        for doc_id, start, length, whole, tokens in filling.finish():
+            lengths, _ = cut_lengths(np.array([length]), capacity, least)
+            for at, n in zip((np.cumsum(lengths) - lengths).tolist(), lengths.tolist()):
+                rest.append(filling.row((doc_id, start + at, n, whole, tokens)))
+        if filling.done or rest:
+            yield _batch(filling.done + rest)
     return run
 
 

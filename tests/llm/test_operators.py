@@ -312,6 +312,30 @@ def test_pack(docs, rows, scratch):
         assert sum(r.length for r in s) <= 256
 
 
+@pytest.mark.parametrize("sizes", [(1, 40), (520, 900), (130, 250), (1, 6000), (2048, 2049), (1030, 1100)])
+def test_sequences_of_a_class(sizes):
+    """All sequences of a task are full, sequences hold k documents of class k, and all ids come out once."""
+    rnd = random.Random(5)
+    filling, docs = packing.Filling(0, 2048), {}
+    for i in range(2500):
+        n = rnd.randint(*sizes)
+        docs[i] = np.arange(n, dtype=np.uint32).tobytes()
+        filling.add(i, docs[i], n)
+        assert len(filling.closed) <= packing.WAITING and filling.spare < (packing.WAITING + 1) * 2048
+    rest = [filling.row(p) for p in filling.finish()]
+    assert sum(r[2] for r in rest) < 2048 and not filling.closed and not filling.open
+    own, sequences = defaultdict(list), defaultdict(list)
+    for r in filling.done + rest:
+        own[r[0]].append(r)
+    for r in filling.done:
+        sequences[r[5]].append(r)
+    assert {i: b"".join(r[3] for r in sorted(p, key=lambda r: r[1])) for i, p in own.items()} == docs
+    for s in sequences.values():
+        assert [r[6] for r in s] == list(np.cumsum([0] + [r[2] for r in s])[:-1]) and sum(r[2] for r in s) == 2048
+    if sizes == (130, 250):  # gaps are under an eighth, so few documents are cut to fill them
+        assert sum(len(p) > 1 for p in own.values()) < len(own) / 5
+
+
 def test_special_tokens_as_the_tokenizer_has_them():
     path = packing.default_tokenizer()
     encoder = packing.Encoder(path)
