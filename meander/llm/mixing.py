@@ -193,7 +193,8 @@ def mixed_documents(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...]
         *key, F.lit(0).cast("long").alias("low"), F.lit(max(0, slots - 1)).cast("long").alias("high"), F.lit(0).cast("long").alias("words"))
     taken = (known.join(times, "row").groupBy(*key, "round")
              .agg(F.min("slot").alias("low"), F.max("slot").alias("high"), F.sum("words").alias("words")).drop("round"))
-    # A few bytes a document: under Spark's threshold they are broadcast, so the texts move once, into the order of the slots.
+    # A few bytes a document: under Spark's threshold they are broadcast and the texts move once, into the
+    # order of the slots; beyond it twice, first to their places.
     places = scratch.cut(taken.unionByName(blank).join(same, key)
                          .withColumn("words", F.floor(F.col("words") / F.col("__same"))).where("words > 0 or __size = 0")
                          .groupBy(*key, "__size").agg(F.collect_list(F.struct("low", "high", "words")).alias("__times")), "places")
