@@ -71,8 +71,9 @@ def components(links: DataFrame, a: str, b: str, scratch: Scratch) -> DataFrame:
 
     Alternates large stars (every larger neighbour moves to a node's smallest
     neighbour) and small stars (every smaller one does) until nothing changes.
-    Each round is a sum by node and an equi-join, written out, so no component
-    is ever in one task.
+    Each round is a sum by node and an equi-join, written out.  Once the nodes of a
+    component all point to its root, the root's rows meet in one partition of
+    that join; Spark's adaptive skew join splits it where it is large.
     """
     def stars(edges: DataFrame, larger: bool) -> DataFrame:
         both = edges.select(F.col("u"), F.col("v"))
