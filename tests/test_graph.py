@@ -113,6 +113,13 @@ def no_broadcast(spark):
         spark.conf.set(key, value)
 
 
+def test_tables_with_lists_are_not_broadcast(spark, graph, scratch):
+    adj = scratch.cut(graph([(0, k) for k in range(1, 40)] + [(1, 2), (2, 3)]))
+    assert J.planned_bytes(adj) < 10 << 20
+    plan = A.triplets(adj)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_hot_keys_are_found_and_spread(spark, no_broadcast):
     edges = spark.range(30000).select(
         F.when(F.col("id") % 3 == 0, "hub").otherwise(F.concat(F.lit("n"), "id")).alias("src"),
