@@ -365,7 +365,7 @@ def random_walk(adj: DataFrame | Lists | Layout, walk_length: int = 80, num_walk
 
     ``path`` starts with the start vertex; ``feats[i]`` belongs to ``path[i + 1]``.
     A directed walk that reaches a vertex without out-edges ends there.
-    Walks up to ``checkpoint_every`` hops are one lazy plan; longer ones write
+    Walks up to ``checkpoint_every`` hops are one stretch; longer ones write
     their stretches to ``scratch``, or below the shared folder ``resume``, from
     which a run that was stopped goes on where the same settings and graph are
     given again.
@@ -380,11 +380,9 @@ def random_walk(adj: DataFrame | Lists | Layout, walk_length: int = 80, num_walk
             adj = scratch.cut(expect(adj, "adj"), "adj")
         hubs = scratch.cut(find_hubs(adj, num_walks, walks_per_task, starts), "hubs")
         layout = lay_out(adj, hubs, directed, num_partitions, scratch, method, q != 1, placed)
-    if walk_length <= checkpoint_every:
-        state = _advance(walk_start(layout, num_walks, seed, starts, walk_length + 1),
-                         layout, 1, walk_length, p, q, seed)
-        return expect(as_walks(state, layout, walk_length + 1), "walks")
     scratch = scratch or Scratch(layout.table.sparkSession)
+    if walk_length <= checkpoint_every:
+        return expect(_one_stretch(layout, walk_length, num_walks, p, q, seed, starts, scratch), "walks")
     # Every start has as many walks; where there are few starts, the walks' numbers spread them.
     keys = ["start"] if starts is None else ["walk_no", "start"]
     kept = None
@@ -395,6 +393,20 @@ def random_walk(adj: DataFrame | Lists | Layout, walk_length: int = 80, num_walk
                                     checkpoint_every, scratch, walks_per_task, kept), keys)
 
 
+def _one_stretch(layout: Layout, walk_length: int, num_walks: int, p: float, q: float, seed: int,
+                 starts: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """Short walks, written once, so that the lists are laid out once for all steps and can be let go."""
+    kept = layout.persist() if walk_length else layout
+    state = _advance(walk_start(kept, num_walks, seed, starts, walk_length + 1), kept, 1, walk_length, p, q, seed)
+    walks = as_walks(state, kept, walk_length + 1)
+    if not walk_length:
+        return walks
+    try:
+        return scratch.cut(walks, "walks")
+    finally:
+        kept.release()
+
+
 class Kept:
     """Stretches in a folder of their settings and graph; one counts once its note is written behind it."""
 

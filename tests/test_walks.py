@@ -277,6 +277,14 @@ def test_a_long_list_is_drawn_in_proportion(spark, scratch):
     assert len(drawn) == 40 and 0 <= drawn.count(0) < 20
 
 
+def test_short_walks_lay_the_lists_out_once(spark, graph, scratch):
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    walks = W.random_walk(graph(RING), 4, 2, scratch=scratch)
+    plan = walks._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "collect_list" not in plan
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+
+
 def test_unknown_method(graph):
     with pytest.raises(ValueError, match="method"):
         W.lay_out(graph(RING), method="none")
