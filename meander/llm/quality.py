@@ -14,9 +14,12 @@ of the words, shapes told apart by ``SHAPES`` classes; and a few shares: words
 equal to the one before, different words, lines seen before, letters, upper
 case, digits, ends of sentences, long words, and the length.
 
-Fitted on at most ``PER_LABEL`` texts of either label, those with the smallest
-hashes of doc_id, and ``PAIRS`` partners for each; a sample's texts stand for all
-of their label when the cut is chosen.
+Fitted on every labelled text, with ``PAIRS`` partners for each.  Labelled texts are
+dealt by the hash of doc_id to blocks of about ``BLOCK``; partners are of the same
+block, each block is fitted in one task, and the weights are the mean of the blocks'
+weights by their numbers of pairs.  A kind with too few texts for ``LEAST`` in a block is
+repeated in several.  The cut's quantiles and shares are counted over all labelled texts,
+with strengths put in order by Spark.
 
 Cases: a text that is null or without words has no features but the length and
 gets a score as any other.  Without labelled texts of both kinds every score is
@@ -31,14 +34,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from meander.llm.common import binaries, slices
 from meander.llm.words import Words, range_hashes, text_of
+from meander.scratch import Scratch
 
-SHAPES, PER_LABEL, PAIRS = 1 << 12, 4000, 8
+SHAPES, PAIRS = 1 << 12, 8
+BLOCK, LEAST = 8000, 20
 PENALTY, STEPS, CUT, SEED = 1e-4, 400, 0.3, 42
 QUANTILES = 1000
+# Up to this many labels are sent to every task; beyond, texts move to them.
+SENT_LABELS = 500_000
 
 _KIND = np.arange(256, dtype=np.uint8)
 _KIND[ord("a"):ord("z") + 1] = ord("a")
@@ -149,45 +156,124 @@ def best_quantile(strength: np.ndarray, quality: np.ndarray, weight: np.ndarray)
     return float((best[0] + best[-1]) / 2)
 
 
-def _sampled(batches):
+def _described(batches):
     for batch in slices(batches, "text"):
         text, classes, value, shares = features(Words(batch.column(0)))
         at = np.searchsorted(text, np.arange(batch.num_rows + 1))
-        yield pa.record_batch([batch.column(1), binaries(classes.astype(np.int32), at), binaries(value.astype(np.float32), at),
-                               binaries(shares.ravel(), np.arange(batch.num_rows + 1) * len(SHARES))], ["quality", "classes", "value", "shares"])
+        yield pa.record_batch([batch.column(1), batch.column(2), binaries(classes.astype(np.int32), at), binaries(value.astype(np.float32), at),
+                               binaries(shares.ravel(), np.arange(batch.num_rows + 1) * len(SHARES))],
+                              ["blocks", "quality", "classes", "value", "shares"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, doc_id: str = "doc_id", text: str = "text",
-        quality: str = "quality") -> Ranking | None:
-    """The ranking, from at most ``per_label`` labelled texts of each kind; None if a kind has none."""
+def _unpacked(table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, class, value) and the rows of SHARES of described texts."""
+    packed = lambda name, kind: [np.frombuffer(b, kind) for b in table.column(name).to_pylist()]
+    classes = packed("classes", np.int32)
+    text = np.repeat(np.arange(len(classes)), [len(c) for c in classes])
+    whole = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return (text, whole(classes, np.int32), whole(packed("value", np.float32), np.float32),
+            whole(packed("shares", np.float64), np.float64).reshape(-1, len(SHARES)))
+
+
+def _fit_block(table: pa.Table) -> pa.Table:
+    """(class, weight, pairs) of a block, for features that aren't scaled; SHARES come after the shapes' classes."""
+    # The same order whatever the partitions, so that reruns agree.
+    table = table.sort_by([(c, "ascending") for c in ("quality", "shares", "classes", "value")])
+    y = np.asarray(table.column("quality"), np.int64)
+    if not len(y) or y.min() == y.max():
+        return _WEIGHTS.empty_table()
+    text, classes, value, shares = _unpacked(table)
+    used, at = np.unique(classes, return_inverse=True)
+    x = np.zeros((len(y), len(used) + len(SHARES)))
+    x[text, at] = value
+    scale = shares.std(0) + 1e-6
+    x[:, len(used):] = (shares - shares.mean(0)) / scale
+    better, worse = pairs_of(y)
+    weights = fit_pairs(x, better, worse)
+    weights[len(used):] /= scale
+    return pa.table([pa.array(np.r_[used, SHAPES + np.arange(len(SHARES))], pa.int32()), pa.array(weights),
+                     pa.array(np.full(len(weights), len(better)), pa.int64())], schema=_WEIGHTS)
+
+
+_WEIGHTS = pa.schema([("class", pa.int32()), ("weight", pa.float64()), ("pairs", pa.int64())])
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, block: int, doc_id: str, text: str, quality: str) -> DataFrame:
+    """Every labelled text's features, with the blocks it is dealt to."""
     one = (labels.select(F.col(doc_id).cast("long").alias("id"), F.col(quality).alias("q")).where("id is not null and q is not null")
            .groupBy("id").agg(F.max((F.col("q") > 0).cast("int")).alias("quality")))
-    some = [one.where(F.col("quality") == k).orderBy(F.xxhash64("id"), "id").limit(per_label) for k in (0, 1)]
     total = {r["quality"]: r["n"] for r in one.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    many = max(1, -(-sum(total.values()) // block))
+    copies = {k: min(many, -(-many * LEAST // max(1, total.get(k, 0)))) for k in (0, 1)}
+    dealt = F.transform(F.sequence(F.lit(0), F.when(F.col("quality") == 1, copies[1]).otherwise(copies[0]) - 1),
+                        lambda i: F.pmod(F.xxhash64("id") + i, F.lit(many)).cast("int"))
+    one = one.withColumn("blocks", dealt)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    sample = texts.join(F.broadcast(some[0].unionByName(some[1])), "id").select("text", "quality")
-    found = sample.mapInArrow(_sampled, "quality int, classes binary, value binary, shares binary").collect()
-    # The same order whatever the partitions, so that reruns agree.
-    found.sort(key=lambda r: (r["quality"], bytes(r["shares"]), bytes(r["classes"]), bytes(r["value"])))
-    y = np.array([r["quality"] for r in found], np.int64)
-    if not len(y) or y.min() == y.max():
+    met = texts.join(F.broadcast(one) if sum(total.values()) <= SENT_LABELS else one, "id").select("text", "blocks", "quality")
+    return met.mapInArrow(_described, "blocks array<int>, quality int, classes binary, value binary, shares binary")
+
+
+def fit(docs: DataFrame, labels: DataFrame, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text",
+        quality: str = "quality") -> Ranking | None:
+    """The ranking, from all labelled texts; None if a kind has none."""
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.cut(_labelled(docs, labels, block, doc_id, text, quality), "labelled")
+    dealt = found.withColumn("block", F.explode("blocks")).drop("blocks")
+    fitted = scratch.cut(dealt.groupBy("block").applyInArrow(lambda t: _fit_block(t.drop_columns(["block"])), "class int, weight double, pairs long"), "fitted")
+    # A decimal's sum doesn't depend on the order of its parts.
+    sums = fitted.groupBy("class").agg(F.sum((F.col("weight") * F.col("pairs")).cast("decimal(38,15)")).cast("double").alias("sum"),
+                                       F.sum("pairs").alias("pairs")).collect()
+    if not sums:
         return None
-    x = np.zeros((len(y), SHAPES + len(SHARES)), np.float32)
-    for row, r in zip(x, found):
-        row[np.frombuffer(r["classes"], np.int32)] = np.frombuffer(r["value"], np.float32)
-        row[SHAPES:] = np.frombuffer(r["shares"])
-    mean, scale = x[:, SHAPES:].mean(0, dtype=np.float64), x[:, SHAPES:].std(0, dtype=np.float64) + 1e-6
-    x[:, SHAPES:] = (x[:, SHAPES:] - mean) / scale
-    used = np.flatnonzero(np.abs(x).max(0) > 0)
-    weights = np.zeros(x.shape[1])
-    weights[used] = fit_pairs(x[:, used].astype(np.float64), *pairs_of(y))
-    weight = np.array([total[k] / (y == k).sum() for k in (0, 1)])[y]
-    return Ranking(weights, mean, scale, best_quantile(x @ weights, y, weight))
+    # Every block has the shares, so the greatest sum of pairs is that of all blocks.
+    pairs, weights = max(r["pairs"] for r in sums), np.zeros(SHAPES + len(SHARES))
+    for r in sums:
+        weights[r["class"]] = r["sum"] / pairs
+    model = Ranking(weights, np.zeros(len(SHARES)), np.ones(len(SHARES)), 0.0)
+    return Ranking(model.weights, model.mean, model.scale, _best_cut(found, model, scratch))
+
+
+def _best_cut(found: DataFrame, model: Ranking, scratch: Scratch) -> float:
+    """``best_quantile`` of all texts: their strengths are numbered in order, and only those at quantiles come here."""
+    def run(batches):
+        for batch in batches:
+            text, classes, value, shares = _unpacked(batch)
+            yield pa.record_batch([batch.column(batch.schema.get_field_index("quality")),
+                                   pa.array(_strength(model, text, classes, value, shares))], ["quality", "s"])
+    each = found.mapInArrow(run, "quality int, s double").groupBy("s").agg(
+        F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad"))
+    placed = scratch.cut(each.repartitionByRange("s").sortWithinPartitions("s").withColumn(
+        "at", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()), "placed")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("part").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    sums = parts.select("part", *[F.coalesce(F.sum(c).over(before(Window.orderBy("part"))), F.lit(0)).alias(f"{c}0") for c in "gb"])
+    inner = before(Window.partitionBy("part").orderBy("at"))
+    rows = placed.join(F.broadcast(sums), "part").select("s", "good", "bad", *[
+        (F.col(f"{c}0") + F.coalesce(F.sum(n).over(inner), F.lit(0))).alias(c) for c, n in (("g", "good"), ("b", "bad"))])
+    all_good, all_bad = parts.agg(F.sum("g"), F.sum("b")).first()
+    n = all_good + all_bad
+    ranks = np.clip(-(-(np.arange(QUANTILES - 1) + 1) * n // QUANTILES) - 1, 0, n - 2)
+    # A row stands at ranks from ``first`` to ``past``; the quantiles up to a rank follow from it, so no row is held against each.
+    rows = rows.withColumn("first", F.col("g") + F.col("b")).withColumn("past", F.expr("first + good + bad"))
+    at_rank = (F.expr(f"past * {QUANTILES} div {n} > first * {QUANTILES} div {n}")
+               | F.expr(f"(past - 1) * {QUANTILES} div {n} > greatest(first - 1, 0) * {QUANTILES} div {n}") | (F.col("past") >= n - 1))
+    rows = rows.where(at_rank).orderBy("s").collect()
+    s, g, b = (np.array([r[c] for r in rows]) for c in ("s", "g", "b"))
+    low = np.searchsorted(g + b, ranks, "right") - 1
+    high = np.searchsorted(g + b, ranks + 1, "right") - 1
+    # What stands before the upper one is below the cut; of equal ones, what stands before both.
+    right = 1 - g[high] / all_good + b[high] / all_bad
+    cuts = (s[low] + s[high]) / 2
+    best = np.unique(cuts[right >= right.max() - 1e-12])
+    return float((best[0] + best[-1]) / 2)
 
 
 def strength(model: Ranking, words: Words) -> np.ndarray:
-    text, classes, value, shares = features(words)
-    return (np.bincount(text, value * model.weights[classes], len(words.counts))
+    return _strength(model, *features(words))
+
+
+def _strength(model: Ranking, text: np.ndarray, classes: np.ndarray, value: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    return (np.bincount(text, value * model.weights[classes], len(shares))
             + (shares - model.mean) / model.scale @ model.weights[SHAPES:])
 
 

@@ -75,6 +75,21 @@ def test_held_out_documents_are_told_apart(spark, tables):
     assert again == {(r.doc_id, r.score) for r in rows}
 
 
+def test_every_labelled_text_counts(spark, tables):
+    docs, labels = tables
+    # 601 labels have a number, one of them without a text: thirteen blocks, and a cut counted over all texts.
+    model = Q.fit(docs, labels, block=50)
+    found = Q._labelled(docs, labels, 50, "doc_id", "text", "quality").collect()
+    assert len(found) == 600 and len({b for r in found for b in r.blocks}) == 13
+    quality = {i: q for i, _, q in texts(600)} | {3: 1}
+    s = {i: float(Q.strength(model, Words(pa.array([t], pa.string())))[0]) for i, t, _ in texts(600)}
+    ids = sorted(s)
+    values, y = np.array([s[i] for i in ids]), np.array([quality[i] for i in ids])
+    assert model.cut == pytest.approx(Q.best_quantile(values, y, np.ones(600)), abs=1e-6)
+    right = [(r.score >= Q.CUT) == (r.doc_id % 4 != 0) for r in Q.score(docs, model).collect() if r.doc_id is not None and 600 <= r.doc_id < 800]
+    assert np.mean(right) > 0.95
+
+
 def test_one_kind_of_label_or_none(spark, tables):
     docs, labels = tables
     assert Q.fit(docs, labels.where("quality = 1")) is None
