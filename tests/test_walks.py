@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from meander.functions import draw
 from meander.operators import adjacency as A, alias, transition as T, walk as W
+from meander.operators import triangles
+from meander.operators.joins import attach
 from meander.operators.triangles import shared_places
 from meander.schemas import schema
 from tests.conftest import rows
@@ -231,6 +233,23 @@ def test_shared_places(spark, graph, scratch, degree, directed):
         assert [(e.nbr, e.prob) for e in r.next] == [(e.nbr, x / sum(b)) for e, x in zip(lists[r.cur], b)]
 
 
+def test_lists_sent_for_triangles_are_bare_ids_behind_the_edge(spark, graph, scratch, monkeypatch):
+    """What moves for an edge is the part of the list that a third vertex can be in, without places."""
+    rng, moved = random.Random(3), []
+    adj = scratch.cut(graph([(rng.randrange(60), rng.randrange(60)) for _ in range(500)]))
+    monkeypatch.setattr(triangles, "attach", lambda rows, *rest, **more: moved.append(rows) or attach(rows, *rest, **more))
+    shared_places(adj, scratch).count()
+    ups = {r.a: r.n for df in moved if "a" in df.columns and "after" in df.columns
+           for r in df.groupBy("a").agg((F.max("i") + 2).alias("n")).collect()}
+    sent = [df for df in moved if any(t.startswith("array") for _, t in df.dtypes)]
+    assert [t for _, t in sent[0].dtypes if t.startswith("array")] == ["array<int>"] and len(sent) == 1
+    assert sent[0].agg(F.sum(F.size("after"))).first()[0] == sum(n * (n - 1) // 2 for n in ups.values()) > 0
+    wide = scratch.cut(adj.select((F.col("id") + (1 << 40)).alias("id"), F.transform("nbrs", lambda e: F.struct(
+        (e["nbr"] + (1 << 40)).alias("nbr"), e["weight"].alias("weight"), e["feat"].alias("feat"))).alias("nbrs")))
+    places = lambda lists: sorted((r.id % (1 << 40), r["at"], r.shared) for r in shared_places(lists, scratch).collect())
+    assert places(wide) == places(adj)
+
+
 def test_alias_tables_give_every_entry_its_weight(spark, graph, scratch):
     rnd = random.Random(3)
     adj = graph([(i, j, rnd.choice([0.1, 1, 2, 7, 500])) for i in range(30) for j in range(30) if rnd.random() < 0.4] + [(90, 91)])
