@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from meander.functions import text as X
 from meander.operators.joins import attach, frequent_keys, fits_broadcast
 from meander.schemas import expect
+from meander.scratch import Scratch
 
 
 def drop_malformed(lines: DataFrame) -> DataFrame:
@@ -14,18 +15,24 @@ def drop_malformed(lines: DataFrame) -> DataFrame:
     return lines.where(X.has_two_tokens(F.col("value")))
 
 
-def pad_edges(edges: DataFrame, feat1: DataFrame, feat2: DataFrame) -> DataFrame:
+def pad_edges(edges: DataFrame, feat1: DataFrame, feat2: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Distinct edges with a feature of Type I on ``src`` and one of Type II on ``dst``.
 
     Edges without either feature drop out; several features of a vertex give
     several rows.  Copies are removed before the joins: then every pair of
     distinct inputs gives a distinct row, so no pass over the result is needed
     and repeated edges collapse map-side instead of piling up on a join key.
+    Where a feature table is too large to broadcast, the distinct edges are written
+    once, so that the look for hot keys doesn't work them out a second time.
     """
     pairs = expect(edges, "edges").groupBy("src", "dst").agg(F.max("weight").alias("weight"))
     one = expect(feat1, "features").distinct().toDF("src", "src_feat")
     two = expect(feat2, "features").distinct().toDF("dst", "dst_feat")
-    hot = _hot_ends(pairs, one, two, "src", "dst")
+    wanted = [end for end, table in (("src", one), ("dst", two)) if not fits_broadcast(table)]
+    hot = {"src": [], "dst": []}
+    if wanted:
+        pairs = (scratch or Scratch(edges.sparkSession)).cut(pairs, "pairs")
+        hot |= frequent_keys(pairs, wanted)
     joined = attach(pairs, one, "src", hot=hot["src"])
     joined = attach(joined, two, "dst", hot=hot["dst"])
     return expect(joined, "padded")
@@ -39,10 +46,3 @@ def node2feat(padded: DataFrame, side: str = "src") -> DataFrame:
     elif side != "src":
         raise ValueError(f"side must be 'src' or 'both', got {side!r}")
     return expect(padded, "padded").select(F.inline(F.array(*ends))).distinct()
-
-
-def _hot_ends(rows: DataFrame, left: DataFrame, right: DataFrame, *ends: str) -> dict[str, list]:
-    """Hot keys of both ends of edges in one pass, or none if both tables get broadcast."""
-    wanted = [e for e, t in zip(ends, (left, right)) if not fits_broadcast(t)]
-    found = frequent_keys(rows, wanted) if wanted else {}
-    return {e: found.get(e, []) for e in ends}

@@ -29,11 +29,12 @@ def padding(spark: SparkSession, params: Params) -> None:
     for kind, name, path in (("edges", "edges", params.input), ("features", "features1", params.feat_path1),
                              ("features", "features2", params.feat_path2)):
         _write_rejects(spark, params, kind, name, path)
-    padded = P.pad_edges(R.read_edges(spark, params.input),
-                         R.read_features(spark, params.feat_path1),
-                         R.read_features(spark, params.feat_path2))
-    Wr.write_text(Wr.padded_lines(padded, params.sep), params.output + ".padd",
-                  params.num_partitions)
+    with Scratch(spark) as scratch:
+        padded = P.pad_edges(R.read_edges(spark, params.input),
+                             R.read_features(spark, params.feat_path1),
+                             R.read_features(spark, params.feat_path2), scratch)
+        Wr.write_text(Wr.padded_lines(padded, params.sep), params.output + ".padd",
+                      params.num_partitions)
 
 
 def random_walks(spark: SparkSession, params: Params) -> None:

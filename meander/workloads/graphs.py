@@ -18,9 +18,9 @@ class Graph:
     feat1: DataFrame
     feat2: DataFrame
 
-    def padded(self, weighted: bool = True) -> DataFrame:
+    def padded(self, weighted: bool = True, scratch: Scratch | None = None) -> DataFrame:
         edges = self.edges if weighted else self.edges.withColumn("weight", F.lit(1.0))
-        return P.pad_edges(edges, self.feat1, self.feat2)
+        return P.pad_edges(edges, self.feat1, self.feat2, scratch)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,6 +117,6 @@ class Indexed:
 
 def indexed(spark: SparkSession, sf_dir: str, name: str, scratch: Scratch,
             weighted: bool = True) -> Indexed:
-    padded = scratch.cut(GRAPHS[name](spark, sf_dir).padded(weighted), "padded")
+    padded = scratch.cut(GRAPHS[name](spark, sf_dir).padded(weighted, scratch), "padded")
     ids = scratch.cut(I.node_index(padded, scratch), "node2id")
     return Indexed(padded, ids, I.index_edges(padded, ids))

@@ -152,6 +152,18 @@ def test_salted_joins_change_nothing(spark, scratch, lines, no_broadcast):
     assert A.triplets(adj).count() == A.adj_edges(adj).count() == T.transition1(adj).count()
 
 
+def test_distinct_edges_are_worked_out_once(spark, lines, scratch, no_broadcast):
+    """The look for hot keys reads the written edges, and so do the joins."""
+    edges = R.edges_from_lines(lines(*[f"h i{k}" for k in range(300)], "a i1", "a i1"))
+    one, two = R.features_from_lines(lines("h A", "a B")), R.features_from_lines(lines("i1 X", "i2 Y"))
+    read = spark.sparkContext.accumulator(0)
+    edges = spark.createDataFrame(edges.rdd.map(lambda r: (read.add(1), r)[1]), edges.schema)
+    padded = P.pad_edges(edges, one, two, scratch)
+    assert rows(padded.select("src", "src_feat", "dst", "dst_feat")) == [
+        ("a", "B", "i1", "X"), ("h", "A", "i1", "X"), ("h", "A", "i2", "Y")]
+    assert read.value == 302
+
+
 def test_empty_tables(spark, scratch):
     empty = {name: spark.createDataFrame([], schema(name)) for name in TABLES}
     padded = P.pad_edges(empty["edges"], empty["features"], empty["features"])
