@@ -164,6 +164,21 @@ def test_distinct_edges_are_worked_out_once(spark, lines, scratch, no_broadcast)
     assert read.value == 302
 
 
+@pytest.mark.parametrize("directed", [False, True])
+def test_neighbours_move_once_and_hubs_are_cut_before(spark, scratch, no_broadcast, directed):
+    """One exchange of the edges for vertices without too many of them; the lists are those of the operators apart."""
+    names = "src_id bigint, dst_id bigint, src_feat string, dst_feat string, weight double"
+    made = [(0, k, "h", f"f{k % 7}", float(k % 3 + 1)) for k in range(400)] + [
+        (k, (k * 7) % 400, f"f{k % 7}", f"f{k % 5}", 1.0) for k in range(400)] * 2
+    edges = scratch.cut(spark.createDataFrame(made, names))
+    want = rows(A.gather(A.degree_cap(A.neighbour_edges(edges, directed), 5)))
+    for hot in (None, [], [0, 7]):
+        assert rows(A.adjacency(edges, 5, directed, hot=hot)) == want
+    plan = A.adjacency(edges, 5, directed, hot=[])._jdf.queryExecution().executedPlan().toString()
+    assert sum(line.strip(" :+-").startswith("Exchange") for line in plan.split("\n")) == 1
+    assert "WindowGroupLimit" in A.adjacency(edges, 5, directed)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty_tables(spark, scratch):
     empty = {name: spark.createDataFrame([], schema(name)) for name in TABLES}
     padded = P.pad_edges(empty["edges"], empty["features"], empty["features"])
