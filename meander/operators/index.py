@@ -39,9 +39,10 @@ def index_edges(padded: DataFrame, node2id: DataFrame) -> DataFrame:
     padded = expect(padded, "padded")
     hot = ({"src": [], "dst": []} if fits_broadcast(node2id)
            else frequent_keys(padded, ["src", "dst"]))
-    half = half_indexed(padded, node2id, hot["src"])
-    ids = expect(node2id, "node2id").toDF("dst", "dst_id")
-    return expect(attach(half, ids, "dst", hot=hot["dst"]), "indexed_edges")
+    # Targets first: padded edges lie in their order, and the name needn't move again.
+    ids = expect(node2id, "node2id")
+    half = attach(padded, ids.toDF("dst", "dst_id"), "dst", hot=hot["dst"]).drop("dst")
+    return expect(attach(half, ids.toDF("src", "src_id"), "src", hot=hot["src"]), "indexed_edges")
 
 
 def half_indexed(padded: DataFrame, node2id: DataFrame, hot: list | None = None) -> DataFrame:

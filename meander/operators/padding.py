@@ -31,7 +31,7 @@ def pad_edges(edges: DataFrame, feat1: DataFrame, feat2: DataFrame, scratch: Scr
     wanted = [end for end, table in (("src", one), ("dst", two)) if not fits_broadcast(table)]
     hot = {"src": [], "dst": []}
     if wanted:
-        pairs = (scratch or Scratch(edges.sparkSession)).cut(pairs, "pairs")
+        pairs = (scratch or Scratch(edges.sparkSession)).cut(pairs, "pairs", "zstd")
         hot |= frequent_keys(pairs, wanted)
     joined = attach(pairs, one, "src", hot=hot["src"])
     joined = attach(joined, two, "dst", hot=hot["dst"])

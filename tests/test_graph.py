@@ -164,6 +164,15 @@ def test_distinct_edges_are_worked_out_once(spark, lines, scratch, no_broadcast)
     assert read.value == 302
 
 
+def test_names_of_targets_move_once(spark, scratch, lines, no_broadcast):
+    """Edges are joined by target first, in whose order they lie, and go on without its name."""
+    padded = P.pad_edges(R.edges_from_lines(lines("a x", "b x", "b y")), R.features_from_lines(lines("a A", "b B")),
+                         R.features_from_lines(lines("x X", "y Y")), scratch)
+    padded = scratch.cut(padded)
+    plan = I.index_edges(padded, scratch.cut(I.node_index(padded, scratch)))._jdf.queryExecution().executedPlan().toString()
+    assert -1 < plan.index("hashpartitioning(src#") < plan.index("hashpartitioning(dst#")
+
+
 @pytest.mark.parametrize("directed", [False, True])
 def test_neighbours_move_once_and_hubs_are_cut_before(spark, scratch, no_broadcast, directed):
     """One exchange of the edges for vertices without too many of them; the lists are those of the operators apart."""
