@@ -118,3 +118,10 @@ def test_rejected_lines_have_a_reason(lines, kind):
 def test_kinds_of_rejects():
     with pytest.raises(ValueError):
         rejects.reason("other")
+
+
+def test_padded_lines_are_taken_apart_once(spark, lines):
+    """The conditions on names and weights read the tokens, which they don't work out again."""
+    got = R.padded_from_lines(lines("  a\u0001A\tb\u0001B 2 ", "a b", "a b x", "a", "", "a b 0", "\u0001A b"))
+    assert rows(got) == [("a", "A", "b", "B", 2.0), ("a", "a", "b", "b", 1.0), ("a", "a", "b", "b", 1.0)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(value") == 1
