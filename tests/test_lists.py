@@ -50,6 +50,18 @@ def test_lists_are_laid_out_where_they_are(spark, graph, scratch, path, no_broad
     assert len([x for x in exchanges(plain.table) if "hashpartitioning(id" in x]) >= 1
 
 
+def test_held_lists_are_not_moved_again(spark, graph, scratch, path, no_broadcast):
+    edges = scratch.cut(spark.createDataFrame([(a, b, "x", "y", 1.0) for a, b, *_ in RING],
+                                              "src_id bigint, dst_id bigint, src_feat string, dst_feat string, weight double"))
+    adj = A.adjacency(edges, hot=[])
+    assert len(exchanges(adj.repartition(8, "id"))) == len(exchanges(adj)) == 1
+    lists = L.hold_lists(adj, path)
+    assert lists.buckets == 8 and L._name(path) not in [t.name for t in spark.catalog.listTables()]
+    assert rows(A.adj_edges(lists.table)) == rows(A.adj_edges(adj))
+    layout = W.lay_out(lists, scratch=scratch)
+    assert [x for x in exchanges(layout.table) if "Broadcast" not in x] == []
+
+
 def test_tags_of_hops_read_lists_in_place(spark, graph, scratch, path, no_broadcast):
     adj = scratch.cut(graph(RING))
     lists = L.save_lists(adj, path, 8)

@@ -233,6 +233,16 @@ def test_shared_places(spark, graph, scratch, degree, directed):
         assert [(e.nbr, e.prob) for e in r.next] == [(e.nbr, x / sum(b)) for e, x in zip(lists[r.cur], b)]
 
 
+def test_degrees_are_looked_up_only_where_one_list_has_the_other(spark, graph, scratch, monkeypatch):
+    looked_up, attach = [], triangles.attach
+    monkeypatch.setattr(triangles, "attach", lambda rows, table, on, **more: (
+        looked_up.append(rows.count()) if on == "v" else None) or attach(rows, table, on, **more))
+    star = [(0, i) for i in range(1, 7)] + [(1, 2)]
+    shared_places(scratch.cut(graph(star)), scratch).count()
+    shared_places(scratch.cut(graph(star, degree=2)), scratch).count()
+    assert looked_up == [0, 4]
+
+
 def test_lists_sent_for_triangles_are_bare_ids_behind_the_edge(spark, graph, scratch, monkeypatch):
     """What moves for an edge is the part of the list that a third vertex can be in, without places."""
     rng, moved = random.Random(3), []
