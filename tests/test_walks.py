@@ -233,6 +233,18 @@ def test_shared_places(spark, graph, scratch, degree, directed):
         assert [(e.nbr, e.prob) for e in r.next] == [(e.nbr, x / sum(b)) for e, x in zip(lists[r.cur], b)]
 
 
+@pytest.mark.parametrize("steps, per_task", [(2, 1_000_000), (5, 4)])
+def test_kept_layout_serves_several_walks(spark, graph, scratch, steps, per_task):
+    adj = scratch.cut(graph([(i, (i * i + 1) % 9) for i in range(30)]))
+    layout = W.lay_out(adj, scratch=scratch).persist()
+    for num_walks in (1, 2):
+        again = W.random_walk(layout, steps, num_walks, seed=3, checkpoint_every=2, scratch=scratch, walks_per_task=per_task)
+        assert layout.kept
+        assert rows(again) == rows(W.random_walk(adj, steps, num_walks, seed=3, scratch=scratch))
+    layout.release()
+    assert not layout.kept
+
+
 def test_degrees_are_looked_up_only_where_one_list_has_the_other(spark, graph, scratch, monkeypatch):
     looked_up, attach = [], triangles.attach
     monkeypatch.setattr(triangles, "attach", lambda rows, table, on, **more: (
