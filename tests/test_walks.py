@@ -233,6 +233,16 @@ def test_shared_places(spark, graph, scratch, degree, directed):
         assert [(e.nbr, e.prob) for e in r.next] == [(e.nbr, x / sum(b)) for e, x in zip(lists[r.cur], b)]
 
 
+@pytest.mark.parametrize("p, q", [(1.0, 1.0), (0.5, 1.0), (0.5, 2.0)])
+def test_sums_are_sorted_as_plain_numbers(spark, graph, scratch, p, q):
+    layout = W.lay_out(scratch.cut(graph([(0, 1), (1, 2), (2, 0, 3)])), scratch=scratch, biased=q != 1).persist()
+    assert not layout.table.schema["sums"].dataType.containsNull
+    step = W.walk_step(scratch.cut(W.walk_start(layout, 1, 3)), layout, 1, p, q, 3)
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    assert "sort_array(concat(sums" in plan and "array_insert" not in plan
+    layout.release()
+
+
 @pytest.mark.parametrize("steps, per_task", [(2, 1_000_000), (5, 4)])
 def test_kept_layout_serves_several_walks(spark, graph, scratch, steps, per_task):
     adj = scratch.cut(graph([(i, (i * i + 1) % 9) for i in range(30)]))
