@@ -233,6 +233,19 @@ def test_shared_places(spark, graph, scratch, degree, directed):
         assert [(e.nbr, e.prob) for e in r.next] == [(e.nbr, x / sum(b)) for e, x in zip(lists[r.cur], b)]
 
 
+def test_no_empty_slots_move_and_stretches_are_not_collected(spark, graph, scratch):
+    adj = scratch.cut(graph([(0, 1), (1, 2), (2, 3), (4, 0)], directed=True))
+    layout = W.lay_out(adj, directed=True, scratch=scratch).persist()
+    state = W.walk_start(layout, 1, 3)
+    assert [c for c in state.columns if W._is_slot(c)] == ["v1", "f1"]
+    assert [c for c in W.walk_step(state, layout, 1, 1.0, 1.0, 3).columns if W._is_slot(c)] == ["v1", "v2", "f1", "f2"]
+    layout.release()
+    walks = W.random_walk(adj, 4, 1, seed=3, directed=True, checkpoint_every=1, scratch=scratch)
+    assert "collect_list" not in walks._jdf.queryExecution().executedPlan().toString()
+    assert {r.start: (r.path, r.feats) for r in walks.collect()} == {
+        0: ([0, 1, 2, 3], ["f1", "f2", "f3"]), 1: ([1, 2, 3], ["f2", "f3"]), 2: ([2, 3], ["f3"]), 4: ([4, 0, 1, 2, 3], ["f0", "f1", "f2", "f3"])}
+
+
 @pytest.mark.parametrize("p, q", [(1.0, 1.0), (0.5, 1.0), (0.5, 2.0)])
 def test_sums_are_sorted_as_plain_numbers(spark, graph, scratch, p, q):
     layout = W.lay_out(scratch.cut(graph([(0, 1), (1, 2), (2, 0, 3)])), scratch=scratch, biased=q != 1).persist()
