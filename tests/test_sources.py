@@ -125,3 +125,12 @@ def test_padded_lines_are_taken_apart_once(spark, lines):
     got = R.padded_from_lines(lines("  a\u0001A\tb\u0001B 2 ", "a b", "a b x", "a", "", "a b 0", "\u0001A b"))
     assert rows(got) == [("a", "A", "b", "B", 2.0), ("a", "a", "b", "b", 1.0), ("a", "a", "b", "b", 1.0)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(value") == 1
+
+
+def test_patterns_are_used_only_where_lines_need_them(spark, lines):
+    """Names are told without a pattern, and a line with single blanks isn't split by one."""
+    got = R.indexed_from_lines(lines("1\u0001A 2\u0001B", " 3\u0001A\u0001 \t4 2\n", "1\u0001A  x", "5 6 7 8", "9", None))
+    assert rows(got) == [(1, 2, "A", "B", 1.0), (3, 4, "A", "4", 2.0), (5, 6, "5", "6", 7.0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # Once for each end of an edge and each of what stands before and behind its separator.
+    assert plan.count("substring_index") == 4 and "split_part" not in plan.lower() and "stringsplitsql" not in plan.lower()
