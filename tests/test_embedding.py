@@ -48,6 +48,18 @@ def test_too_large_a_vocabulary_is_refused(walks):
         E.check_vocabulary(E.feat_corpus(walks), 2**31)
 
 
+def test_training_fills_the_cores(spark, walks):
+    """No round of tasks is left nearly empty, unless more partitions would send more words than they save."""
+    assert E.training_partitions(126_000_000, 1_400, 12) == 36
+    assert E.training_partitions(21_000_000, 1_400, 12) == 12
+    assert E.training_partitions(21_000_000, 1_400, 5) == 10
+    assert E.training_partitions(6_500_000, 540_000, 12) == 10
+    assert E.training_partitions(0, 0, 1) == 10
+    assert E._measured(E.feat_corpus(walks), 0) == (3, 6, 2)
+    assert E._measured(E.feat_corpus(walks), 3) == (0, 6, 2)
+    assert E._measured(E.id_corpus(walks).where("false"), 0) == (0, 0, 0)
+
+
 def test_names(spark, walks, node2id):
     named = N.walks_named(walks, node2id)
     assert rows(named.select("node", "walk_no")) == [("a", 0), ("a", 1), ("b", 0)]
