@@ -113,6 +113,13 @@ def no_broadcast(spark):
         spark.conf.set(key, value)
 
 
+def test_totals_of_transition_lists_are_worked_out_once_a_pair(graph, scratch):
+    adj = graph([(1, 2), (1, 3, 3), (2, 3)])
+    plan = T.transition_lists(adj, 0.25, 4.0, scratch)._jdf.queryExecution().optimizedPlan().toString()
+    top = plan.splitlines()[0]
+    assert "transform(" in top and "aggregate(" not in top  # a total in the lambda would be one for every entry
+
+
 def test_tables_with_lists_are_not_broadcast(spark, graph, scratch):
     adj = scratch.cut(graph([(0, k) for k in range(1, 40)] + [(1, 2), (2, 3)]))
     assert J.planned_bytes(adj) < 10 << 20
