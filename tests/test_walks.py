@@ -379,3 +379,18 @@ def test_walks_go_on_after_a_stop(graph, scratch, tmp_path, monkeypatch, method,
     assert run(resume=folder) == want and steps == [5, 7]
     assert run(resume=folder) == want and steps == []
     assert run(seed=3, resume=folder) != want and steps == [1, 3, 5, 7]
+
+
+@pytest.mark.parametrize("p, q, method", [(1.0, 1.0, "alias"), (0.25, 1.0, "alias"), (0.25, 0.5, "alias"), (1.0, 1.0, "sums"), (0.25, 4.0, "sums")])
+def test_no_method_of_a_step_is_too_long_to_be_compiled(spark, scratch, graph, p, q, method):
+    adj = scratch.cut(graph([(i, (i + k) % 40) for i in range(40) for k in (1, 2, 3)]))
+    hubs = adj.select("id", F.lit(2).alias("copies")).limit(3)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        layout = W.lay_out(adj, scratch.cut(hubs), scratch=scratch, method=method, biased=q != 1)
+        state = W._advance(W.walk_start(layout, 1, 7), layout, 1, 8, p, q, 7)
+        code = state._jdf.queryExecution().debug().codegenToSeq()
+        # HotSpot leaves longer methods to its interpreter for good.
+        assert max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) <= 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
