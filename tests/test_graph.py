@@ -113,6 +113,24 @@ def no_broadcast(spark):
         spark.conf.set(key, value)
 
 
+def test_only_keys_over_the_share_are_hot(spark, scratch):
+    rows = spark.range(5000).selectExpr("if(id < 100, 0, id) as k", "id as other")
+    assert J.hot_keys(scratch.cut(rows), ["k", "other"]) == {"k": [0], "other": []}
+
+
+def test_ids_of_targets_are_joined_to_written_edges_in_place(spark, scratch, no_broadcast):
+    edges = spark.range(6000).selectExpr("concat('a', id) as src", "concat('b', id % 2000) as dst", "1.0D as weight")
+    one = edges.selectExpr("src as node", "'x' as feat").distinct()
+    two = edges.selectExpr("dst as node", "'y' as feat").distinct()
+    padded = P.pad_edges(edges, one, two, scratch, written=True)
+    assert rows(padded) == rows(P.pad_edges(edges, one, two, scratch))
+    ids = scratch.cut(I.node_index(padded, scratch))
+    indexed = I.index_edges(padded, ids)
+    plan = indexed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3 and "Bucketed: true" in plan  # ids twice, edges once
+    assert indexed.count() == 6000
+
+
 def test_totals_of_transition_lists_are_worked_out_once_a_pair(graph, scratch):
     adj = graph([(1, 2), (1, 3, 3), (2, 3)])
     plan = T.transition_lists(adj, 0.25, 4.0, scratch)._jdf.queryExecution().optimizedPlan().toString()
