@@ -394,3 +394,18 @@ def test_no_method_of_a_step_is_too_long_to_be_compiled(spark, scratch, graph, p
         assert max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) <= 8000
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.mark.parametrize("method", ["sums", "alias"])
+def test_without_shared_neighbours_nothing_about_them_travels(spark, scratch, graph, method):
+    adj = scratch.cut(graph([(i, 100 + (i + k) % 9, 1 + k) for i in range(12) for k in (0, 1, 3)]))
+    layout = W.lay_out(adj, scratch=scratch, method=method, biased=True)
+    state = W.walk_start(layout, 2, 7)
+    assert layout.near is None and "shared" not in state.columns and "shared" not in layout.table.columns
+    step = W.walk_step(state, layout, 1, 0.25, 4.0, 7)
+    assert method == "alias" or "lambda" not in step._jdf.queryExecution().optimizedPlan().toString()
+    linked = {(r.id, e.nbr) for r in adj.collect() for e in r.nbrs}
+    walks = W.random_walk(adj, 6, 3, 0.25, 4.0, 7, scratch=scratch, method=method).collect()
+    assert len(walks) == 63 and all((a, b) in linked for w in walks for a, b in zip(w.path, w.path[1:]))
+    with pytest.raises(ValueError):
+        W.walk_step(state, W.lay_out(adj, scratch=scratch, method=method), 1, 0.25, 4.0, 7).collect()
